@@ -75,10 +75,15 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column,
-                  name: str, chunk: Column) -> DataFrame:
+                  name: str, chunk: Column | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within the key, chunk by chunk."""
     keys, cols = list(keys), _cols(order)
-    placed = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    placed = df.withColumn("_value", value)
+    if chunk is None:
+        by = [F.col(k) for k in keys] + cols
+        placed = stable(placed.repartitionByRange(*by).withColumn("_chunk", F.spark_partition_id()))
+    else:
+        placed = placed.withColumn("_chunk", chunk)
     sums = placed.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_n"))
     offs = _prefix(sums, keys, "_n", "_off").drop("_n")
     w = Window.partitionBy(*keys, "_chunk").orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
