@@ -106,9 +106,9 @@ def unreferenced_parts(t: Tables) -> DataFrame:
     return pk.unreferenced_parts(pk.relationships(n), p).select("doc", "part")
 
 
-@R.query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(t: Tables) -> DataFrame:
-    rels = t.orders.select(F.lit("p").alias("doc_id"), F.lit("_rels/.rels").alias("part"), F.lit("").alias("base"), F.col("o_custkey").cast("string").alias("target"), F.lit(1).alias("line"))
+@R.query("customers_without_pending_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def customers_without_pending_orders(t: Tables) -> DataFrame:
+    rels = t.orders.where("o_orderstatus = 'P'").select(F.lit("p").alias("doc_id"), F.lit("_rels/.rels").alias("part"), F.lit("").alias("base"), F.col("o_custkey").cast("string").alias("target"), F.lit(1).alias("line"))
     rels_file = t.region.where("r_regionkey = 0").select(F.lit("p").alias("pkg"), F.lit("_rels/.rels").alias("part"))
     files = t.customer.select(F.lit("p").alias("pkg"), F.col("c_custkey").cast("string").alias("part")).unionByName(rels_file)
     return pk.unreferenced_parts(rels, files).select(F.col("part").try_cast("long").alias("c_custkey"))
