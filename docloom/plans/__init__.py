@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("web", "markup", "transcripts", "cells", "layout", "forms", "packages", "revisions", "invoices", "usage", "streams")
+AREAS = ("web", "files", "markup", "transcripts", "cells", "layout", "forms", "packages", "revisions", "invoices", "usage", "streams")
 
 
 def registries():

@@ -11,6 +11,7 @@ from docloom.operators import dom
 from docloom.operators import packages as pk
 from docloom.operators import revisions as rv
 from docloom.plans.base import Registry, Tables
+from docloom.session import materialize
 from docloom.sources.markup import xml_nodes
 
 R = Registry()
@@ -85,6 +86,17 @@ def change_view_all(t: Tables) -> DataFrame:
     return _hashed(rv.change_view(xml_nodes(_doc(t, True)), "all"))
 
 
+_VIEW = {"accept": "CASE i % 4 WHEN 1 THEN x || 'AA' WHEN 2 THEN 'NEW' ELSE x || b END", "reject": "x", "all": "CASE i % 4 WHEN 1 THEN x || 'AA' WHEN 2 THEN x || 'NEW' ELSE x || b END"}
+
+
+@R.query("change_view", f"WITH {_LINES}, v AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, doc_id, i, {c} AS content FROM b" for m, c in _VIEW.items()) + ") "
+         "SELECT mode, doc_id, row_number() OVER (PARTITION BY mode, doc_id ORDER BY i) AS no, md5(content) AS h FROM v WHERE content <> ''")
+def change_view(t: Tables) -> DataFrame:
+    nodes = materialize(xml_nodes(_doc(t, True)))
+    views = [_hashed(rv.change_view(nodes, m)).withColumn("mode", F.lit(m)) for m in _VIEW]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
 _EDITS = f"""WITH {_LINES}, t AS (SELECT doc_id FROM l GROUP BY 1 HAVING count(*) > 1),
 a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, x || b AS c FROM b WHERE x || b <> ''),
 z AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, x || CASE WHEN i % 10 = 5 THEN '!' ELSE '' END || b AS c FROM b WHERE x || CASE WHEN i % 10 = 5 THEN '!' ELSE '' END || b <> ''),

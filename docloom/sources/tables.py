@@ -40,7 +40,11 @@ entry_bounding_box:array<double>,entry_text:struct<text:string,font_size:double,
 
 def read_fields_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Form descriptions -> (page rows, field rows); ``has_text`` keeps "no entry_text" apart from ``{}``."""
-    raw = spark.read.schema(BOX_FIELDS).option("multiLine", True).json(path).withColumn("doc", F.input_file_name())
+    return field_rows(spark.read.schema(BOX_FIELDS).option("multiLine", True).json(path).withColumn("doc", F.input_file_name()))
+
+
+def field_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc, pages, form_fields)`` -> (page rows, field rows)."""
     pages = raw.select("doc", F.explode_outer("pages").alias("p")).select("doc", "p.*")
     fields = raw.select("doc", F.posexplode_outer("form_fields").alias("field_no", "f")).select(
         "doc", "field_no", "f.*", F.col("f.entry_text").isNotNull().alias("has_text"))
