@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.operators.ordered import first_n, join_on, running_total
-from docloom.session import stable
+from docloom.session import materialize
 
 # Error texts in the order in which they are looked for.
 ERRORS = ("#VALUE!", "#DIV/0!", "#REF!", "#NAME?", "#NULL!", "#NUM!", "#N/A")
@@ -154,13 +154,13 @@ def circular(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or on a path between cycles: ``edges(src, dst)`` -> ``(node)``.
 
     Ends of the graph are peeled off until none is left: a node stays only while something points at it
-    and it points at something.  One checkpointed job per layer; the loop asks only for counts.
+    and it points at something.  One written table per layer; the loop asks only for counts.
     """
-    left = stable(edges.select("src", "dst").distinct())
+    left = materialize(edges.select("src", "dst").distinct())
     n = left.count()
     while n:
         keep = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        keep = stable(keep.join(keep.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        keep = materialize(keep.join(keep.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         m = keep.count()
         if m == n:
             break

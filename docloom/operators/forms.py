@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.ordered import first_n, numbered
-from docloom.session import stable
+from docloom.session import materialize
 
 
 def duplicate_keys(pairs: DataFrame, scope: Sequence[str] = ("object_id",), key: str = "key") -> DataFrame:
@@ -84,7 +84,7 @@ def field_full_name(annotations: DataFrame) -> DataFrame:
     done, rest = open_.where("_next IS NULL"), open_.where("_next IS NOT NULL")
     while True:
         joined = F.when(has("_name"), F.concat_ws(".", "_name", "full_name")).otherwise(F.col("full_name"))
-        step = stable(rest.join(up, ["doc", "_next"], "left").select(*cols, joined.alias("full_name"), F.col("_up").alias("_next")))
+        step = materialize(rest.join(up, ["doc", "_next"], "left").select(*cols, joined.alias("full_name"), F.col("_up").alias("_next")))
         done = done.unionByName(step.where("_next IS NULL"))
         rest = step.where("_next IS NOT NULL")
         if rest.isEmpty():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.operators.ordered import anchored, first_n, join_on, numbered
-from docloom.session import stable
+from docloom.session import materialize
 
 # Tolerances of the checks, in inches, and the slide's text margins.
 SAME_ROW = 0.5
@@ -23,7 +23,6 @@ BEYOND_SLIDE = 0.01
 BEYOND_FRAME = 0.05
 MARGIN_TOP_BOTTOM, MARGIN_SIDES = 0.05, 0.1
 BULLETS = ("•", "●", "○")
-CELLS_PER_SIDE = 64
 
 
 def units(df: DataFrame, emu: str = "emu", points: str = "points") -> DataFrame:
@@ -95,7 +94,7 @@ def absolute_positions(shapes: DataFrame) -> DataFrame:
         above = base.select("deck", "slide", F.col("parent_no").alias("_next"), "_dx", "_dy", "_up")
         step = rest.join(above, ["deck", "slide", "_next"], "left").select(
             *cols, (F.col("abs_left") + F.coalesce("_dx", F.lit(0))).alias("abs_left"), (F.col("abs_top") + F.coalesce("_dy", F.lit(0))).alias("abs_top"), F.col("_up").alias("_next"))
-        step = stable(step)
+        step = materialize(step)
         done = done.unionByName(step.where("_next IS NULL"))
         rest = step.where("_next IS NOT NULL")
         if rest.isEmpty():
@@ -116,27 +115,32 @@ def reading_order(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) ->
         "shape_id", F.concat(F.lit("shape-"), (F.col("_n") - 1).cast("string"))).drop("_y", "_row", "_n")
 
 
-def _on_grid(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-    """Grid cells of each rectangle.  The cell side follows the mean size of the page's rectangles and is at
-    least 1/64 of the page's span, so small rectangles sit in one or two cells and none in over 65 x 65."""
-    w, h = F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)
-    shape = df.groupBy(*keys).agg(
-        F.greatest(F.avg(w), (F.max(x1) - F.min(x0)) / CELLS_PER_SIDE, F.lit(1e-9)).cast("double").alias("_cw"),
-        F.greatest(F.avg(h), (F.max(y1) - F.min(y0)) / CELLS_PER_SIDE, F.lit(1e-9)).cast("double").alias("_ch"))
-    g = join_on(df, shape, list(keys))
-    cell = lambda c, side: F.floor(F.col(c).cast("double") / F.col(side)).cast("long")
-    g = g.withColumn("_gx", F.explode(F.sequence(cell(x0, "_cw"), cell(x1, "_cw"))))
-    return g.withColumn("_gy", F.explode(F.sequence(cell(y0, "_ch"), cell(y1, "_ch"))))
+def _sides(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """Cell sides per page: the root mean square of the widths and heights."""
+    rms = lambda a, b: F.greatest(F.sqrt(F.avg(F.pow((F.col(b) - F.col(a)).cast("double"), 2))), F.lit(1e-6))
+    return df.groupBy(*keys).agg(rms(x0, x1).alias("_cw"), rms(y0, y1).alias("_ch"))
+
+
+def _cell(c: Column | str, side: str) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c).cast("double") / F.col(side)).cast("long")
+
+
+def _on_grid(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """Grid cells of each rectangle.  With root-mean-square sides, all rectangles of a page together cover at
+    most about four cells each on average, whatever the mix of sizes, and a full page gets a fine grid."""
+    g = df.withColumn("_gx", F.explode(F.sequence(_cell(x0, "_cw"), _cell(x1, "_cw"))))
+    return g.withColumn("_gy", F.explode(F.sequence(_cell(y0, "_ch"), _cell(y1, "_ch"))))
 
 
 def _pairs(df: DataFrame, keys: Sequence[str], ident: str, x0: str, y0: str, x1: str, y1: str, keep: Sequence[str]) -> DataFrame:
     """Pairs a < b (by ``ident``) whose rectangles meet, each once; columns get ``_a``/``_b``."""
     cols = [ident, x0, y0, x1, y1, *keep]
-    g = _on_grid(df.select(*keys, *cols), keys, x0, y0, x1, y1)
+    sized = join_on(df.select(*keys, *cols), _sides(df, keys, x0, y0, x1, y1), list(keys))
+    g = _on_grid(sized, x0, y0, x1, y1)
     a = g.select(*keys, "_gx", "_gy", "_cw", "_ch", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = g.select(*keys, "_gx", "_gy", *[F.col(c).alias(f"{c}_b") for c in cols])
     j = a.join(b, [*keys, "_gx", "_gy"]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
-    corner = lambda c, side: F.floor(F.greatest(f"{c}_a", f"{c}_b").cast("double") / F.col(side)).cast("long")
+    corner = lambda c, side: _cell(F.greatest(f"{c}_a", f"{c}_b"), side)
     return j.where((corner(x0, "_cw") == F.col("_gx")) & (corner(y0, "_ch") == F.col("_gy"))).drop("_gx", "_gy", "_cw", "_ch")
 
 
@@ -219,8 +223,12 @@ def text_in_bbox(words: DataFrame, regions: DataFrame) -> DataFrame:
     ``words(doc, page, word_no, x0, y0, x1, y1, text)``; ``regions(region_id, doc, page, x0, y0, x1, y1)``.
     Rows stay words, numbered inside the region, because a region has no bound on its words.
     """
-    r = regions.select("region_id", "doc", "page", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = words.join(r, ["doc", "page"]).where(
+    sides = _sides(regions, ["doc", "page"], "x0", "y0", "x1", "y1")
+    r = _on_grid(regions.join(sides, ["doc", "page"]), "x0", "y0", "x1", "y1").select(
+        "region_id", "doc", "page", "_gx", "_gy", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    # A word sits in the one cell of its top-left corner, a region in all the cells it covers.
+    w = words.join(sides, ["doc", "page"]).withColumn("_gx", _cell("x0", "_cw")).withColumn("_gy", _cell("y0", "_ch"))
+    inside = w.join(r, ["doc", "page", "_gx", "_gy"]).where(
         (F.col("x0") >= F.col("r_x0")) & (F.col("x1") <= F.col("r_x1")) & (F.col("y0") >= F.col("r_y0")) & (F.col("y1") <= F.col("r_y1")))
     return numbered(inside.select("region_id", "y0", "x0", "word_no", "text"), ["region_id"], ["y0", "x0", "word_no"], "place")
 

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import stable
+from docloom.session import materialize
 
 BLOCK = 1 << 17  # rows per chunk where a dense sequence number orders the key
+GROUP_LIMIT = 1000  # largest rank limit that Spark applies before the shuffle by default
 
 
 def block_of(seq: Column | str) -> Column:
@@ -27,26 +28,40 @@ def block_of(seq: Column | str) -> Column:
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equally named keys, matching nulls with nulls, keeping one copy of the keys."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(right, F.lit(True), how)
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    """Join on equally named keys, matching nulls with nulls, keeping one copy of the keys.
+
+    The keys are compared as one struct: inside a struct null equals null, and it stays a plain equality,
+    so the partitioning of the join can serve the next step.
+    """
+    rest = [c for c in right.columns if c not in keys]
+    small = right.select(F.struct(*keys).alias("_k"), *rest)
+    return left.withColumn("_k", F.struct(*keys)).join(small, "_k", how).drop("_k")
 
 
 def _cols(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _prefix(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over the chunks of the key before this one (rows = chunks, not data rows)."""
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+def _chunked(df: DataFrame, keys: Sequence[str], cols: Sequence[Column], chunk: Column | None) -> DataFrame:
+    """Adds ``_k`` (the key, as one value) and ``_chunk``.  Without a given chunk, rows are range-partitioned
+    over (key, order) and written down, so that the chunk of a row can never change afterwards."""
+    if chunk is None:
+        by = [*[F.col(k) for k in keys], *cols]
+        df = materialize(df.repartitionByRange(*by).withColumn("_chunk", F.spark_partition_id()))
+    else:
+        df = df.withColumn("_chunk", chunk)
+    return df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
+
+
+def _with_offsets(placed: DataFrame, value: Column, name: str = "_off") -> DataFrame:
+    """Joins the sum of ``value`` over the key's earlier chunks (one row per chunk crosses, not the data)."""
+    sums = placed.groupBy("_k", "_chunk").agg(F.sum(value).alias("_n"))
+    w = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(sums.select("_k", "_chunk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(name)), ["_k", "_chunk"])
+
+
+def _inside(cols: Sequence[Column]):
+    return Window.partitionBy("_k", "_chunk").orderBy(*cols)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rn",
@@ -55,54 +70,32 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 
     ``order`` must be unique within the key for a repeatable result, as with ``row_number`` itself.
     """
-    keys, cols = list(keys), _cols(order)
-    if chunk is None:
-        by = [F.col(k) for k in keys] + cols
-        placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
-        placed = stable(placed.withColumn("_chunk", F.spark_partition_id())
-                        .withColumn("_pos", F.monotonically_increasing_id()))
-        sizes = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-        offs = _prefix(sizes, keys, "_n", "_off").select(*keys, "_chunk", "_off", "_first")
-        out = join_on(placed, offs, [*keys, "_chunk"])
-        return out.withColumn(name, (F.col("_pos") - F.col("_first") + F.col("_off") + 1).cast("long")).drop(
-            "_chunk", "_pos", "_off", "_first")
-    placed = df.withColumn("_chunk", chunk)
-    sizes = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = _prefix(sizes, keys, "_n", "_off").drop("_n")
-    out = join_on(placed, offs, [*keys, "_chunk"])
-    inner = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*cols))
-    return out.withColumn(name, (inner + F.col("_off")).cast("long")).drop("_chunk", "_off")
+    cols = _cols(order)
+    placed = _with_offsets(_chunked(df, keys, cols, chunk), F.lit(1))
+    out = placed.withColumn(name, (F.row_number().over(_inside(cols)) + F.col("_off")).cast("long"))
+    return out.select(*df.columns, name)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column,
                   name: str, chunk: Column | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within the key, chunk by chunk."""
-    keys, cols = list(keys), _cols(order)
-    placed = df.withColumn("_value", value)
-    if chunk is None:
-        by = [F.col(k) for k in keys] + cols
-        placed = stable(placed.repartitionByRange(*by).withColumn("_chunk", F.spark_partition_id()))
-    else:
-        placed = placed.withColumn("_chunk", chunk)
-    sums = placed.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_n"))
-    offs = _prefix(sums, keys, "_n", "_off").drop("_n")
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return join_on(placed, offs, [*keys, "_chunk"]).withColumn(
-        name, F.sum("_value").over(w) + F.col("_off")).drop("_chunk", "_value", "_off")
+    cols = _cols(order)
+    placed = _with_offsets(_chunked(df.withColumn("_value", value), keys, cols, chunk), F.col("_value"))
+    w = _inside(cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn(name, F.sum("_value").over(w) + F.col("_off")).select(*df.columns, name)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str,
              chunk: Column) -> DataFrame:
     """``lag(value)`` within the key: inside the chunk, else the last value of the chunk before."""
-    keys, cols = list(keys), _cols(order)
-    placed = df.withColumn("_chunk", chunk)
-    last = placed.groupBy(*keys, "_chunk").agg(F.max_by(value, F.struct(*cols)).alias("_last"))
-    carried = last.withColumn(
-        "_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*cols)
-    return join_on(placed, carried, [*keys, "_chunk"]).withColumn(
-        name, F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(F.lag(value).over(w))).drop(
-        "_chunk", "_carried")
+    cols = _cols(order)
+    placed = _chunked(df, keys, cols, chunk)
+    last = placed.groupBy("_k", "_chunk").agg(F.max_by(value, F.struct(*cols)).alias("_last"))
+    carried = last.select("_k", "_chunk", F.lag("_last").over(Window.partitionBy("_k").orderBy("_chunk")).alias("_carried"))
+    w = _inside(cols)
+    out = placed.join(carried, ["_k", "_chunk"]).withColumn(
+        name, F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(F.lag(value).over(w)))
+    return out.select(*df.columns, name)
 
 
 def _fold(reach: int, n_keys: int, name: str):
@@ -158,5 +151,7 @@ def anchored(df: DataFrame, keys: Sequence[str], pos: str, reach: int, name: str
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rn") -> DataFrame:
     """First ``n`` rows of each key.  Spark turns the rank filter into a per-task limit before the
     shuffle (WindowGroupLimit), so a hot key ships at most ``n`` rows per task."""
+    if n > GROUP_LIMIT:
+        return numbered(df, keys, order, name).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)

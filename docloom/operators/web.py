@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators.ordered import first_n, join_on, numbered
-from docloom.session import stable
+from docloom.session import materialize
 
 
 # --- projections and predicates ---------------------------------------------------------------
@@ -189,18 +189,18 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pag
     """Breadth-first levels: each node once per site, at its smallest depth.
 
     ``seeds(site, node)``, ``edges(src, pos, dst)`` -> ``(site, node, depth, visit_no)``.  One join per
-    level, an anti join against what was seen, and a reliable checkpoint per level; the loop only asks
+    level, an anti join against what was seen, and a written table per level; the loop only asks
     whether a level is empty.  ``visit_no`` (breadth-first order: parent's number, then link position)
     is computed when ``max_pages`` is given, and pages after that number are not visited.
     """
-    links = edges.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    links = materialize(edges.groupBy("src", "dst").agg(F.min("pos").alias("pos")))
     level = seeds.select("site", "node").distinct().withColumn("depth", F.lit(0))
     ranked = max_pages is not None
     if ranked:
         level = numbered(level, ["site"], ["node"], "visit_no").where(F.col("visit_no") <= max_pages)
     else:
         level = level.withColumn("visit_no", F.lit(None).cast("long"))
-    level = stable(level)
+    level = materialize(level)
     seen = [level]
     for depth in range(1, max_depth + 1):
         visited = seen[0]
@@ -219,7 +219,7 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pag
                      .where(F.col("visit_no") <= max_pages).select("site", "node", "depth", "visit_no"))
         else:
             fresh = fresh.select("site", "node", "depth", F.lit(None).cast("long").alias("visit_no"))
-        level = stable(fresh)
+        level = materialize(fresh)
         if level.isEmpty():
             break
         seen.append(level)

@@ -40,17 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cannot change what was computed."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a columnar table in the shared checkpoint folder and read it back.
 
-    For results that are used several times: they are computed once, later reads see only the columns
-    and row groups they need, and a lost executor costs nothing but the read.
+    This cuts the lineage for loops and fixes results that are used several times: they are computed
+    once, later reads see only the columns and row groups they need, join planning sees the true size,
+    and a lost executor can change nothing that was computed.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
