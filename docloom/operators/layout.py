@@ -138,10 +138,11 @@ def _pairs(df: DataFrame, keys: Sequence[str], ident: str, x0: str, y0: str, x1:
     sized = join_on(df.select(*keys, *cols), _sides(df, keys, x0, y0, x1, y1), list(keys))
     g = _on_grid(sized, x0, y0, x1, y1)
     a = g.select(*keys, "_gx", "_gy", "_cw", "_ch", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = g.select(*keys, "_gx", "_gy", *[F.col(c).alias(f"{c}_b") for c in cols])
+    # Same columns on both sides, so that one shuffle serves both.
+    b = g.select(*keys, "_gx", "_gy", F.col("_cw").alias("_cw_b"), F.col("_ch").alias("_ch_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
     j = a.join(b, [*keys, "_gx", "_gy"]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
     corner = lambda c, side: _cell(F.greatest(f"{c}_a", f"{c}_b"), side)
-    return j.where((corner(x0, "_cw") == F.col("_gx")) & (corner(y0, "_ch") == F.col("_gy"))).drop("_gx", "_gy", "_cw", "_ch")
+    return j.where((corner(x0, "_cw") == F.col("_gx")) & (corner(y0, "_ch") == F.col("_gy"))).drop("_gx", "_gy", "_cw", "_ch", "_cw_b", "_ch_b")
 
 
 def shape_overlaps(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.numbers import cut
 from docloom.operators.ordered import anchored, previous, running_total
+from docloom.session import materialize
 
 # Length of a session window, prompt limits and prices per million tokens.
 WINDOW_SECONDS = 18_000
@@ -48,12 +49,13 @@ def anchored_sessions(usage: DataFrame) -> DataFrame:
     """
     u = with_total(usage).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     u = anchored(u, ["session"], "_sec", WINDOW_SECONDS, "session_start").withColumn("_now", F.struct("total", "_sec"))
+    u = materialize(u)  # each step below reads its input twice: once per chunk, once per row
     second, order = F.col("_sec"), ["_sec", "ts", "event_id"]
     u = previous(u, ["session"], order, "_now", "_prev", second)
     opens = F.col("_prev").isNull() | (F.col("_prev._sec") < F.col("session_start"))
     rise = F.when(opens, 1).when(F.col("total") > F.col("_prev.total"), 1).otherwise(0)
     u = u.withColumn("prev_total", F.coalesce("_prev.total", F.lit(0))).withColumn("_rise", rise)
-    u = running_total(u, ["session", "session_start"], order, F.col("_rise"), "prompt_count", second)
+    u = running_total(materialize(u), ["session", "session_start"], order, F.col("_rise"), "prompt_count", second)
     return u.withColumn("seconds_in", F.col("_sec") - F.col("session_start")).drop("_sec", "_now", "_prev", "_rise")
 
 

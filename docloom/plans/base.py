@@ -11,6 +11,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+# ``FROM t EACH k BELOW n`` repeats every row n times with k = 0 .. n - 1, in either dialect.
+EACH = re.compile(r"EACH (\w+) BELOW (\d+)")
+
+
 class Tables:
     """Parquet tables of one folder; ``sql`` runs Spark SQL with ``{table}`` placeholders."""
 
@@ -25,12 +29,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        text = EACH.sub(lambda m: f"LATERAL VIEW explode(sequence(0, {int(m[2]) - 1})) each_{m[1]} AS {m[1]}", text)
         names = set(re.findall(r"\{(\w+)\}", text)) - set(frames)
         return self.spark.sql(text, **{n: getattr(self, n) for n in names}, **frames)
 
-    def derived(self, text: str) -> DataFrame:
-        return self.sql(text)
-
 
 class Registry:
     def __init__(self) -> None:
@@ -51,7 +53,8 @@ class Registry:
 
 def with_tables(sql: str, **derived: str) -> str:
     """Prefix the derived inputs as common table expressions in plain table names."""
-    plain = {k: re.sub(r"\{(\w+)\}", r"\1", v).strip() for k, v in derived.items()}
+    unnest = lambda m: f"CROSS JOIN (SELECT unnest(range({m[2]})) AS {m[1]}) each_{m[1]}"
+    plain = {k: EACH.sub(unnest, re.sub(r"\{(\w+)\}", r"\1", v)).strip() for k, v in derived.items()}
     ctes = [f"{k} AS ({v})" for k, v in plain.items()]
     body = sql.strip()
     if not ctes:

@@ -109,7 +109,7 @@ def unique_invoices(t: Tables) -> DataFrame:
     return iv.unique_invoices(t.sql(INVOICES), ["o_orderdate", "o_orderkey"]).select("numero_factura", "cif", "o_orderkey")
 
 
-ATTEMPTS = """SELECT o_orderkey AS doc, o_custkey AS vendor, a AS attempt FROM {orders} CROSS JOIN (SELECT r_regionkey AS a FROM {region} WHERE r_regionkey IN (1, 2)) x WHERE a = 1 OR o_orderkey % 5 < 3 OR o_custkey % 10 = 0"""
+ATTEMPTS = """SELECT o_orderkey AS doc, o_custkey AS vendor, CAST(a + 1 AS INT) AS attempt FROM {orders} EACH a BELOW 2 WHERE a = 0 OR o_orderkey % 5 < 3 OR o_custkey % 10 = 0"""
 
 
 @R.query("tier_stats", """WITH d AS (SELECT doc, max(attempt) AS m FROM att GROUP BY 1) SELECT count(*) AS n_docs, round(count(*) FILTER (m = 1) * 100.0 / count(*), 6) AS first_tier_pct, round(count(*) FILTER (m > 1) * 100.0 / count(*), 6) AS fallback_pct FROM d""", att=ATTEMPTS)

@@ -125,7 +125,7 @@ def absolute_positions(t: Tables) -> DataFrame:
 BOXES = """SELECT 'd' AS doc, CAST(floor(p_partkey / 40) AS BIGINT) AS page, p_partkey * 2 + k AS box_no, p_partkey AS field_no, CASE k WHEN 0 THEN 'label' ELSE 'entry' END AS rect_type,
    p_partkey * 7 % 97 * 10 + k * 25 AS x0, p_partkey * 5 % 53 * 10 AS y0, p_partkey * 7 % 97 * 10 + k * 25 + 10 + p_partkey % 3 * 10 AS x1, p_partkey * 5 % 53 * 10 + 8 + p_partkey % 7 * 2 AS y1,
    p_partkey % 4 <> 0 AS has_text, CAST(CASE WHEN p_partkey % 2 = 0 THEN 12 END AS DOUBLE) AS font_size, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS text
-   FROM {part} CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS k FROM {region} WHERE r_regionkey < 2) ks"""
+   FROM {part} EACH k BELOW 2"""
 _CONFLICTS = """c AS (SELECT a.page, a.box_no, b.box_no AS other_no, a.field_no = b.field_no AS same_field FROM boxes a JOIN boxes b ON a.page = b.page AND a.box_no < b.box_no
   AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0)"""
 

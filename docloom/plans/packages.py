@@ -108,10 +108,14 @@ def unreferenced_parts(t: Tables) -> DataFrame:
 
 @R.query("customers_without_pending_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def customers_without_pending_orders(t: Tables) -> DataFrame:
-    rels = t.orders.where("o_orderstatus = 'P'").select(F.lit("p").alias("doc_id"), F.lit("_rels/.rels").alias("part"), F.lit("").alias("base"), F.col("o_custkey").cast("string").alias("target"), F.lit(1).alias("line"))
-    rels_file = t.region.where("r_regionkey = 0").select(F.lit("p").alias("pkg"), F.lit("_rels/.rels").alias("part"))
-    files = t.customer.select(F.lit("p").alias("pkg"), F.col("c_custkey").cast("string").alias("part")).unionByName(rels_file)
-    return pk.unreferenced_parts(rels, files).select(F.col("part").try_cast("long").alias("c_custkey"))
+    """The same reverse lookup on plain tables: one package per nation, its customers as parts, orders as relationships."""
+    pkg = F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))
+    name = t.customer.select("c_custkey", pkg.alias("doc_id"))
+    pending = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).join(name, "c_custkey")
+    rels = pending.select("doc_id", F.lit("_rels/.rels").alias("part"), F.lit("").alias("base"), F.col("c_custkey").cast("string").alias("target"), F.lit(1).alias("line"))
+    files = t.customer.select(pkg.alias("pkg"), F.col("c_custkey").cast("string").alias("part"))
+    rels_files = t.customer.select(pkg.alias("pkg"), F.lit("_rels/.rels").alias("part")).distinct()
+    return pk.unreferenced_parts(rels, files.unionByName(rels_files)).select(F.col("part").try_cast("long").alias("c_custkey"))
 
 
 @R.query("rid_findings", _both("""

@@ -51,7 +51,7 @@ def stream_sessions(t: Tables) -> DataFrame:
 
 
 RETRIED = """SELECT event_id, ts, 'h' || CAST(event_id AS VARCHAR(20)) AS whisper_hash, CASE k WHEN 0 THEN 'processed' WHEN 1 THEN 'processed' ELSE 'retrieved' END AS status, k
-   FROM {events} CROSS JOIN (SELECT CAST(r_regionkey AS INT) AS k FROM {region} WHERE r_regionkey < 3) x"""
+   FROM {events} EACH k BELOW 3"""
 
 
 @R.query("stream_job_status", "SELECT 'h' || event_id AS whisper_hash, 'processed' AS status FROM events UNION ALL SELECT 'h' || event_id, 'retrieved' FROM events")

@@ -13,11 +13,11 @@ R = Registry()
 
 # Derived inputs: the same SQL runs on both engines.
 HREFS = """
-SELECT page_id, url AS base, k AS kind,
+SELECT page_id, url AS base, CAST(k AS INT) AS kind,
        CASE k WHEN 0 THEN url WHEN 1 THEN '/a/b/' WHEN 2 THEN '../x/./y' WHEN 3 THEN '?q=1' WHEN 4 THEN '#frag'
               WHEN 5 THEN '//cdn.example.com/z/' WHEN 6 THEN ' sub/page.html#s ' WHEN 7 THEN 'mailto:a@b.c'
               WHEN 8 THEN '' ELSE 'a/../b/..' END AS href
-FROM {pages} CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS k FROM {nation} WHERE n_nationkey < 10) ks
+FROM {pages} EACH k BELOW 10
 """
 FETCHES = """
 SELECT event_id, event_id % 4 AS attempt,
@@ -44,10 +44,9 @@ NOTES = """
 SELECT doc_id, lang, source, substr(text, 1, 40) AS first40, text FROM {documents}
 """
 RULES = """
-SELECT DISTINCT lower(regexp_extract(url, '//([^/]*)', 1)) AS host, k.rule_ord AS rule_ord, k.allow AS allow, k.prefix AS prefix
-FROM {pages} CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS rule_ord, n_nationkey = 0 AS allow,
-       CASE n_nationkey WHEN 0 THEN '/en/4' WHEN 1 THEN '/en/' ELSE '/de/' END AS prefix FROM {nation} WHERE n_nationkey < 3) k
-WHERE page_id % 2 = 0
+SELECT DISTINCT lower(regexp_extract(url, '//([^/]*)', 1)) AS host, CAST(k AS INT) AS rule_ord, k = 0 AS allow,
+       CASE k WHEN 0 THEN '/en/4' WHEN 1 THEN '/en/' ELSE '/de/' END AS prefix
+FROM {pages} EACH k BELOW 3 WHERE page_id % 2 = 0
 """
 CRAWL = """
 SELECT page_id AS seq, regexp_extract(url, '//([^/]*)', 1) AS site, url, 'p' || CAST(page_id AS VARCHAR(20)) || '.md' AS file,
