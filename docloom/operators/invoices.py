@@ -188,14 +188,14 @@ def low_confidence(jobs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def once_only(retrievals: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Adds ``answer``: the first retrieval of a hash is served, later ones find it already delivered."""
-    first = retrievals.groupBy("whisper_hash").agg(F.min(F.struct(*order)).alias("_first"))
-    return join_on(retrievals, first, ["whisper_hash"]).withColumn(
+    first = retrievals.groupBy("job_hash").agg(F.min(F.struct(*order)).alias("_first"))
+    return join_on(retrievals, first, ["job_hash"]).withColumn(
         "answer", F.when(F.struct(*order) == F.col("_first"), "served").otherwise("already delivered")).drop("_first")
 
 
 def latest_status(events: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Last status of each job."""
-    return events.groupBy("whisper_hash").agg(F.max_by("status", F.struct(*order)).alias("status"), F.max(F.struct(*order))[order[0]].alias("since"))
+    return events.groupBy("job_hash").agg(F.max_by("status", F.struct(*order)).alias("status"), F.max(F.struct(*order))[order[0]].alias("since"))
 
 
 # --- page ranges and highlights ------------------------------------------------------------------------

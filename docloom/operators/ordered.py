@@ -107,25 +107,26 @@ def _fold(reach: int, n_keys: int, name: str):
             n = batch.num_rows
             if n == 0:
                 continue
-            keys = [batch.column(i).to_pylist() for i in range(n_keys)]
             pos = batch.column(n_keys).to_numpy(zero_copy_only=False)
-            rows = list(zip(*keys)) if n_keys else [()] * n
+            changes = np.zeros(n, dtype=bool)
+            for i in range(n_keys):
+                codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                changes[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(changes).tolist(), n]
+            key_at = lambda at: tuple(batch.column(i)[at].as_py() for i in range(n_keys))  # noqa: B023, E731
+            if key_at(0) != open_key:
+                anchor = None
             starts = np.empty(n, dtype=np.int64)
-            i = 0
-            while i < n:
-                end = i
-                while end < n and rows[end] == rows[i]:
-                    end += 1
-                if rows[i] != open_key:
-                    open_key, anchor = rows[i], None
-                at = i
+            for at, end in zip(cuts, cuts[1:]):
+                if at:
+                    anchor = None
                 while at < end:
                     if anchor is None or pos[at] - anchor > reach:
                         anchor = int(pos[at])
                     stop = at + int(np.searchsorted(pos[at:end], anchor + reach, side="right"))
                     starts[at:stop] = anchor
                     at = stop
-                i = end
+            open_key = key_at(n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], names=[*batch.schema.names, name])
 
     return run

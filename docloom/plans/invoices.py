@@ -122,7 +122,7 @@ def always_fallback(t: Tables) -> DataFrame:
     return iv.always_fallback(t.sql(ATTEMPTS))
 
 
-JOBS = """SELECT event_id, user_id AS account, 'h' || CAST(event_id % 3000 AS VARCHAR(20)) AS whisper_hash, ts, event_type AS tag, 1 + event_id % 9 AS pages,
+JOBS = """SELECT event_id, user_id AS account, 'h' || CAST(event_id % 3000 AS VARCHAR(20)) AS job_hash, ts, event_type AS tag, 1 + event_id % 9 AS pages,
    CASE event_id % 4 WHEN 0 THEN 'native_text' WHEN 1 THEN 'low_cost' WHEN 2 THEN 'high_quality' ELSE 'form' END AS mode,
    CASE event_id % 4 WHEN 0 THEN 'native_text' WHEN 1 THEN 'low_cost' WHEN 2 THEN 'high_quality' ELSE 'form' END AS service_type,
    CASE event_type WHEN 'view' THEN 'accepted' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'processed' WHEN 'signup' THEN 'retrieved' ELSE 'error' END AS status FROM {events}"""
@@ -176,14 +176,14 @@ def low_confidence(t: Tables) -> DataFrame:
     return iv.low_confidence(jobs).groupBy("doc", "line_no").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("once_only", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY whisper_hash ORDER BY ts, event_id) = 1 THEN 'served' ELSE 'already delivered' END AS answer FROM jobs", jobs=JOBS)
+@R.query("once_only", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY job_hash ORDER BY ts, event_id) = 1 THEN 'served' ELSE 'already delivered' END AS answer FROM jobs", jobs=JOBS)
 def once_only(t: Tables) -> DataFrame:
     return iv.once_only(t.sql(JOBS), ("ts", "event_id")).select("event_id", "answer")
 
 
-@R.query("latest_status", "SELECT whisper_hash, arg_max(status, (ts, event_id)) AS status FROM jobs GROUP BY 1", jobs=JOBS)
+@R.query("latest_status", "SELECT job_hash, arg_max(status, (ts, event_id)) AS status FROM jobs GROUP BY 1", jobs=JOBS)
 def latest_status(t: Tables) -> DataFrame:
-    return iv.latest_status(t.sql(JOBS), ("ts", "event_id")).select("whisper_hash", "status")
+    return iv.latest_status(t.sql(JOBS), ("ts", "event_id")).select("job_hash", "status")
 
 
 SPECS = """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '1-5,7,21-' WHEN 1 THEN '3' WHEN 2 THEN '2-4, 3-6' ELSE '24-99' END AS spec, CAST(20 + n_nationkey AS INT) AS total FROM {nation}"""

@@ -10,7 +10,7 @@ from docloom.operators import dom
 from docloom.operators import packages as pk
 from docloom.plans.base import Registry, Tables
 from docloom.session import materialize
-from docloom.sources.markup import markup_parts, xml_nodes
+from docloom.sources.markup import markup_parts, spread, xml_nodes
 
 R = Registry()
 
@@ -69,7 +69,7 @@ def _as_sql(template: str) -> str:
 def parts(t: Tables) -> DataFrame:
     """``(pkg, part, bytes)`` of all packages; package ``k<n>``, without master relationships where n % 7 = 0."""
     exprs = [F.struct(F.lit(name).alias("part"), F.expr(_as_sql(x)).alias("bytes")) for name, x in _PARTS.items()]
-    base = t.customer.select(F.col("c_custkey").alias("n"))
+    base = spread(t.customer.select(F.col("c_custkey").alias("n")))
     rows = base.select("n", F.concat(F.lit("k"), F.col("n").cast("string")).alias("pkg"), F.explode(F.array(*exprs)).alias("x"))
     return rows.select("n", "pkg", "x.*").where("NOT (n % 7 = 0 AND part = 'ppt/slideMasters/_rels/slideMaster1.xml.rels')").drop("n")
 

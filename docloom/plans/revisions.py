@@ -12,7 +12,7 @@ from docloom.operators import packages as pk
 from docloom.operators import revisions as rv
 from docloom.plans.base import Registry, Tables
 from docloom.session import materialize
-from docloom.sources.markup import xml_nodes
+from docloom.sources.markup import spread, xml_nodes
 
 R = Registry()
 
@@ -45,7 +45,7 @@ def _doc(t: Tables, tracked: bool, silent: bool = False) -> DataFrame:
 
     body = F.array_join(F.transform(F.split("text", "\n"), line), "")
     xml = cat(lit(f'<w:document xmlns:w="{_W}"><w:body>'), body, lit("</w:body></w:document>"))
-    return t.documents.select(F.col("doc_id").cast("string").alias("pkg"), F.lit("word/document.xml").alias("part"), xml.alias("bytes"))
+    return spread(t.documents.select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("pkg"), F.lit("word/document.xml").alias("part"), xml.alias("bytes"))
 
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
@@ -142,7 +142,7 @@ def _runs(t: Tables) -> DataFrame:
         return (F.when(i % 3 == 0, F.concat(F.lit("<w:t>"), x, F.lit(" </w:t>"))).when(i % 3 == 1, F.concat(F.lit('<w:t xml:space="preserve"> '), x, F.lit("</w:t>")))
                 .otherwise(F.concat(F.lit("<w:del><w:r><w:t>x"), x, F.lit("</w:t></w:r></w:del><w:ins><w:delText>y</w:delText><w:del><w:delText>z</w:delText></w:del></w:ins>"))))
     xml = F.concat(F.lit(f'<w:document xmlns:w="{_W}">'), F.array_join(F.transform(F.split("text", "\n"), line), "\n"), F.lit("</w:document>"))
-    return t.documents.select(F.col("doc_id").cast("string").alias("pkg"), F.lit("word/document.xml").alias("part"), xml.alias("bytes"))
+    return spread(t.documents.select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("pkg"), F.lit("word/document.xml").alias("part"), xml.alias("bytes"))
 
 
 @R.query("whitespace_findings", f"WITH {_LINES} SELECT doc_id, i + 1 AS line FROM b WHERE i % 3 = 0")

@@ -50,20 +50,20 @@ def stream_sessions(t: Tables) -> DataFrame:
     return _run(t, st.stream_sessions(_view(t, _stream(t, "events"), USAGE))).drop("session")
 
 
-RETRIED = """SELECT event_id, ts, 'h' || CAST(event_id AS VARCHAR(20)) AS whisper_hash, CASE k WHEN 0 THEN 'processed' WHEN 1 THEN 'processed' ELSE 'retrieved' END AS status, k
+RETRIED = """SELECT event_id, ts, 'h' || CAST(event_id AS VARCHAR(20)) AS job_hash, CASE k WHEN 0 THEN 'processed' WHEN 1 THEN 'processed' ELSE 'retrieved' END AS status, k
    FROM {events} EACH k BELOW 3"""
 
 
-@R.query("stream_job_status", "SELECT 'h' || event_id AS whisper_hash, 'processed' AS status FROM events UNION ALL SELECT 'h' || event_id, 'retrieved' FROM events")
+@R.query("stream_job_status", "SELECT 'h' || event_id AS job_hash, 'processed' AS status FROM events UNION ALL SELECT 'h' || event_id, 'retrieved' FROM events")
 def stream_job_status(t: Tables) -> DataFrame:
-    log = _run(t, st.stream_job_status(_view(t, _stream(t, "events"), RETRIED).select("whisper_hash", "status", "ts")))
-    return log.select("whisper_hash", "status")
+    log = _run(t, st.stream_job_status(_view(t, _stream(t, "events"), RETRIED).select("job_hash", "status", "ts")))
+    return log.select("job_hash", "status")
 
 
-@R.query("stream_latest_status", "SELECT 'h' || event_id AS whisper_hash, 'retrieved' AS status FROM events")
+@R.query("stream_latest_status", "SELECT 'h' || event_id AS job_hash, 'retrieved' AS status FROM events")
 def stream_latest_status(t: Tables) -> DataFrame:
-    log = _run(t, st.stream_job_status(_view(t, _stream(t, "events"), RETRIED).select("whisper_hash", "status", "ts")))
-    return iv.latest_status(log, ("ts", "status")).select("whisper_hash", "status")
+    log = _run(t, st.stream_job_status(_view(t, _stream(t, "events"), RETRIED).select("job_hash", "status", "ts")))
+    return iv.latest_status(log, ("ts", "status")).select("job_hash", "status")
 
 
 SERVICE = "SELECT ts, 1 + event_id % 9 AS pages, CASE event_id % 4 WHEN 0 THEN 'native_text' WHEN 1 THEN 'low_cost' WHEN 2 THEN 'high_quality' ELSE 'form' END AS service_type FROM {events}"

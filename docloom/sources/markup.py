@@ -166,6 +166,13 @@ def _parse(make):
     return run
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a small scan: a file scan with fewer splits than there are cores is redistributed
+    before the tokeniser; a scan with enough splits is left as it is, so large inputs are not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def html_nodes(df: DataFrame, doc: Column | str, html: str = "html", part: Column | str = "") -> DataFrame:
     """HTML text -> nodes.  Only the three needed columns cross to the Python workers."""
     d = F.col(doc) if isinstance(doc, str) else doc
