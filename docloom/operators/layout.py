@@ -63,7 +63,7 @@ def frame_overflow(shapes: DataFrame, default_size: int = 14) -> DataFrame:
     zero = F.lit(0.0)
     parts = F.transform("paragraphs", lambda p, i: F.when(F.trim(p["text"]) == "", zero).otherwise(
         p["n_lines"] * px(F.when(F.coalesce(p["line_spacing"], zero) != 0, p["line_spacing"]).otherwise(
-            F.floor(F.coalesce(p["font_size"], F.lit(float(default_size))))))
+            F.floor(F.when(F.coalesce(p["font_size"], zero) != 0, p["font_size"]).otherwise(F.lit(float(default_size))))))
         + F.when(i > 0, px(F.coalesce(p["space_before"], zero))).otherwise(zero) + px(F.coalesce(p["space_after"], zero))))
     total = F.aggregate(parts, zero, lambda a, x: a + x)
     inside = lambda c, margin: N.pixels(N.inches_2(F.col(c)).cast("double") - F.lit(2 * margin))

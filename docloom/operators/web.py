@@ -172,12 +172,11 @@ def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
     target = F.regexp_replace(F.regexp_replace(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*", ""), "#.*$", "")
     target = F.when(target == "", F.lit("/")).otherwise(target)
     with_host = urls.withColumn("_host", U.host(F.col(url))).withColumn("_target", target)
-    hit = F.element_at(F.filter("_rules", lambda r: F.col("_target").startswith(r["prefix"])), 1)
-    joined = with_host.join(packed.withColumnRenamed("host", "_host"), "_host", "left")
-    return (joined.withColumn("_n", F.size(F.filter("_rules", lambda r: F.col("_target").startswith(r["prefix"]))))
-            .withColumn("allowed", F.when(F.coalesce("_n", F.lit(0)) > 0, hit["allow"]).otherwise(F.lit(True)))
-            .withColumn("status", F.when(F.col("allowed"), F.lit("")).otherwise("blocked_robots"))
-            .drop("_host", "_target", "_rules", "_n"))
+    fits = F.filter("_rules", lambda r: (r["prefix"] == "*") | F.col("_target").startswith(r["prefix"]))
+    # A prohibition with an empty prefix prohibits nothing.
+    allowed = F.coalesce(F.get(F.transform(fits, lambda r: r["allow"] | (r["prefix"] == "")), F.lit(0)), F.lit(True))
+    joined = with_host.join(packed.withColumnRenamed("host", "_host"), "_host", "left").withColumn("allowed", allowed)
+    return joined.withColumn("status", F.when(F.col("allowed"), F.lit("")).otherwise("blocked_robots")).drop("_host", "_target", "_rules")
 
 
 def resume_pending(candidates: DataFrame, index: DataFrame, url: str = "url") -> DataFrame:
