@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
-from docloom.operators.ordered import first_n, join_on, running_total
+from docloom.operators.ordered import first_n, running_total
 from docloom.session import materialize
 
 # Error texts in the order in which they are looked for.

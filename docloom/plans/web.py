@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import urls as U
 from docloom.operators import web
 from docloom.plans.base import Registry, Tables
 

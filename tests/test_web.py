@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.functions import text as T
-from docloom.functions import urls as U
 from docloom.operators import web
 
 BASES = ["https://a.org/x/y.html?q=1#f", "http://B.org:80", "https://a.org/x/", "https://a.org/ü/z"]
