@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import exact, secrets
+from docloom.llm import bpe, exact, secrets
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -27,3 +28,8 @@ def op2(t: Tables) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
     return found.select("doc_id", count(0), count(1), count(2), count(3), F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+@R.query("op9_byte_bpe")
+def op9(t: Tables) -> DataFrame:
+    return bpe.round_trip(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)

@@ -56,7 +56,10 @@ def samples_from(docs: DataFrame, text: str = "text") -> DataFrame:
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(
         F.base64(digest), F.translate(F.base64(digest), "+/", "-_"), F.upper(F.conv(F.substring(F.hex(digest), 1, 15), 16, 36)),
         F.lower(F.hex(digest)))).alias("text"), F.lit(1).alias("label"))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS)
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))  # so that each task puts forward only a few texts
+    drawn = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    texts = drawn.orderBy(F.xxhash64("t", F.lit(1))).limit(SAMPLE_DOCS)
     words = texts.select(F.array_distinct(F.expr("regexp_extract_all(t, '[A-Za-z]{2,}', 0)")).alias("w"))
     pairs = F.expr("filter(zip_with(w, slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> array(a, b)), x -> x[1] is not null)")
     joined = F.flatten(F.transform(pairs, lambda p: F.array(
