@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact, secrets
+from docloom.llm import binary, bpe, exact, packing, secrets
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -33,3 +33,18 @@ def op2(t: Tables) -> DataFrame:
 @R.query("op9_byte_bpe")
 def op9(t: Tables) -> DataFrame:
     return bpe.round_trip(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+@R.query("op10_id_planes")
+def op10(t: Tables) -> DataFrame:
+    folder = binary.write_ids(t.documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return binary.read_ids(t.spark, folder, digests=True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN))
+
+
+@R.query("op5_best_fit_packing")
+def op5(t: Tables) -> DataFrame:
+    return packed(t.documents)
