@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, exact, packing, quality, secrets
+from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -54,3 +54,8 @@ def op5(t: Tables) -> DataFrame:
 def op3(t: Tables) -> DataFrame:
     scored = quality.score(t.documents, quality.fit(t.documents, t.labels))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@R.query("op8_jaccard_join")
+def op8(t: Tables) -> DataFrame:
+    return jaccard.similar_groups(t.documents)
