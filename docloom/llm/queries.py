@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets
+from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets, topk
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -59,3 +59,14 @@ def op3(t: Tables) -> DataFrame:
 @R.query("op8_jaccard_join")
 def op8(t: Tables) -> DataFrame:
     return jaccard.similar_groups(t.documents)
+
+
+@R.query("op7_exact_top_k", oracle="""
+    WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op7(t: Tables) -> DataFrame:
+    return topk.search(t.embeddings, t.embeddings.where("vec_id % 50 = 0"))
