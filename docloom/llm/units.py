@@ -11,7 +11,8 @@ from collections.abc import Callable
 from typing import Any
 
 # White space other than single blanks and line ends; a blank next to white space is not a safe place to cut.
-UNUSUAL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+UNUSUAL = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+UNUSUAL_WIDE = UNUSUAL + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MEMORY = 500_000  # units kept per worker and tokenizer, in each of two generations
 MARKS = frozenset(",.;:!?)")
@@ -23,8 +24,11 @@ def units_of(text: str) -> list[str]:
     Pre-tokenizers of byte-level and word-level BPE begin a new piece at such a blank, so pieces can be
     encoded one by one (the first as it is, the others with a blank in front).
     """
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or UNUSUAL.search(text):
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
         return BOUNDARY.split(text)
+    for c in UNUSUAL if text.isascii() else UNUSUAL_WIDE:
+        if c in text:
+            return BOUNDARY.split(text)
     return text.split(" ")
 
 
@@ -45,17 +49,21 @@ class Memory:
         self.old: dict[str, Any] = {}
 
     def all(self, keys: list[str]) -> list[Any]:
-        try:
-            return [self.young[k] for k in keys]
-        except KeyError:
-            pass
-        young, old, compute = self.young, self.old, self.compute
-        for k in keys:
-            if k not in young:
-                young[k] = old[k] if k in old else compute(k)
-        found = [young[k] for k in keys]
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+        found = list(map(self.young.get, keys))
+        if None in found:
+            young, old, compute = self.young, self.old, self.compute
+            for i, value in enumerate(found):
+                if value is None:
+                    k = keys[i]
+                    value = young.get(k)
+                    if value is None:
+                        value = old.get(k)
+                        if value is None:
+                            value = compute(k)
+                        young[k] = value
+                    found[i] = value
+            if len(young) > self.limit:
+                self.old, self.young = young, {}
         return found
 
 
@@ -68,8 +76,10 @@ class UnitMemory:
 
     def __call__(self, text: str) -> list[Any]:
         words = units_of(text)
-        first = self.compute(words[0])
-        return [first, *self.later.all(words[1:])]
+        first = self.compute(words.pop(0))
+        found = self.later.all(words)
+        found.insert(0, first)
+        return found
 
 
 def simple_pieces(unit: str, find: Callable[[str], list[str]]) -> list[str]:
