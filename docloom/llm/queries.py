@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets, topk
+from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets, substrings, topk
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -70,3 +70,8 @@ def op8(t: Tables) -> DataFrame:
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op7(t: Tables) -> DataFrame:
     return topk.search(t.embeddings, t.embeddings.where("vec_id % 50 = 0"))
+
+
+@R.query("op4_substring_dedup")
+def op4(t: Tables) -> DataFrame:
+    return substrings.without_repeats(t.documents, digests=True)
