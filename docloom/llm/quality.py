@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return train(chunk_matrix(parts, [[0]] * len(parts)), document, np.array([y for _, y, _ in rows], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``score`` (probability of label 1) for every row: all chunks of the whole text are read, a bounded
+def score(docs: DataFrame, model: dict, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` and ``score`` (probability of label 1) of every row: all chunks of the whole text are read, a bounded
     number at a time.  Null and empty texts are one empty chunk; repeated rows are scored again; an empty table
     gives none; other columns are not read, and nothing but the text enters the score."""
 
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text")
                     logits.setdefault(i, []).append(values[at : at + len(places)])
                     at += len(places)
 
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(0)):
                 raw = (value.as_py() or "").encode()
                 places = chunk_starts(len(raw))
                 for at in range(0, len(places), AT_ONCE):
@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text")
             for i, parts in logits.items():
                 z = np.dot(document_features(np.concatenate(parts)), model["last"])
                 scores[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*keep, "score"])
 
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_id {rows.schema[0].dataType.simpleString()}, score double").withColumnRenamed("_id", id)
+    rows = docs.select(F.col(text).alias("_text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{fields}, score double")

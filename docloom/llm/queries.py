@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, exact, jaccard, packing, quality, secrets, substrings, topk
+from docloom.llm import binary, bpe, exact, html_extract, html_pages, jaccard, packing, quality, secrets, substrings, topk
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -75,3 +75,12 @@ def op7(t: Tables) -> DataFrame:
 @R.query("op4_substring_dedup")
 def op4(t: Tables) -> DataFrame:
     return substrings.without_repeats(t.documents, digests=True)
+
+
+TRAINING_PAGES = 400
+
+
+@R.query("op1_html_extract")
+def op1(t: Tables) -> DataFrame:
+    texts = html_extract.extract(t.pages, html_extract.train(html_pages.training_pages(TRAINING_PAGES)))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

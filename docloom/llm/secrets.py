@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,23 +98,23 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
-def scan(docs: DataFrame, model: list[float], id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``text`` and ``spans`` (array of start, kind, end, match; by start, then kind).
+def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs``: the columns in ``keep``, ``text`` and ``spans`` (array of start, kind, end, match; by start, then kind).
 
     Kinds 0 to 2 are the base patterns over the whole text; kind 3 are other runs of 20 and more key characters
     whose mean log-likelihood ratio reaches ``threshold`` and which hold no base match.  Null text counts as empty
     (no spans, text empty); an empty table gives no rows; other columns are not read.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("_id"), whole.alias("_text"))
+    rows = docs.select(F.struct(*keep).alias("_keep"), whole.alias("_text"))
     t = F.col("_text")
     long_enough = lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= 12
     base = rf"{ASSIGN}|{ACCESS}|{HEX}"
     rows = rows.select(
-        "_id", "_text", F.filter(_spans(t, ASSIGN, 0), long_enough).alias("_assign"), _spans(t, ACCESS, 1).alias("_access"), _spans(t, HEX, 2).alias("_hex"),
+        "_keep", "_text", F.filter(_spans(t, ASSIGN, 0), long_enough).alias("_assign"), _spans(t, ACCESS, 1).alias("_access"), _spans(t, HEX, 2).alias("_hex"),
         F.when(t.rlike(CANDIDATE), F.filter(_spans(t, rf"{base}|{CANDIDATE}", 3), lambda x: ~x["match"].rlike(base))).alias("_rest"))
     random = F.filter(F.coalesce("_rest", F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")), lambda x: ratio(x["match"], model) >= threshold)
-    return rows.select(F.col("_id").alias(id), F.col("_text").alias(text), F.array_sort(F.concat("_assign", "_access", "_hex", random)).alias("spans"))
+    return rows.select(*[F.col("_keep").getField(k).alias(k) for k in keep], F.col("_text").alias(text), F.array_sort(F.concat("_assign", "_access", "_hex", random)).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
