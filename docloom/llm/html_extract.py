@@ -36,7 +36,7 @@ STEMS = {
     "social": "share sharing social follow tags meta byline", "content": "article content post entry story main body text prose page",
 }
 STEM_AT = {w: i + 1 for i, words in enumerate(STEMS.values()) for w in words.split()}
-SIZES = (len(TAGS) + 1, len(STEMS) + 1, 18, 6, 6, len(TAGS) + 1, 6)  # categories of the features
+SIZES = (len(TAGS) + 1, len(STEMS) + 1, 12, 6, 6, len(TAGS) + 1, 6)  # categories of the features
 EDGES = 4  # kinds of parent-child edges: to text, inline, block, and named elements
 OFFSETS = np.cumsum([0, *SIZES[:-1]])
 
@@ -153,7 +153,7 @@ class Trees:
         bucket = lambda x, top: np.minimum(np.ceil(np.log2(x + 1)), top).astype(np.int64)
         density = np.floor(5 * totals[:, 1] / np.maximum(totals[:, 0], 1)).clip(max=5).astype(np.int64)
         group = np.array(self.group, dtype=np.int64)
-        columns = np.stack([tag, group, bucket(totals[:, 0], 17), density, bucket(totals[:, 2], 5), np.where(parent >= 0, tag[parent], len(TAGS)), bucket(children, 5)], axis=1)
+        columns = np.stack([tag, group, bucket(totals[:, 0], 11), density, bucket(totals[:, 2], 5), np.where(parent >= 0, tag[parent], len(TAGS)), bucket(children, 5)], axis=1)
         block = np.array([t in BLOCK for t in self.tag])
         kind = np.where(tag == 0, 0, np.where(group > 0, 3, np.where(block, 2, 1)))
         return parent, columns + OFFSETS, kind
@@ -200,7 +200,7 @@ def marginals(model: dict, parent: np.ndarray, columns: np.ndarray, kind: np.nda
     return content, pairs / pairs.sum(axis=(1, 2), keepdims=True)
 
 
-def train(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> dict:
+def train(pages: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> dict:
     """Fits node and edge potentials to pages labelled with ``data-content``: the gradient of the likelihood is what the
     labels show minus what sum-product expects.  Empty training gives a model that keeps nothing certain (0.5)."""
     trees = Trees()

@@ -57,8 +57,8 @@ KINDS = ["nav", "menu", "header", "banner", "footer", "foot", "aside", "sidebar"
 def _paragraphs(r: random.Random) -> str:
     parts = [f"<h1>{_words(r, r.randint(3, 9))}</h1>"] if r.random() < 0.8 else []
     style = r.choice(STYLES)
-    for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
-        text = _words(r, r.randint(1, 10) if r.random() < 0.3 else r.randint(8, 110), style)
+    for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 40])):
+        text = _words(r, r.choice([r.randint(1, 10), r.randint(8, 110), r.randint(8, 110), r.randint(8, 110), r.randint(100, 450)]), style)
         if r.random() < 0.2:
             words = text.split()
             at = r.randrange(len(words))
@@ -100,6 +100,9 @@ def training_pages(n: int, seed: int = 5) -> list[str]:
             continue
         if r.random() < 0.4:
             inner = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}">{inner}</div>'
+        if r.random() < 0.1:  # a fragment
+            pages.append(inner)
+            continue
         head = f"<head><title>{_words(r, 5)}</title><style>p{{margin:0}}</style></head>" if r.random() < 0.8 else ""
         pages.append(f"<!DOCTYPE html><html>{head}<body>{inner}</body></html>")
     return pages

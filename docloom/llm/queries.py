@@ -77,7 +77,7 @@ def op4(t: Tables) -> DataFrame:
     return substrings.without_repeats(t.documents, digests=True)
 
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 
 
 @R.query("op1_html_extract")
