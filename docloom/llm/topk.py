@@ -126,7 +126,7 @@ def build_index(rows: DataFrame, scale: int, block: int) -> DataFrame:
         for batch in batches:
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q = quantised(value, scale)
-                if q is None or i is None:
+                if not q or i is None:
                     continue
                 ids, values = groups.setdefault(len(q), ([], []))
                 ids.append(i)
@@ -148,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id
     rows at the boundary are settled by exact score and id.  The best of each block then meet under a rank limit.
 
     Ties go to the smaller id; a query never finds a row of its own id; rows that share an id are candidates of their
-    own, and queries that share one are answered once; vectors that are null, hold null or non-finite components, or have
+    own, and queries that share one are answered once; vectors that are null or empty, hold null or non-finite components, or have
     no id take no part, and only vectors of the query's length are compared.  Fewer candidates than ``k`` give all; no queries give no rows.
     """
     spark = vectors.sparkSession
@@ -163,7 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id
         for batch in batches:
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 q = quantised(value, scale)
-                if q is None or i is None:
+                if not q or i is None:
                     continue
                 part = held.setdefault(len(q), [])
                 part.append((i, np.array(q, dtype=np.int64).tobytes()))
