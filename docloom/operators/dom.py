@@ -57,37 +57,55 @@ def _attr(name: str) -> Column:
     return F.coalesce(F.col("attrs")[name], F.lit(""))
 
 
+_SIMPLE = re.compile(r"""[a-zA-Z][\w-]*|\*|\.[\w-]+|\#[\w-]+|\[\s*[\w:-]+\s*(?:[*^$~]?=\s*(?:'[^']*'|"[^"]*"|[^'"\]\s]+)\s*)?\]""")
+
+
 def simple_match(selector: str) -> Column:
-    """Predicate for one compound selector: ``tag``, ``.class``, ``#id``, ``[a='v']``, ``[a*='v']`` in any mix."""
+    """Predicate for one compound selector: ``tag``, ``*``, ``.class``, ``#id``, ``[a]``, ``[a='v']`` and the tests
+    ``*=``, ``^=``, ``$=``, ``~=``, in any mix.  Anything else raises, so that no selector matches by accident."""
     cond = F.col("kind") == "e"
     rest = selector.strip()
-    for token in re.findall(r"^[a-zA-Z][\w-]*|\.[\w-]+|#[\w-]+|\[[^\]]+\]", rest):
+    tokens = _SIMPLE.findall(rest)
+    if not rest or "".join(tokens) != rest or any(t[0] not in ".#[" for t in tokens[1:]):
+        raise ValueError(f"unsupported selector: {selector!r}")
+    for token in tokens:
         if token[0] == ".":
             cond = cond & F.concat(F.lit(" "), F.regexp_replace(_attr("class"), r"\s+", " "), F.lit(" ")).contains(f" {token[1:]} ")
         elif token[0] == "#":
             cond = cond & (_attr("id") == token[1:])
         elif token[0] == "[":
-            name, op, value = re.match(r"""\[([\w-]+)(\*?=)['"]?([^'"\]]*)['"]?\]""", token).groups()
-            cond = cond & (_attr(name).contains(value) if op == "*=" else _attr(name) == value)
-        else:
+            name, op, value = re.match(r"""\[\s*([\w:-]+)\s*(?:([*^$~]?=)\s*(.*?)\s*)?\]$""", token).groups()
+            value = (value or "").strip("'\"")
+            has, a = F.col("attrs")[name].isNotNull(), _attr(name)
+            words = F.concat(F.lit(" "), F.regexp_replace(a, r"\s+", " "), F.lit(" "))
+            tests = {None: has, "=": has & (a == value), "*=": a.contains(value), "^=": a.startswith(value), "$=": a.endswith(value), "~=": words.contains(f" {value} ")}
+            cond = cond & (tests[op] if op in (None, "=") or value else F.lit(False))
+        elif token != "*":
             cond = cond & (F.col("tag") == token)
     return cond
 
 
 def select(nodes: DataFrame, selectors: Sequence[str], name: str = "hit") -> DataFrame:
-    """Adds ``hit``: the element matches one of the selectors; blanks mean "somewhere below".
+    """Adds ``hit``: the element matches one of the selectors; a blank means "somewhere below", ``>`` "directly below".
 
-    The "below" test keeps, per document in order, how far the subtrees of the outer matches reach.
+    The "below" test keeps, per document in order, how far the subtrees of the outer matches reach; "directly below"
+    looks for the parent among the outer matches of the same document.
     """
     doc_order = Window.partitionBy(*DOC).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     cond, out = F.lit(False), nodes
     for i, selector in enumerate(selectors):
-        steps = selector.split()
+        steps = re.findall(r"""(?:\[(?:'[^']*'|"[^"]*"|[^\]])*\]|[^\s>\[])+|>""", selector)
         inside = None
         for j, step in enumerate(steps[:-1]):
+            if step == ">":
+                continue
             here = simple_match(step) if inside is None else simple_match(step) & inside
-            out = out.withColumn(f"_reach{i}_{j}", F.max(F.when(here, F.col("end_id"))).over(doc_order))
-            inside = F.coalesce(F.col(f"_reach{i}_{j}") >= F.col("node_id"), F.lit(False))
+            if steps[j + 1] == ">":
+                out = out.withColumn(f"_reach{i}_{j}", F.collect_set(F.when(here, F.col("node_id"))).over(doc_order))
+                inside = F.array_contains(f"_reach{i}_{j}", F.col("parent_id"))
+            else:
+                out = out.withColumn(f"_reach{i}_{j}", F.max(F.when(here, F.col("end_id"))).over(doc_order))
+                inside = F.coalesce(F.col(f"_reach{i}_{j}") >= F.col("node_id"), F.lit(False))
         last = simple_match(steps[-1])
         cond = cond | (last if inside is None else last & inside)
     helpers = [c for c in out.columns if c.startswith("_reach")]
@@ -138,20 +156,20 @@ def main_content(nodes: DataFrame, selector: str | None = None) -> DataFrame:
     """Where the main text of each document is: ``(doc_id, part, rule, node_id, end_id, chars)``.
 
     A given selector wins whatever it holds.  Otherwise the first rule in list order whose first match
-    holds more than 100 trimmed characters; then body (rule 90), then the whole document (rule 99).
+    holds more than 100 trimmed characters; then body (rule 90), then the whole document (rule 99), whatever it
+    begins with: fragments and documents whose first element was pruned have their row too.
     """
     ranked = [(i, simple_match(s)) for i, s in enumerate(MAIN_SELECTORS, 1)]
     hits = F.filter(F.array(*[F.when(cond, F.lit(i)) for i, cond in ranked],
-                            F.when((F.col("kind") == "e") & (F.col("tag") == "body"), F.lit(90)),
-                            F.when(F.col("node_id") == 0, F.lit(99))), lambda x: x.isNotNull())
+                            F.when((F.col("kind") == "e") & (F.col("tag") == "body"), F.lit(90))), lambda x: x.isNotNull())
     source = nodes
     if selector:
         source = select(nodes, [s.strip() for s in selector.split(",")])
         hits = F.concat(F.when(F.col("hit"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), hits)
-    ends = F.when(F.col("node_id") == 0, F.lit(2147483647)).otherwise(F.col("end_id"))
-    firsts = (source.where(F.col("kind") == "e").select(*DOC, "node_id", ends.alias("_end"), F.explode(hits).alias("rule"))
-              .groupBy(*DOC, "rule").agg(F.min(F.struct("node_id", "_end")).alias("_at"))
-              .select(*DOC, "rule", "_at.node_id", F.col("_at._end").alias("end_id")))
+    firsts = (source.where(F.col("kind") == "e").select(*DOC, "node_id", "end_id", F.explode(hits).alias("rule"))
+              .groupBy(*DOC, "rule").agg(F.min(F.struct("node_id", "end_id")).alias("_at")).select(*DOC, "rule", "_at.*"))
+    whole = nodes.select(*DOC).distinct().withColumns({"rule": F.lit(99), "node_id": F.lit(0).cast(nodes.schema["node_id"].dataType), "end_id": F.lit(2147483647).cast(nodes.schema["end_id"].dataType)})
+    firsts = firsts.unionByName(whole)
     texts = nodes.where(F.col("kind") == "t").select(*DOC, F.col("node_id").alias("_t"), F.length(T.strip(F.col("text"))).alias("_n"))
     sized = firsts.join(texts, DOC, "left").groupBy(*DOC, "rule", "node_id", "end_id").agg(
         F.coalesce(F.sum(F.when(F.col("_t").between(F.col("node_id"), F.col("end_id")), F.col("_n"))), F.lit(0)).alias("chars"))
@@ -166,9 +184,11 @@ def within(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     return nodes.join(r, DOC).where(F.col("node_id").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
-def page_metadata(nodes: DataFrame) -> DataFrame:
+def page_metadata(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Title, description and language of each document; missing values are empty texts.
 
+    ``docs(doc_id, part)`` adds documents that have no node at all, such as empty pages.
+
     Title: ``og:title``, else the title element, else the first h1.  One pass of partial aggregates.
     """
     first = lambda cond, value: F.min_by(F.when(cond, value), F.when(cond, F.col("node_id")))
@@ -191,6 +211,8 @@ def page_metadata(nodes: DataFrame) -> DataFrame:
     out = joined.groupBy(*DOC).agg(*[first_row(c) for c in ("_og_t", "_og_d", "_d", "_cl", "_l")],
                                    pieces("_t").alias("_title"), pieces("_h").alias("_h1"))
     pick = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs], F.lit(""))
+    if docs is not None:
+        out = docs.select(*DOC).distinct().join(out, DOC, "left")
     return out.select(*DOC, pick(F.col("_og_t"), F.col("_title"), F.col("_h1")).alias("title"),
                       pick(F.col("_og_d"), F.col("_d")).alias("description"),
                       pick(F.col("_l.a"), F.col("_l.b"), F.col("_cl")).alias("language"))
@@ -201,8 +223,8 @@ def _joined() -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "text"))), lambda s: s["text"]), "")
 
 
-def element_text(nodes: DataFrame, wanted: Column | None = None, keep_blank: bool = False) -> DataFrame:
-    """Text below each wanted element, in order: ``(doc_id, part, node_id, content)``.
+def element_text(nodes: DataFrame, wanted: Column | None = None, keep_blank: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Text below each wanted element (by condition, or the rows of ``among``), in order: ``(doc_id, part, node_id, content)``.
 
     White-space-only text is skipped unless ``keep_blank``.  Elements without text give no row.
     """
@@ -213,6 +235,8 @@ def element_text(nodes: DataFrame, wanted: Column | None = None, keep_blank: boo
     pairs = txt.select(*DOC, F.explode("ancestors").alias("node_id"), F.col("node_id").alias("_t"), "text")
     if wanted is not None:
         pairs = pairs.join(nodes.where(cond & wanted).select(*DOC, "node_id"), [*DOC, "node_id"])
+    if among is not None:
+        pairs = pairs.join(among, [*DOC, "node_id"])
     return pairs.groupBy(*DOC, "node_id").agg(_joined().alias("content"))
 
 
@@ -228,7 +252,8 @@ def find_nodes(nodes: DataFrame, queries: DataFrame) -> DataFrame:
         (F.col("line_from").isNull() | (F.col("line") >= F.col("line_from")))
         & (F.col("line_to").isNull() | (F.col("line") <= F.col("line_to")))
         & (F.col("_want").isNull() | F.forall(F.map_entries("_want"), lambda e: F.coalesce(F.col("attrs")[e["key"]], F.lit("")) == e["value"])))
-    texts = element_text(nodes)
+    asked = hit.where("contains IS NOT NULL").select(*DOC, "node_id").distinct()
+    texts = element_text(nodes, among=asked)
     hit = hit.join(texts, [*DOC, "node_id"], "left").where(
         F.col("contains").isNull() | F.coalesce(F.col("content"), F.lit("")).contains(F.col("contains")))
     counts = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("node_id").alias("_first"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -64,9 +64,9 @@ def arrange(slides: DataFrame, sequences: DataFrame) -> DataFrame:
     A repeated number gives copies (``copy_no`` 0, 1 ...), unlisted slides drop out, and a number outside
     the deck comes back with ``error``.
     """
-    wanted = sequences.select("deck", F.col("sequence").alias("_s"), F.posexplode("sequence").alias("position", "slide_no"))
-    copies = F.size(F.filter(F.slice("_s", F.lit(1), F.col("position")), lambda x: x == F.col("slide_no")))
-    out = wanted.withColumn("copy_no", copies).drop("_s").join(slides.withColumn("_there", F.lit(True)), ["deck", "slide_no"], "left")
+    wanted = sequences.select("deck", F.posexplode("sequence").alias("position", "slide_no"))
+    copies = F.row_number().over(Window.partitionBy("deck", "slide_no").orderBy("position")) - 1  # a deck is one input row
+    out = wanted.withColumn("copy_no", copies).join(slides.withColumn("_there", F.lit(True)), ["deck", "slide_no"], "left")
     return out.withColumn("error", F.when(F.col("_there").isNull(), F.lit("slide index out of range"))).drop("_there")
 
 

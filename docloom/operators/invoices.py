@@ -112,8 +112,14 @@ def vat_lines(invoices: DataFrame, tolerance: str = "0.01") -> DataFrame:
 
 
 def vat_summary(lines: DataFrame) -> DataFrame:
-    """Base and quota by tax id and rate, with subtotals per tax id and a grand total (nulls mark totals)."""
-    return lines.rollup("cif", "kind", "rate").agg(F.sum("base").alias("base"), F.sum("quota").alias("quota"), F.count_if(~F.col("fits")).alias("n_misfits"))
+    """Base and quota by tax id, kind and rate, with subtotals and a grand total (nulls mark totals).
+
+    Surcharges and withholdings are taken on bases that VAT and exempt lines already hold, so totals over several
+    kinds add the base of those two only.
+    """
+    once = lines.withColumn("_once", F.when(F.col("kind").isin("iva", "exento"), F.col("base")))
+    base = F.when(F.grouping("kind") == 1, F.sum("_once")).otherwise(F.sum("base"))
+    return once.rollup("cif", "kind", "rate").agg(base.alias("base"), F.sum("quota").alias("quota"), F.count_if(~F.col("fits")).alias("n_misfits"))
 
 
 def unique_invoices(invoices: DataFrame, order: Sequence[str]) -> DataFrame:

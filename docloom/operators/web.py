@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,11 +118,35 @@ _ANCHOR = r"""(?is)<a\s[^>]*?(?<![\w\-])href\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*
 _INERT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))"
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a number; numbers outside Unicode, surrogates and 0 give the replacement mark."""
+    n = number.try_cast("int")
+    in_bytes = lambda *parts: F.decode(F.unhex(F.concat(*[F.lpad(F.hex(p), 2, "0") for p in parts])), "UTF-8")
+    tail = lambda shift: F.lit(128) + F.shiftright(n, shift).bitwiseAND(63)
+    return (F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(n < 0x80, in_bytes(n)).when(n < 0x800, in_bytes(F.lit(192) + F.shiftright(n, 6), tail(0)))
+            .when(n < 0x10000, in_bytes(F.lit(224) + F.shiftright(n, 12), tail(6), tail(0)))
+            .otherwise(in_bytes(F.lit(240) + F.shiftright(n, 18), tail(12), tail(6), tail(0))))
+
+
+def _reference(r: Column) -> Column:
+    """The text of one character reference, or the reference itself where there is none of that name.  The names come
+    from the standard library; those without a semicolon are the ones that HTML allows so."""
+    body = F.regexp_replace(r, "^&#?[xX]?|;$", "")
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # a constant, folded once
+    return (F.when(r.rlike("^&#[xX]"), _code_point(F.conv(body, 16, 10))).when(r.startswith("&#"), _code_point(body))
+            .otherwise(F.coalesce(F.try_element_at(names, F.substr(r, F.lit(2))), r)))
+
+
 def _unescape(c: Column) -> Column:
-    for entity, ch in (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"),
-                       ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(ch))
-    return c
+    """Decodes character references once, from left to right; what stands between them stays as it is."""
+    found = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
+    pieces = F.arrays_zip(F.split(c, _REFERENCE, -1).alias("t"), found.alias("r"))
+    decoded = F.array_join(F.transform(pieces, lambda x: F.concat(x["t"], F.coalesce(_reference(x["r"]), F.lit("")))), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def hrefs(html: Column) -> Column:

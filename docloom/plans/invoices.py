@@ -99,7 +99,7 @@ def vat_lines(t: Tables) -> DataFrame:
     return iv.vat_lines(_vat(t)).select("numero_factura", "cif", "kind", (F.col("rate") * 10000).cast("long").alias("rate"), _CENTS("base"), _CENTS("quota"), "fits")
 
 
-@R.query("vat_summary", "WITH " + _VAT_LINES + """ SELECT cif, kind, rate, CAST(sum(base) AS BIGINT) AS base, CAST(sum(quota) AS BIGINT) AS quota, count(*) FILTER (NOT fits) AS n_misfits FROM v GROUP BY ROLLUP (cif, kind, rate)""", vat=VAT)
+@R.query("vat_summary", "WITH " + _VAT_LINES + """ SELECT cif, kind, rate, CAST(CASE WHEN grouping(kind) = 1 THEN sum(CASE WHEN k = 'iva' OR k = 'exento' THEN base END) ELSE sum(base) END AS BIGINT) AS base, CAST(sum(quota) AS BIGINT) AS quota, count(*) FILTER (NOT fits) AS n_misfits FROM (SELECT *, kind AS k FROM v) w GROUP BY ROLLUP (cif, kind, rate)""", vat=VAT)
 def vat_summary(t: Tables) -> DataFrame:
     return iv.vat_summary(iv.vat_lines(_vat(t))).select("cif", "kind", (F.col("rate") * 10000).cast("long").alias("rate"), _CENTS("base"), _CENTS("quota"), "n_misfits")
 

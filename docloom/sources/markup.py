@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
@@ -227,15 +228,24 @@ def _members(batches):
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    rows += [(path, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-            except zipfile.BadZipFile:
-                continue
-        yield pd.DataFrame(rows, columns=["pkg", "part", "bytes"])
+                    for i in z.infolist():
+                        if i.is_dir():
+                            continue
+                        try:
+                            rows.append((path, i.filename, z.read(i), None))
+                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+                            rows.append((path, i.filename, None, f"{type(e).__name__}: {e}"))
+            except zipfile.BadZipFile as e:
+                rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["pkg", "part", "bytes", "error"])
 
 
 def packages(files: DataFrame) -> DataFrame:
-    """``(path, content binary)`` of zip packages -> one row per member ``(pkg, part, bytes)``."""
-    return files.select("path", "content").mapInPandas(_members, "pkg string, part string, bytes binary")
+    """``(path, content binary)`` of zip packages -> one row per member ``(pkg, part, bytes, error)``.
+
+    An unreadable package comes out as one row with its error and no part, an unreadable member under its name.
+    """
+    return files.select("path", "content").mapInPandas(_members, "pkg string, part string, bytes binary, error string")
 
 
 def read_packages(spark: SparkSession, glob: str) -> DataFrame:
@@ -243,8 +253,8 @@ def read_packages(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def markup_parts(parts: DataFrame) -> DataFrame:
-    """The members that hold XML."""
-    return parts.where(F.col("part").endswith(".xml") | F.col("part").endswith(".rels"))
+    """The readable members that hold XML."""
+    return parts.where((F.col("part").endswith(".xml") | F.col("part").endswith(".rels")) & F.col("bytes").isNotNull())
 
 
 def cells_from_packages(nodes: DataFrame) -> DataFrame:

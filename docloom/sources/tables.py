@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -70,27 +71,50 @@ def combine_tables(tables: DataFrame) -> DataFrame:
     """Extracted tables ``(table_id, rows array<array<string>>)``: the first row names the columns.
 
     Rows come out as ``(table_id, row_no, cells map<name, text>)`` so tables with different headers
-    stack; tables without a data row vanish.
+    stack; tables without a data row vanish.  A name that is taken already gets its column number: ``a``, ``a (3)``.
     """
-    kept = tables.where(F.size("rows") > 1)
-    return kept.select("table_id", F.col("rows")[0].alias("_head"),
+    kept = tables.where(F.size("rows") > 1).withColumn("_first", F.col("rows")[0])
+    taken = F.array().cast("array<string>")
+    add = lambda names, i: F.array_append(names, F.when(
+        F.array_contains(names, F.get("_first", i)), F.format_string("%s (%d)", F.get("_first", i), i + 1)).otherwise(F.get("_first", i)))
+    head = F.aggregate(F.sequence(F.lit(0), F.size("_first") - 1), taken, add)
+    return kept.where(F.size("_first") > 0).select("table_id", head.alias("_head"),
                        F.posexplode(F.slice("rows", 2, 2147483647)).alias("row_no", "_row")).select(
         "table_id", "row_no", F.map_from_entries(F.filter(F.arrays_zip("_head", "_row"), lambda e: e["_head"].isNotNull())).alias("cells"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose job ended well (they hold ``_SUCCESS``)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, "version=*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done or [])
+
+
 def write_index(df: DataFrame, path: str) -> None:
-    """Replace the index; readers see the old or the new one through the commit protocol of the sink."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the index: the new one is written beside the old one and counts once it is complete, so readers see the
+    old or the new one, never a part.  The version before stays for readers that have opened it; older ones go."""
+    spark = df.sparkSession
+    versions = _versions(spark, path)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={versions[-1] + 1 if versions else 0:06d}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for old in versions[:-1]:
+        gone = hadoop.Path(hadoop.Path(path), f"version={old:06d}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The index, or an empty one when it is absent or unreadable."""
+    """The newest complete index; an empty one when there is none or when its files cannot be read."""
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
     try:
-        found = spark.read.parquet(path)
-        names = [f.name for f in T._parse_datatype_string(schema).fields]
-        return found.select(*names)
-    except AnalysisException:
+        found = spark.read.parquet(f"{path.rstrip('/')}/version={versions[-1]:06d}").select(*names)
+        found.write.format("noop").mode("overwrite").save()  # damage inside the files shows only when they are read
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
+    return found
 
 
 def write_page_text(df: DataFrame, path: str) -> None:

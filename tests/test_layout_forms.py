@@ -120,7 +120,9 @@ def test_zip_packages(spark, tmp_path):
     assert [r.part for r in pk.unreferenced_parts(rels, parts).collect()] == ["word/lost.xml"]
     assert [r.part for r in pk.malformed(nodes).collect()] == ["word/lost.xml"]
     assert pk.whitespace_findings(nodes).count() == 1
-    assert packages(spark.createDataFrame([("x", b"junk")], "path string, content binary")).count() == 0
+    junk = packages(spark.createDataFrame([("x", b"junk")], "path string, content binary")).collect()
+    assert [(r.pkg, r.part, r.bytes, r.error[:10]) for r in junk] == [("x", None, None, "BadZipFile")]
+    assert [r.error is None for r in parts.orderBy("pkg", "part").collect()] == [True, True, True, False]
 
 
 def test_find_nodes(spark):
@@ -139,3 +141,30 @@ def test_segments_and_tables(spark, tmp_path):
     assert cues[0].timing == "00:00:02,299 --> 00:00:03,299" and cues[1].cue_no == 2
     tables = spark.createDataFrame([(1, [["a", "b"], ["1", "2"]]), (2, [["a"]]), (3, [["c"], ["3"]])], "table_id int, rows array<array<string>>")
     assert {(r.table_id, tuple(r.cells.items())) for r in combine_tables(tables).collect()} == {(1, (("a", "1"), ("b", "2"))), (3, (("c", "3"),))}
+    twice = spark.createDataFrame([(1, [["a", "b", "a", None], ["1", "2", "3", "4"]])], "table_id int, rows array<array<string>>")
+    assert [r.cells for r in combine_tables(twice).collect()] == [{"a": "1", "b": "2", "a (3)": "3"}]
+
+
+def test_index_versions(spark, tmp_path):
+    from docloom.sources.tables import read_index, write_index
+    path, schema = str(tmp_path / "index"), "url string, n int"
+    rows = lambda: sorted((r.url, r.n) for r in read_index(spark, path, schema).collect())
+    assert rows() == []
+    for n in range(3):
+        write_index(spark.createDataFrame([("u", n)], schema), path)
+        assert rows() == [("u", n)]
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["version=000001", "version=000002"]
+    (tmp_path / "index" / "version=000003").mkdir()  # a job that never ended
+    assert rows() == [("u", 2)]
+    for part in (tmp_path / "index" / "version=000002").glob("*.parquet"):
+        part.write_bytes(b"PAR1 damaged")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert rows() == []
+
+
+def test_vat_totals_count_a_base_once(spark):
+    from docloom.operators.invoices import vat_summary
+    lines = spark.createDataFrame([("n", "c", k, 0.1, 100.0, 10.0, True) for k in ("iva", "recargo", "retencion")] + [("n", "c", "exento", 0.0, 50.0, None, True)],
+                                  "numero_factura string, cif string, kind string, rate double, base double, quota double, fits boolean")
+    got = {(r.cif, r.kind, r.rate): r.base for r in vat_summary(lines).collect()}
+    assert got[("c", "recargo", 0.1)] == got[("c", "retencion", None)] == 100 and got[("c", None, None)] == got[(None, None, None)] == 150

@@ -1,5 +1,6 @@
 """Page markup on small hand-written pages."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import dom, markdown
@@ -87,3 +88,25 @@ def test_noise_and_selectors(spark):
     nodes = html_nodes(spark.createDataFrame([("d", html)], "id string, html string"), "id")
     hit = dom.select(nodes, dom.FRAMEWORK_SELECTORS["generic"]["sidebar_links"]).where("hit")
     assert [r.h for r in hit.orderBy("node_id").select(F.col("attrs")["href"].alias("h")).collect()] == ["1", "2"]
+
+
+def test_fragments_and_empty_pages_have_rows(spark):
+    pages = spark.createDataFrame([(1, "<!-- c --><div>one</div>"), (2, "hello <p>two</p>"), (3, "<nav>x</nav><p>three</p>"), (4, ""), (5, "<body><main>short</main></body>")], "page_id bigint, html string")
+    nodes = html_nodes(pages, "page_id")
+    regions = dom.main_content(dom.prune_nodes(nodes))
+    assert {int(r.doc_id): r.rule for r in regions.collect()} == {1: 99, 2: 99, 3: 99, 5: 90}
+    docs = pages.select(F.col("page_id").cast("string").alias("doc_id"), F.lit("").alias("part"))
+    part = nodes.select("part").first()[0]
+    meta = dom.page_metadata(nodes, docs.withColumn("part", F.lit(part)))
+    assert {int(r.doc_id) for r in meta.collect()} == {1, 2, 3, 4, 5}
+
+
+def test_selectors(spark):
+    page = """<nav><a id="1" href="/x">1</a><p><a id="2">2</a></p></nav><ul class="b list"><li id="3" data-k="start-end">3</li></ul>"""
+    nodes = html_nodes(spark.createDataFrame([(1, page)], "page_id bigint, html string"), "page_id")
+    ids = lambda *s: [r[0] for r in dom.select(nodes, s).where("hit").orderBy("node_id").select(F.col("attrs")["id"]).collect()]
+    assert ids("nav a") == ["1", "2"] and ids("nav > a") == ["1"] and ids("nav>p>a") == ["2"] and ids("a[href]") == ["1"]
+    assert ids("li[data-k^='start']") == ids("[data-k$='end']") == ids("ul.list > li") == ids("ul[class~='list'] li") == ["3"] and ids("li[data-k^='end']") == []
+    for bad in ("li:nth-child(9)", "p:first-child", "a + b", ""):
+        with pytest.raises(ValueError):
+            dom.simple_match(bad)

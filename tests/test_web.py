@@ -34,7 +34,7 @@ def test_normalize_like_the_standard_resolver(spark):
     assert {p: got[p] for p in pairs} == {p: expected(*p) for p in pairs}
 
 
-@settings(max_examples=4, deadline=None, derandomize=True)
+@settings(max_examples=10, deadline=None, derandomize=True)
 @given(hs.lists(hs.text("abü./?#", max_size=9).filter(lambda x: ".//" not in x and "///" not in x), min_size=60, max_size=60))
 def test_normalize_random_links(spark, links):
     pairs = sorted({(b, l) for b in BASES[:3] for l in links})
@@ -69,3 +69,15 @@ def test_robots_rules(spark):
                                   "host string, rule_ord int, allow boolean, prefix string")
     got = {r.url: r.allowed for r in web.robots_filter(urls, rules).collect()}
     assert got == {"https://h.org/a/b": True, "https://h.org/c": False, "https://free.org/a": True, "https://e.org/z": True, "https://s.org": False}
+
+
+def test_character_references_in_links(spark):
+    cases = {"caf&eacute;": "café", "a&#38;b": "a&b", "a&#x26;b": "a&b", "a&amp;lt;b": "a&lt;b", "?x=1&copy=2": "?x=1&copy=2", "x&copy;": "x©", "&#x1F600;&#8364;": "😀€", "&nosuch;": "&nosuch;",
+             "&#0;": "�", "&copyx=1": "&copyx=1", "plain": "plain", "&CounterClockwiseContourIntegral;": "∳"}
+    rows = spark.createDataFrame([(f'<a href="{k}">x</a>',) for k in cases], "html string")
+    assert [r[0] for r in rows.select(web.hrefs(F.col("html"))[0]).collect()] == list(cases.values())
+
+
+def test_steps_above_the_root(spark):
+    pairs = [("http://b.org", "../"), ("https://a.org/x/", "../../"), ("https://a.org/x/y", "../../../z"), ("https://a.org/x/y/", "..")]
+    assert normalized(spark, pairs) == {p: expected(*p) for p in pairs}
