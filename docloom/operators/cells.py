@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
-from docloom.operators.ordered import first_n, running_total
+from docloom.operators.ordered import first_n, folded_upwards, running_total
 from docloom.session import materialize
 
 # Error texts in the order in which they are looked for.
@@ -150,22 +150,118 @@ def formula_references(cells: DataFrame) -> DataFrame:
                            r.startswith("/").alias("divides"))
 
 
+def _inner(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Loose ends ``(node)``, and chain nodes ``(node, of, to)``: exactly one edge in and one out, not both at themselves."""
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("to"))
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("of"))
+    nodes = materialize(outs.join(ins, "node", "full"))
+    return nodes.where("outs IS NULL OR ins IS NULL").select("node"), nodes.where("outs = 1 AND ins = 1 AND of <> node").select("node", "of", "to")
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("node").alias(end)), end, "left_anti")
+    return edges.select("src", "dst")
+
+
+def _raked(edges: DataFrame) -> DataFrame:
+    """The edges whose start has an edge in and whose end has an edge out."""
+    kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return kept.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+
+
+def _compressed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges without loose ends and with every chain as one edge; the chain nodes with the ends of their chain
+    ``(node, entry, exit)``; and the nodes ``(node, ring)`` of rings that are nothing but a chain."""
+    loose, inner = _inner(edges)
+    names = inner.select(F.col("node").alias("of"), F.lit(True).alias("_inside"))
+    linked = inner.join(names, "of", "left").withColumn("_up", F.when(F.col("_inside"), F.col("of"))).withColumn("_all", F.lit(0))
+    heads = materialize(folded_upwards(linked.select("_all", "node", "of", "to", "_up"), ["_all"], "node", "_up", {"head": F.col("node"), "ring": F.col("node")},
+                                         lambda name, below, above: above if name == "head" else F.greatest(below, above), settle="ring"))
+    entries = heads.where("NOT cyclic AND node = head").select("head", F.col("of").alias("entry"))
+    exits = heads.where("NOT cyclic").join(names.select(F.col("of").alias("to")), "to", "left_anti").select("head", F.col("to").alias("exit"))
+    chains = entries.join(exits, "head")
+    members = heads.where("NOT cyclic").select("node", "head").join(chains, "head").select("node", "entry", "exit")
+    short = _without(edges, inner.select("node")).unionByName(chains.select(F.col("entry").alias("src"), F.col("exit").alias("dst")))
+    return _without(short, loose).distinct(), members, heads.where("cyclic").select("node", "ring")
+
+
+def _reached(edges: DataFrame, colour: DataFrame, back: bool) -> DataFrame:
+    """Largest colour that comes along the edges, round by round; ``back`` goes against them and stays inside a colour."""
+    a, b = ("dst", "src") if back else ("src", "dst")
+    while True:
+        sent = edges.join(colour.withColumnRenamed("node", a), a).select(F.col(b).alias("node"), "colour")
+        step = materialize(colour.unionByName(sent).groupBy("node").agg(F.max("colour").alias("colour")))
+        if step.join(colour, ["node", "colour"], "left_anti").isEmpty():
+            return step
+        colour = step
+
+
+def _rings(edges: DataFrame) -> DataFrame | None:
+    """``(node, ring)`` of the nodes on cycles: what a node reaches and what reaches it, colour by colour."""
+    found, left = None, edges
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        colour = _reached(left, materialize(nodes.withColumn("colour", F.col("node"))), False)
+        ends = colour.select(F.col("node").alias("src"), F.col("colour").alias("_c")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("_d"))
+        same = materialize(left.join(ends[0], "src").join(ends[1], "dst").where("_c = _d").select("src", "dst"))
+        ring = _reached(same, colour.where("node = colour"), True)
+        looped = ring.join(same.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node", F.col("colour").alias("ring"))
+        inside = same.join(ring.select(F.col("node").alias("src")), "src", "left_semi").join(ring.select(F.col("node").alias("dst")), "dst", "left_semi")
+        looped = materialize(looped.join(inside.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+        found = looped if found is None else found.unionByName(looped)
+        left = materialize(_without(left, ring))
+    return found
+
+
 def circular(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or on a path between cycles: ``edges(src, dst)`` -> ``(node)``.
+    """Nodes on a cycle: ``edges(src, dst)`` -> ``(node)``; a node between two cycles is not on one.
 
-    Ends of the graph are peeled off until none is left: a node stays only while something points at it
-    and it points at something.  One written table per layer; the loop asks only for counts.
+    Loose ends go, and every chain becomes one edge by pointer doubling, so long chains take the logarithm of their
+    length in rounds.  The strongly connected parts of what is left are found by colours; a chain that was cut short
+    is on a cycle when both its ends are in one part.
     """
-    left = materialize(edges.select("src", "dst").distinct())
+    left = materialize(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    cut: list[tuple[DataFrame, DataFrame]] = []
     n = left.count()
     while n:
-        keep = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        keep = materialize(keep.join(keep.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = keep.count()
-        if m == n:
+        raked = materialize(_raked(left))
+        m = raked.count()
+        if m and m > 0.9 * n:  # few loose ends: chains hold the rest together
+            short, members, rings = _compressed(raked)
+            raked, members, rings = materialize(short), materialize(members), materialize(rings)
+            cut.append((members, rings))
+            m = raked.count()
+        left, n, before = raked, m, n
+        if n == before:
             break
-        left, n = keep, m
-    return left.select(F.col("src").alias("node")).distinct()
+    found = _rings(left)
+    if found is None:
+        found = left.select(F.col("src").alias("node"), F.col("src").alias("ring")).limit(0)
+    for members, rings in reversed(cut):
+        at = lambda name: found.select(F.col("node").alias(name), F.col("ring").alias(f"_{name}"))  # noqa: B023, E731
+        back = members.join(at("entry"), "entry").join(at("exit"), "exit").where("_entry = _exit").select("node", F.col("_entry").alias("ring"))
+        found = materialize(found.unionByName(back).unionByName(rings))
+    return found.select("node").distinct()
+
+
+LEVELS = 21  # row blocks of 1, 2, 4 ... rows; a sheet has at most 2**20 rows
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """A row range as aligned blocks ``(k, at)`` of 2**k rows, two of a size at most: long ranges stay short lists."""
+    entry = lambda k, at: F.array(F.struct(k.cast("int").alias("k"), at.cast("int").alias("at")))
+    none = F.array().cast("array<struct<k:int,at:int>>")
+
+    def level(s: Column, k: Column) -> Column:
+        low, high = s["low"], s["high"]
+        left, right = (low < high) & (low % 2 == 1), (low < high) & (high % 2 == 1)
+        taken = F.concat(s["out"], F.when(left, entry(k, low)).otherwise(none), F.when(right & ((high - 1 > low) | ~left), entry(k, high - 1)).otherwise(none))
+        next_low, next_high = F.when(left, low + 1).otherwise(low), F.when(right, high - 1).otherwise(high)
+        return F.struct(F.floor(next_low / 2).cast("int").alias("low"), F.floor(F.greatest(next_high, next_low) / 2).cast("int").alias("high"), taken.alias("out"))
+
+    start = F.struct(F.least(first, last).cast("int").alias("low"), (F.greatest(first, last) + 1).cast("int").alias("high"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, level, lambda s: s["out"])
 
 
 def formula_ref_findings(cells: DataFrame) -> DataFrame:
@@ -179,14 +275,19 @@ def formula_ref_findings(cells: DataFrame) -> DataFrame:
     missing = looked.where("_known IS NULL").select("workbook", "sheet", "coord", F.lit("missing_reference").alias("rule"), target)
     zero = F.col("_known") & F.coalesce((F.col("_v") == "") | (F.col("_v").try_cast("double") == 0), F.lit(True))
     divisor = looked.where(F.col("divides") & zero).select("workbook", "sheet", "coord", F.lit("zero_divisor").alias("rule"), target)
-    name = lambda s, c: F.concat_ws(" ", "workbook", s, c)
+    name = lambda s, c: F.to_json(F.struct(F.col("workbook").alias("w"), F.col(s).alias("s"), F.col(c).alias("c")))
     formulas = cells.where(F.col("formula").startswith("=")).select("workbook", F.col("sheet").alias("to_sheet"), F.col("coord").alias("to_coord"), "row", "col")
     direct = single.join(formulas, ["workbook", "to_sheet", "to_coord"], "left_semi").select(name("sheet", "coord").alias("src"), name("to_sheet", "to_coord").alias("dst"))
-    spans = refs.where("col_to IS NOT NULL").withColumn("col", F.explode(F.sequence(F.col("col_from"), F.col("col_to")))).select(
-        "workbook", "sheet", "coord", "to_sheet", "col", "row_from", "row_to")
-    ranged = spans.join(formulas.select("workbook", "to_sheet", F.col("to_coord").alias("_c"), "row", F.col("col").cast("long").alias("col")), ["workbook", "to_sheet", "col"]).where(
-        F.col("row").between(F.col("row_from"), F.col("row_to"))).select(name("sheet", "coord").alias("src"), name("to_sheet", "_c").alias("dst"))
-    looped = circular(direct.unionByName(ranged))
+    block = lambda k, at: F.to_json(F.struct(F.col("workbook").alias("w"), F.col("to_sheet").alias("s"), F.col("col").alias("col"), k.alias("k"), at.alias("at")))
+    spans = refs.where("col_to IS NOT NULL").withColumn("col", F.explode(F.sequence(F.col("col_from").cast("long"), F.col("col_to").cast("long"))))
+    met = spans.withColumn("b", F.explode(_blocks(F.col("row_from"), F.col("row_to")))).select(name("sheet", "coord").alias("src"), block(F.col("b.k"), F.col("b.at")).alias("dst"))
+    asked = spans.select("workbook", "to_sheet", "col").distinct()
+    cell = formulas.withColumn("col", F.col("col").cast("long")).join(asked, ["workbook", "to_sheet", "col"], "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    at = lambda k: F.expr(f"shiftright(row, {k})").cast("int")
+    inner = cell.where("k > 0").select(block(F.col("k"), at("k")).alias("src"), block(F.col("k") - 1, at("k - 1")).alias("dst"))
+    leaf = cell.where("k = 0").select(block(F.col("k"), at("0")).alias("src"), name("to_sheet", "to_coord").alias("dst"))
+    ranged = met.unionByName(inner).unionByName(leaf)
+    looped = circular(direct.unionByName(ranged))  # blocks on a cycle are no cells and find no formula below
     named = cells.where(F.col("formula").startswith("=")).withColumn("node", name("sheet", "coord"))
     loops = named.join(looped, "node", "left_semi").select("workbook", "sheet", "coord", F.lit("circular_reference").alias("rule"), F.lit("").alias("target"))
     return missing.unionByName(divisor).unionByName(loops).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.ordered import first_n, numbered
+from docloom.operators.ordered import first_n, folded_upwards, numbered
 from docloom.session import materialize
 
 
@@ -75,20 +75,12 @@ def arrange(slides: DataFrame, sequences: DataFrame) -> DataFrame:
 def field_full_name(annotations: DataFrame) -> DataFrame:
     """Dotted name of each annotation from the root down: ``annotations(doc, node_no, parent_no, name)``.
 
-    Levels without a name are skipped; no name at all gives null.  One join per level over what is open.
+    Levels without a name are skipped; no name at all gives null.  Log2 of the depth rounds; annotations whose
+    parents run in a circle come out with ``cyclic`` and without a name.
     """
-    cols = annotations.columns
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    up = annotations.select("doc", F.col("node_no").alias("_next"), F.col("name").alias("_name"), F.col("parent_no").alias("_up"))
-    open_ = annotations.withColumn("full_name", F.when(has("name"), F.col("name"))).withColumn("_next", F.col("parent_no"))
-    done, rest = open_.where("_next IS NULL"), open_.where("_next IS NOT NULL")
-    while True:
-        joined = F.when(has("_name"), F.concat_ws(".", "_name", "full_name")).otherwise(F.col("full_name"))
-        step = materialize(rest.join(up, ["doc", "_next"], "left").select(*cols, joined.alias("full_name"), F.col("_up").alias("_next")))
-        done = done.unionByName(step.where("_next IS NULL"))
-        rest = step.where("_next IS NOT NULL")
-        if rest.isEmpty():
-            return done.drop("_next")
+    start = {"full_name": F.when(F.col("name") != "", F.col("name"))}
+    return folded_upwards(annotations, ["doc"], "node_no", "parent_no", start, lambda _, below, above: F.when(
+        below.isNull(), above).when(above.isNull(), below).otherwise(F.concat_ws(".", above, below)))
 
 
 def form_inventory(fields: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
-from docloom.operators.ordered import anchored, first_n, join_on, numbered
+from docloom.operators.ordered import anchored, first_n, folded_upwards, join_on, numbered
 from docloom.session import materialize
 
 # Tolerances of the checks, in inches, and the slide's text margins.
@@ -82,23 +82,10 @@ def issues_only(shapes: DataFrame) -> DataFrame:
 def absolute_positions(shapes: DataFrame) -> DataFrame:
     """Positions on the slide: own offset plus the offsets of all groups above (``parent_no`` null at the top).
 
-    One join per nesting level, over the shapes that still have a group above; the loop ends when none has.
+    Log2 of the nesting depth rounds; groups that contain each other come out with ``cyclic`` and without a position.
     """
-    base = shapes.select("deck", "slide", F.col("shape_no").alias("parent_no"), F.col("left_emu").alias("_dx"), F.col("top_emu").alias("_dy"),
-                         F.col("parent_no").alias("_up"))
-    cols = shapes.columns
-    open_ = shapes.withColumn("abs_left", F.col("left_emu")).withColumn("abs_top", F.col("top_emu")).withColumn("_next", F.col("parent_no"))
-    done = open_.where("_next IS NULL")
-    rest = open_.where("_next IS NOT NULL")
-    while True:
-        above = base.select("deck", "slide", F.col("parent_no").alias("_next"), "_dx", "_dy", "_up")
-        step = rest.join(above, ["deck", "slide", "_next"], "left").select(
-            *cols, (F.col("abs_left") + F.coalesce("_dx", F.lit(0))).alias("abs_left"), (F.col("abs_top") + F.coalesce("_dy", F.lit(0))).alias("abs_top"), F.col("_up").alias("_next"))
-        step = materialize(step)
-        done = done.unionByName(step.where("_next IS NULL"))
-        rest = step.where("_next IS NOT NULL")
-        if rest.isEmpty():
-            return done.drop("_next")
+    start = {"abs_left": F.col("left_emu"), "abs_top": F.col("top_emu")}
+    return folded_upwards(shapes, ["deck", "slide"], "shape_no", "parent_no", start, lambda _, below, above: below + above)
 
 
 def reading_order(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) -> DataFrame:

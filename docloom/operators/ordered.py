@@ -8,7 +8,7 @@ a block of sequence numbers); otherwise chunks come from range partitioning over
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +156,32 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
         return numbered(df, keys, order, name).where(F.col(name) <= n)
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
+def folded_upwards(df: DataFrame, keys: Sequence[str], node: str, parent: str, start: Mapping[str, Column],
+                   combine: Callable[[str, Column, Column], Column], settle: str | None = None) -> DataFrame:
+    """Values folded from every node up to its root: ``combine(name, below, above)`` joins two neighbouring stretches.
+
+    Pointer doubling: each round joins every open stretch with the one that follows it, so a chain of n levels takes
+    log2(n) rounds, each one written table.  A parent that is not in the table ends the chain.  A round that ends no
+    chain shows that only circles are left, since a longer chain has nodes at every shorter distance: nodes whose parents
+    run in a circle get ``cyclic`` and null values.  With ``settle``, the name of a value that repetition does not
+    change (a largest node), the rounds go on until it is the same all round each circle, and values stay.
+    """
+    names = list(start)
+    rows = df.withColumn("_k", F.struct(*keys)).withColumns({f"_v_{n}": c for n, c in start.items()}).withColumn("_next", F.col(parent))
+    values = [f"_v_{n}" for n in names]
+    state = materialize(rows.select("_k", F.col(node).alias("_node"), "_next", *values).dropDuplicates(["_k", "_node"]))
+    mark = None
+    while True:
+        seen = state.where("_next IS NOT NULL").agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("_k", "_node", *([f"_v_{settle}"] if settle else [])))).first()
+        if not seen[0] or seen == mark:
+            break
+        mark = seen
+        above = state.select("_k", F.col("_node").alias("_next"), F.col("_next").alias("_after"), *[F.col(v).alias(f"_a{v}") for v in values], F.lit(True).alias("_there"))
+        joined = state.join(above, ["_k", "_next"], "left")
+        moved = [F.when(F.col("_there"), combine(n, F.col(f"_v_{n}"), F.col(f"_a_v_{n}"))).otherwise(F.col(f"_v_{n}")).alias(f"_v_{n}") for n in names]
+        state = materialize(joined.select("_k", "_node", F.col("_after").alias("_next"), *moved))
+    out = df.withColumn("_k", F.struct(*keys)).withColumn("_node", F.col(node)).join(state, ["_k", "_node"], "left")
+    open_ = F.col("_next").isNotNull()
+    return out.select(*df.columns, *[(F.col(f"_v_{n}") if settle else F.when(~open_, F.col(f"_v_{n}"))).alias(n) for n in names], open_.alias("cyclic"))
