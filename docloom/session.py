@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured and not sc.master.startswith("local"):
+    if not configured and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="docloom-checkpoint-")
     sc.setCheckpointDir(folder)
@@ -52,4 +54,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for owned in _owned:
+        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_owned: list[list[str]] = []  # tables of every open ``written_tables`` block
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that ``materialize`` writes inside the block: they go when the block ends.
+
+    Use results inside it (write or collect them), since they read those tables.
+    """
+    paths: list[str] = []
+    _owned.append(paths)
+    try:
+        yield
+    finally:
+        _owned[:] = [x for x in _owned if x is not paths]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            table = hadoop.Path(path)
+            table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)

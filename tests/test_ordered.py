@@ -57,3 +57,15 @@ def test_first_n_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
     assert out.count() == sum(min(5, r["count"]) for r in df.groupBy("k").count().collect())
     same(o.first_n(df, ["k"], ["t", "id"], 1500), o.numbered(df, ["k"], ["t", "id"]).where("rn <= 1500"))
+
+
+def test_written_tables_go_with_their_owner(spark):
+    from pathlib import Path
+
+    from docloom.session import checkpoint_dir, materialize, written_tables
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    with written_tables(spark):
+        assert materialize(spark.range(3)).count() == 3
+        assert len({p.name for p in folder.iterdir()} - before) == 1
+    assert {p.name for p in folder.iterdir()} == before
