@@ -42,6 +42,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
     hashes = rows.select("_id", F.col("_text"), hashed(F.col("_text")).alias("_hash"))
     keyed = materialize(hashes.select("_id", "_hash", F.sha2("_text", 256).alias("_sha")))
     groups = keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep")).where("_n > 1")
+    groups = materialize(groups)  # a side of its own, so that the joins below can split a hot hash
     bounds = (hashes.join(groups.select("_hash"), "_hash", "left_semi").groupBy("_hash")
               .agg(F.min("_text").alias("_low"), F.max("_text").alias("_high")))
     clashes = materialize(bounds.where("_low <> _high").select("_hash"))

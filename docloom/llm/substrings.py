@@ -228,6 +228,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc`` and ``spans`` (first word, words; may overlap): windows whose words also start in a smaller document."""
     segments = _segments(docs)
     seeds_met = segments.groupBy("seed").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("seed")
+    seeds_met = materialize(seeds_met)  # a side of its own, so that the join can split a hot seed
     candidates = materialize(segments.join(seeds_met, "seed", "left_semi"))
     head = F.min(F.struct("doc", "first", "windows")).alias("head")
     heads = materialize(candidates.groupBy("seed", "segment").agg(head).select("seed", "segment", "head.*"))
