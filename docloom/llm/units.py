@@ -14,7 +14,7 @@ from typing import Any
 UNUSUAL = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 UNUSUAL_WIDE = UNUSUAL + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-MEMORY = 500_000  # units kept per worker and tokenizer, in each of two generations
+MEMORY = 250_000  # units kept per worker and tokenizer, in each of two generations
 MARKS = frozenset(",.;:!?)")
 
 
