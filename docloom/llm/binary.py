@@ -144,7 +144,7 @@ class ShardReader:
 
 
 def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder: str | None = None, id: str = "doc_id",
-              text: str = "text", kind: str = "byte", block: int = BLOCK) -> str:
+              text: str = "text", kind: str = "byte", block: int = BLOCK, added: bool = False) -> str:
     """Encodes every whole text with the tokenizer file, appends ``end_id``, and writes shards in ascending ``id``; gives the folder.
 
     Texts are dealt by ranges of ``id``; every task sorts its range and streams it into one shard, which takes its
@@ -153,6 +153,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder:
 
     Null text counts as empty (only the end id); null ids come first; rows that share an id are ordered by their
     text.  An empty table gives an index without shards.  Other columns are not read.
+    ``added`` as in ``LibraryTokenizer``.
     """
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
@@ -160,7 +161,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder:
     fs.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_state(f"tokenizer {path}", lambda: LibraryTokenizer(path, pattern))
+        tokenizer = worker_state(f"tokenizer {path} {added}", lambda: LibraryTokenizer(path, pattern, added=added))
         store, base = file_system(folder)
         shard = TaskContext.get().partitionId()
         name, temporary = f"shard-{shard:06d}.ids", f"{base}/.shard-{shard:06d}-{uuid.uuid4().hex}"

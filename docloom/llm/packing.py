@@ -19,16 +19,16 @@ BUCKET_ROWS = 100_000  # rows in which pieces of one length are numbered at a ti
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id: str = "doc_id",
-           text: str = "text", with_ids: bool = False) -> DataFrame:
+           text: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
     """Token pieces of every whole text: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked, ``ids``.
 
     A document is its ids and then ``end_id``; only longer ones than ``capacity`` are cut, into full pieces and a
     rest.  Null text counts as empty (one piece with the end id); rows that repeat give their pieces again; an
-    empty table gives none.  Other columns are not read.
+    empty table gives none.  Other columns are not read.  ``added`` as in ``LibraryTokenizer``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_state(f"tokenizer {path}", lambda: LibraryTokenizer(path, pattern))
+        tokenizer = worker_state(f"tokenizer {path} {added}", lambda: LibraryTokenizer(path, pattern, added=added))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, number, start, length, crc, all_ids = [], [], [], [], [], []

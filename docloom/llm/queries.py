@@ -37,12 +37,12 @@ def op9(t: Tables) -> DataFrame:
 
 @R.query("op10_id_planes")
 def op10(t: Tables) -> DataFrame:
-    folder = binary.write_ids(t.documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    folder = binary.write_ids(t.documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, added=True)
     return binary.read_ids(t.spark, folder, digests=True)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN, added=True))
 
 
 @R.query("op5_best_fit_packing")

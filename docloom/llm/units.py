@@ -103,15 +103,19 @@ class LibraryTokenizer:
     """``tokenizers`` on one unit at a time: its normalizer and its merges, with pieces remembered.
 
     Handles the two usual pre-tokenizers, byte-level with its own pattern, and a pattern whose matches are kept
-    followed by byte-level; others raise.  Gives the ids as unsigned 32-bit bytes.  Strings of special tokens in a text are ordinary text.
+    followed by byte-level; others raise.  Gives the ids as unsigned 32-bit bytes.
+
+    With ``added``, texts are first split at the file's added tokens, as the library does by itself; without, the strings
+    of these tokens are ordinary text (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = MEMORY):
+    def __init__(self, path: str, pattern: str, limit: int = MEMORY, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            before = json.load(f)["pre_tokenizer"]
+            file = json.load(f)
+        before = file["pre_tokenizer"]
         steps = before["pretokenizers"] if before["type"] == "Sequence" else [before]
         if len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed":
             pattern = steps[0]["pattern"]["Regex"]
@@ -124,6 +128,11 @@ class LibraryTokenizer:
         self.blank = " " if len(steps) == 1 else ""  # patterns of words leave blanks out
         self.pieces = Memory(self.piece, limit)
         self.units = UnitMemory(self.unit, limit)
+        tokens = [t for t in file.get("added_tokens") or [] if t["content"]] if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+            raise ValueError("unsupported added token")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+        self.split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split  # leftmost, then longest
 
     def piece(self, text: str) -> bytes:
         shown = text.encode().decode("latin-1").translate(self.table)
@@ -137,4 +146,7 @@ class LibraryTokenizer:
         return b"".join(self.pieces.all(simple_pieces(text, self.find)))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(self.units(text))
+        if not any(map(text.__contains__, self.added)):
+            return b"".join(self.units(text))
+        parts = self.split(text)  # stretches between added tokens at even places; each is normalized by itself
+        return b"".join(self.added[part] if i % 2 else b"".join(self.units(part)) for i, part in enumerate(parts))

@@ -169,3 +169,39 @@ def test_memory_is_bounded():
     for i in range(1000):
         assert memory.all([str(i), "a"]) == [str(i), "a"]
         assert len(memory.young) + len(memory.old) <= 24
+
+
+MARKED = ["end of page <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b", "x <|startoftext|><|endoftext|>  Y\n", " <|endoftext|> ", "<|ENDOFTEXT|> <|endoftext", "é<|endoftext|>\u0301a",
+          "don't<|endoftext|>'s <|startoftext|>\n\n q", "<|<|endoftext|>|>", "<|endoftext|>" * 900 + " tail"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens(name):
+    """The library's default setting, in which strings of added tokens give one id."""
+    encode = Tokenizer.from_file(P.path(name)).encode
+    tokenizer = units.LibraryTokenizer(P.path(name), P.PATTERN, added=True)
+    r = random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "a", "Don't", "é", "\u0301", "12"]
+    for t in [*MARKED, *[t or "" for _, t in corpus()], *["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(2000)]]:
+        assert tokenizer(t) == raw(encode(t, add_special_tokens=False).ids), t
+
+
+def test_queries_split_at_added_tokens(spark, tmp_path):
+    """op5, op10 and the last stage of the pipeline."""
+    import corpus_pipeline
+    from docloom.llm import queries
+    from docloom.plans.base import Tables
+
+    table = spark.createDataFrame(list(enumerate(MARKED)), "doc_id bigint, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tables(spark, str(tmp_path))
+    for name, end, got in [("word_bpe_49k.json", 0, queries.op5(t)), ("word_bpe_49k.json", 0, corpus_pipeline.packed_sequences(spark, table, "")), ("byte_bpe_50k.json", 2, queries.op10(t))]:
+        encode, start, rows = Tokenizer.from_file(P.path(name)).encode, 0, {r.doc_id: r for r in got.collect()}
+        for i, text in enumerate(MARKED):
+            ids = [*encode(text, add_special_tokens=False).ids, end]
+            assert rows[i].ids_crc32 == zlib.crc32(raw(ids)), text
+            if end:
+                assert (rows[i].start, rows[i].n_tokens) == (start, len(ids))
+            else:
+                assert rows[i].length == len(ids)
+            start += len(ids)
