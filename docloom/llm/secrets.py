@@ -17,7 +17,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SIZE = len(ALPHABET) + 1
-SAMPLE_DOCS = 400  # documents whose words serve as ordinary identifiers
+SMOOTH_DOCS = 400  # counts of words in more documents are scaled down to as many, so that smoothing and ruled lines keep their weight
 SAMPLE_RANDOM = 4000  # random strings
 THRESHOLD = 1.0  # mean log-likelihood ratio per character step, in nats
 
@@ -29,14 +29,19 @@ def _codes(text: Column) -> Column:
 def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[float]:
     """Log-likelihood ratio of every character step: label 1 (random) against label 0 (ordinary).
 
-    Two first-order Markov models with add-one smoothing.  Steps are counted by an aggregation, so at most
-    two rows per pair of characters of the fixed alphabet reach the driver.  Null texts and labels, and
-    characters outside the alphabet, train nothing; with no samples every ratio is 0.
+    Two first-order Markov models with add-one smoothing.  Steps are counted by an aggregation, so few rows per
+    pair of characters of the fixed alphabet reach the driver.  A row counts ``weight / per`` times, where these
+    columns exist, else once.  Null texts and labels, and characters outside the alphabet, train nothing; with no
+    samples every ratio is 0.
     """
-    codes = samples.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).alias("y"), _codes(F.col(text)).alias("c"))
-    steps = codes.where("size(c) > 1").select("y", F.explode(F.arrays_zip(
+    weight, per = [F.col(c) if c in samples.columns else F.lit(1) for c in ("weight", "per")]
+    codes = samples.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).alias("y"), weight.alias("w"), per.alias("p"), _codes(F.col(text)).alias("c"))
+    steps = codes.where("size(c) > 1").select("y", "w", "p", F.explode(F.arrays_zip(
         F.expr("slice(c, 1, size(c) - 1)").alias("a"), F.expr("slice(c, 2, size(c) - 1)").alias("b"))).alias("s"))
-    counts = {(r["y"], r["a"], r["b"]): r["n"] for r in steps.where("s.a > 0 AND s.b > 0").groupBy("y", "s.a", "s.b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts: dict[tuple[int, int, int], float] = {}
+    rows = steps.where("s.a > 0 AND s.b > 0").groupBy("y", "p", "s.a", "s.b").agg(F.sum("w").alias("n")).collect()
+    for r in sorted(rows, key=lambda r: (r["y"], r["a"], r["b"], r["p"])):
+        counts[r["y"], r["a"], r["b"]] = counts.get((r["y"], r["a"], r["b"]), 0) + r["n"] / r["p"]
     log = {}
     for y in (0, 1):
         for a in range(1, SIZE):
@@ -47,27 +52,36 @@ def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[
 
 
 def samples_from(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled samples: random strings over usual key alphabets (1), and ordinary identifiers (0).
+    """Labelled samples: random strings over usual key alphabets (1), and ordinary identifiers (0), with ``weight`` and ``per``.
 
-    The identifiers are words of ``SAMPLE_DOCS`` documents in the order of their hash, alone and joined the way
-    code joins them; the random strings come from digests of ``SAMPLE_RANDOM`` numbers.  Both bounds are parameters of the fit only.
+    The identifiers are the words of all documents, alone and each joined with the next distinct word of its document the
+    way code joins them.  They are not written out: words, and characters that meet where two words are joined, are
+    counted first, and what comes out has the same character steps.  The random strings come from digests of
+    ``SAMPLE_RANDOM`` numbers.
     """
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(
         F.base64(digest), F.translate(F.base64(digest), "+/", "-_"), F.upper(F.conv(F.substring(F.hex(digest), 1, 15), 16, 36)),
         F.lower(F.hex(digest)))).alias("text"), F.lit(1).alias("label"))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))  # so that each task puts forward only a few texts
-    drawn = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    texts = drawn.orderBy(F.xxhash64("t", F.lit(1))).limit(SAMPLE_DOCS)
-    words = texts.select(F.array_distinct(F.expr("regexp_extract_all(t, '[A-Za-z]{2,}', 0)")).alias("w"))
-    pairs = F.expr("filter(zip_with(w, slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> array(a, b)), x -> x[1] is not null)")
-    joined = F.flatten(F.transform(pairs, lambda p: F.array(
-        p[0], F.concat_ws("_", p[0], p[1]), F.concat_ws("-", p[0], p[1]), F.concat_ws("/", p[0], p[1]), F.concat(p[0], F.initcap(p[1])), F.upper(F.concat_ws("_", p[0], p[1])))))
+    words = docs.select(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
+    # a word is the first of a pair unless it is the last, and the second unless it is the first
+    places = F.transform("w", lambda x, i: F.struct(((i < F.size("w") - 1).cast("int") + 2 * (i > 0).cast("int")).alias("kind"), x.alias("s")))
+    seams = F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> struct(4 AS kind, concat(right(a, 1), left(b, 1)) AS s))")
+    counted = words.where("size(w) > 1").select(F.explode(F.concat(places, seams)).alias("x")).groupBy("x.kind", "x.s").agg(F.count(F.lit(1)).alias("n"))
+    # the joined forms of a pair: a, a_b, a-b, a/b, aB, A_B
+    form = lambda text, times: F.struct(text.alias("text"), times.cast("long").alias("times"))
+    s, first, second = F.col("s"), F.col("kind").bitwiseAND(1), F.shiftright("kind", 1)
+    a, b = F.substring("s", 1, 1), F.substring("s", 2, 1)
+    whole = F.array(form(s, 5 * first + 3 * second), form(F.upper(s), first + second), form(F.initcap(s), second))
+    met = F.array(*[form(x, F.lit(1)) for x in (F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.concat(a, F.upper(b)), F.upper(F.concat_ws("_", a, b)))])
+    per = max(1.0, docs.count() / SMOOTH_DOCS)
+    joined = counted.select(F.explode(F.when(F.col("kind") == 4, met).otherwise(whole)).alias("f"), "n").where("f.times > 0")
+    ordinary = joined.select("f.text", F.lit(0).alias("label"), (F.col("n") * F.col("f.times")).alias("weight"), F.lit(per).alias("per"))
     rules = F.transform(F.split(F.lit("-_=/+0"), ""), lambda c: F.repeat(c, 1000))  # lines drawn with one character
     lines = spark.range(20).select(F.explode(rules).alias("text"), F.lit(0).alias("label"))
-    return random.unionByName(words.select(F.explode(joined).alias("text"), F.lit(0).alias("label"))).unionByName(lines)
+    once = random.unionByName(lines).select("text", "label", F.lit(1).cast("long").alias("weight"), F.lit(1.0).alias("per"))
+    return once.unionByName(ordinary)
 
 
 def ratio(text: Column, model: list[float]) -> Column:

@@ -297,3 +297,38 @@ def test_top_k(spark, block):
     got = sorted(rows_of(topk.search(table, table.where("vec_id % 50 = 0"), block=block)))
     assert got == brute_top(exact_rows, queries, 5)
     assert topk.search(table, table.where("vec_id > 9999")).count() == 0
+
+
+def brute_model(texts):
+    """Steps of all joined words of all documents, scaled to the documents that smoothing is set for."""
+    per, counts = max(1.0, len(texts) / 400), {}
+    for t in texts:
+        w = list(dict.fromkeys(re.findall(r"[A-Za-z]{2,}", t or "")))
+        for a, b in zip(w, w[1:]):
+            for s in (a, f"{a}_{b}", f"{a}-{b}", f"{a}/{b}", a + b.capitalize(), f"{a}_{b}".upper()):
+                for x in zip(s, s[1:]):
+                    counts[x] = counts.get(x, 0) + 1 / per
+    for c in "-_=/+0":
+        counts[c, c] = counts.get((c, c), 0) + 20 * 999
+    out = {}
+    for a in secrets.ALPHABET:
+        total = sum(counts.get((a, b), 0) for b in secrets.ALPHABET)
+        out |= {(a, b): np.log((counts.get((a, b), 0) + 1) / (total + len(secrets.ALPHABET))) for b in secrets.ALPHABET}
+    return out
+
+
+def test_secret_model_counts_every_document(spark):
+    """Two thirds of the documents are one text; the words of all others count as well, and more documents smooth no less."""
+    r = random.Random(11)
+    rows = [" ".join(words(r, 30)) for _ in range(500)] + ["alpha Beta gamma alpha x"] * 1000 + [None, "", "one", "camelCase HTTPServer a1b"]
+    r.shuffle(rows)
+    model = secrets.train(secrets.samples_from(frame(spark, list(enumerate(rows))).repartition(3)))
+    none = secrets.train(secrets.samples_from(frame(spark, [])))
+    # the random side does not depend on the documents, so both models differ by their ordinary sides
+    many, few = brute_model(rows), brute_model([])
+    for i, a in enumerate(secrets.ALPHABET):
+        for j, b in enumerate(secrets.ALPHABET):
+            at = (i + 1) * secrets.SIZE + j + 1
+            assert abs(none[at] - model[at] - (many[a, b] - few[a, b])) < 1e-9, (a, b)
+    twice = secrets.train(secrets.samples_from(frame(spark, list(enumerate(rows * 2)))))
+    assert np.allclose(model, twice, atol=1e-9)
