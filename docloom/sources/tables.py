@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -103,8 +104,13 @@ def write_index(df: DataFrame, path: str) -> None:
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
+# What Spark says of files that are missing or damaged, and what shows that a store or a cluster failed instead.
+DAMAGED = re.compile(r"\[(FAILED_READ_FILE|PATH_NOT_FOUND|UNABLE_TO_INFER_SCHEMA)\b|Could not read footer|is not a Parquet file")
+FAILED = re.compile(r"ExecutorLostFailure|FetchFailed|OutOfMemoryError|AccessControlException|AccessDenied|InterruptedIOException|SocketTimeoutException|java\.net\.|TaskKilled")
+
+
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest complete index; an empty one when there is none or when its files cannot be read."""
+    """The newest complete index; an empty one when there is none or when its files are missing or damaged.  Other errors raise."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
     versions = _versions(spark, path)
     if not versions:
@@ -112,7 +118,9 @@ def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         found = spark.read.parquet(f"{path.rstrip('/')}/version={versions[-1]:06d}").select(*names)
         found.write.format("noop").mode("overwrite").save()  # damage inside the files shows only when they are read
-    except (PySparkException, Py4JJavaError):
+    except (PySparkException, Py4JJavaError) as e:
+        if not DAMAGED.search(str(e)) or FAILED.search(str(e)):
+            raise
         return spark.createDataFrame([], schema)
     return found
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import dom, layout, revisions
@@ -162,6 +163,33 @@ def test_index_versions(spark, tmp_path):
     assert rows() == []
 
 
+@pytest.mark.parametrize("damage", ["footer", "page", "gone"])
+def test_index_raises_other_errors(spark, tmp_path, monkeypatch, damage):
+    """Damaged and missing files read as an empty index; a job that fails in another way raises."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import DataFrameWriter
+
+    from docloom.sources.tables import read_index, write_index
+
+    path, schema = str(tmp_path / "index"), "url string, n int"
+    write_index(spark.createDataFrame([(f"u{i * 7919 % 1000}", i) for i in range(1000)], schema).coalesce(1), path)
+    assert read_index(spark, path, schema).count() == 1000
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        read_index(spark, path, "url string, other int")
+    with monkeypatch.context() as m:
+        def lost(self, *a, **b):
+            raise PySparkException("Job aborted due to stage failure: Task 0 in stage 1.0 failed 4 times: ExecutorLostFailure (executor 1 exited)")
+        m.setattr(DataFrameWriter, "save", lost)
+        with pytest.raises(PySparkException, match="ExecutorLostFailure"):
+            read_index(spark, path, schema)
+    [part] = (tmp_path / "index" / "version=000000").glob("*.parquet")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    data = bytearray(part.read_bytes())
+    data[4:2000] = b"\xff" * 1996
+    part.write_bytes(b"PAR1 damaged" if damage == "footer" else bytes(data)) if damage != "gone" else part.unlink()
+    assert read_index(spark, path, schema).count() == 0
+
+
 def test_vat_totals_count_a_base_once(spark):
     from docloom.operators.invoices import vat_summary
     lines = spark.createDataFrame([("n", "c", k, 0.1, 100.0, 10.0, True) for k in ("iva", "recargo", "retencion")] + [("n", "c", "exento", 0.0, 50.0, None, True)],
