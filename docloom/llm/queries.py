@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, exact, html_extract, html_pages, jaccard, packing, quality, secrets, substrings, topk
+from docloom.llm import binary, bpe, exact, filter_audit, html_extract, html_pages, infill, jaccard, packing, quality, quality_rules, secrets, substrings, topk
 from docloom.plans.base import Registry, Tables
 
 R = Registry()
@@ -84,3 +84,49 @@ TRAINING_PAGES = 600
 def op1(t: Tables) -> DataFrame:
     texts = html_extract.extract(t.pages, html_extract.train(html_pages.training_pages(TRAINING_PAGES)))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@R.query("op11_quality_rules")
+def op11(t: Tables) -> DataFrame:
+    judged = quality_rules.judge(t.documents, quality_rules.fit(t.documents, t.labels))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@R.query("op12_filter_audit", oracle=r"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    f AS (SELECT doc_id, part, CAST(len(ws) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INTEGER)
+          + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INTEGER)
+          + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INTEGER) AS sig FROM w),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (SELECT part, sig, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, sig),
+    letters(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bits
+               FROM letters p JOIN letters q ON q.b <> p.b JOIN letters r ON r.b NOT IN (p.b, q.b) JOIN letters s ON s.b NOT IN (p.b, q.b, r.b)
+               JOIN letters u ON u.b NOT IN (p.b, q.b, r.b, s.b)),
+    steps AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INTEGER) AS before FROM orders, unnest(range(1, 6)) AS k(i)),
+    found AS (SELECT part, filter_order, step, bit, sum(CASE WHEN sig & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+              sum(CASE WHEN sig & bit <> 0 AND sig & before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN sig & bit <> 0 AND sig & before <> 0 THEN n ELSE 0 END) AS redundant,
+              sum(CASE WHEN sig = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN sig & bit <> 0 AND sig & before = 0 THEN good ELSE 0 END) AS good_lost,
+              sum(CASE WHEN sig & bit <> 0 AND sig & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM cells, steps GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM found""")
+def op12(t: Tables) -> DataFrame:
+    return filter_audit.audit(t.documents, t.labels)
+
+
+@R.query("op13_fill_in_middle", oracle="""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    e AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+          CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+          CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+    p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM p""")
+def op13(t: Tables) -> DataFrame:
+    cut = infill.transform(t.documents)
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
