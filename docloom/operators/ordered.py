@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docloom.session import materialize
 
 BLOCK = 1 << 17  # rows per chunk where a dense sequence number orders the key
+CHUNK_REACHES = 4  # length of a chunk of anchored groups, in reaches
 GROUP_LIMIT = 1000  # largest rank limit that Spark applies before the shuffle by default
 
 
@@ -98,55 +99,106 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return out.select(*df.columns, name)
 
 
-def _fold(reach: int, n_keys: int, name: str):
-    """Stream sorted (keys, position) batches, carrying only the open anchor of the current key."""
+def _hops(ticks: np.ndarray, reach: int) -> np.ndarray:
+    """For each position, the place of the first one more than ``reach`` behind it: there the next group opens."""
+    return np.searchsorted(ticks, ticks + reach, side="right")
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of a list column as arrays."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:b] for a, b in zip(ends, ends[1:]))
+
+
+def _exits(reach: int):
+    """Jump function of every chunk: from where a group may open first to the last group that then opens in the chunk.
+
+    A group that is open from before reaches less than ``reach`` into the chunk, so only openings up to the first
+    position behind that matter.  Openings that lead to the same last group are one step.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto, exits = [], []
+            for start, ticks in zip(batch.column(1).to_pylist(), _lists(batch.column(2))):
+                after = _hops(ticks, reach)
+                last = np.arange(len(ticks))
+                while (inside := after[last] < len(ticks)).any():  # as often as groups fit into a chunk
+                    last = np.where(inside, after[last % len(ticks)], last)
+                n = int(np.searchsorted(ticks, start + reach, side="right")) + 1
+                out = ticks[last[:n]]
+                steps = np.append(np.flatnonzero(out[1:] != out[:-1]), len(out) - 1)
+                upto.append(ticks[steps])
+                exits.append(out[steps])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(upto, kind), pa.array(exits, kind)], names=["_k", "_from", "_upto", "_exits"])
+
+    return run
+
+
+def _chain(reach: int):
+    """Runs through the chunks of each key, in order, with one number of state: the open group before every chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor = None, None
+        for batch in batches:
+            before = []
+            for at, (upto, exits) in enumerate(zip(_lists(batch.column(2)), _lists(batch.column(3)))):
+                mine = (batch.column(0)[at].as_py(),)
+                if mine != key:
+                    key, anchor = mine, None
+                before.append(anchor)
+                step = 0 if anchor is None else int(np.searchsorted(upto, anchor + reach, side="right"))
+                if step < len(upto):
+                    anchor = int(exits[step])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64())], names=["_k", "_from", "_before"])
+
+    return run
+
+
+def _starts(reach: int, name: str):
+    """Group of every position of a chunk, given the group that is open before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, anchor = None, None
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            pos = batch.column(n_keys).to_numpy(zero_copy_only=False)
-            changes = np.zeros(n, dtype=bool)
-            for i in range(n_keys):
-                codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                changes[1:] |= codes[1:] != codes[:-1]
-            cuts = [0, *np.flatnonzero(changes).tolist(), n]
-            key_at = lambda at: tuple(batch.column(i)[at].as_py() for i in range(n_keys))  # noqa: B023, E731
-            if key_at(0) != open_key:
-                anchor = None
-            starts = np.empty(n, dtype=np.int64)
-            for at, end in zip(cuts, cuts[1:]):
-                if at:
-                    anchor = None
-                while at < end:
-                    if anchor is None or pos[at] - anchor > reach:
-                        anchor = int(pos[at])
-                    stop = at + int(np.searchsorted(pos[at:end], anchor + reach, side="right"))
-                    starts[at:stop] = anchor
-                    at = stop
-            open_key = key_at(n - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], names=[*batch.schema.names, name])
+            starts = []
+            for before, ticks in zip(batch.column(3).to_pylist(), _lists(batch.column(2))):
+                after = _hops(ticks, reach)
+                at = 0 if before is None else int(np.searchsorted(ticks, before + reach, side="right"))
+                opens = [] if before is None else [before]
+                while at < len(ticks):
+                    opens.append(int(ticks[at]))
+                    at = int(after[at])
+                opens = np.array(opens, dtype=np.int64)
+                starts.append(opens[np.searchsorted(opens, ticks, side="right") - 1])
+            lengths = [len(x) for x in starts]
+            if lengths:
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+                flat = pa.array(np.concatenate(starts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).flatten(), flat], names=["_k", "_pos", name])
 
     return run
 
 
-def anchored(df: DataFrame, keys: Sequence[str], pos: str, reach: int, name: str = "start") -> DataFrame:
+def anchored(df: DataFrame, keys: Sequence[str], pos: str, reach: int, name: str = "start", chunk_reaches: int = CHUNK_REACHES) -> DataFrame:
     """Anchored groups: a group opens at its first position; a position more than ``reach`` past the
     *opening* position opens the next group.  This is not a gap rule, so ``lag`` cannot express it.
 
-    Only distinct integer positions are folded.  A key has at most span/1 of them (seconds of a clock,
-    hundredths of an inch on a slide), however many rows it holds, and they stream through in order
-    with one number of state, so nothing is collected.
+    Positions are cut into chunks of ``chunk_reaches * reach``.  A chunk holds its distinct positions, which its span
+    bounds however many rows there are, and tells by itself, for every group that could be open before it, which group
+    is open behind it: a step function.  One task runs through the functions of a key, a row per chunk; then every chunk
+    is grouped by itself, so that no task walks the positions of a whole key.  Null positions get a null.
     """
     keys = list(keys)
-    ticks = df.select(*keys, F.col(pos).cast("long").alias("_pos")).where("_pos IS NOT NULL").distinct()
-    ticks = ticks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "_pos")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ticks.schema.fields)
-    groups = ticks.mapInArrow(_fold(reach, len(keys), name), f"{fields}, `{name}` bigint")
-    out = join_on(df.withColumn("_pos", F.col(pos).cast("long")), groups, [*keys, "_pos"], "left")
-    return out.drop("_pos")
+    width = max(1, chunk_reaches * reach)
+    placed = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0)).withColumn("_pos", F.col(pos).cast("long"))
+    chunks = placed.where("_pos IS NOT NULL").groupBy("_k", (F.col("_pos") - F.pmod("_pos", F.lit(width))).alias("_from"))
+    ticks = materialize(chunks.agg(F.sort_array(F.collect_set("_pos")).alias("_ticks")))
+    kind = dict(ticks.dtypes)["_k"]
+    steps = ticks.mapInArrow(_exits(reach), f"_k {kind}, _from bigint, _upto array<bigint>, _exits array<bigint>")
+    chain = steps.repartition("_k").sortWithinPartitions("_k", "_from").mapInArrow(_chain(reach), f"_k {kind}, _from bigint, _before bigint")
+    groups = ticks.join(chain, ["_k", "_from"]).select("_k", "_from", "_ticks", "_before").mapInArrow(_starts(reach, name), f"_k {kind}, _pos bigint, `{name}` bigint")
+    return placed.join(groups, ["_k", "_pos"], "left").select(*df.columns, name)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rn") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,38 @@ def test_anchored(spark):
     assert got == want
 
 
+def brute_anchored(rows, reach):
+    starts, want = {}, {}
+    for k, t in sorted({(k, t) for k, t, _ in rows if t is not None}, key=lambda x: (repr(x[0]), x[1])):
+        if k not in starts or t - starts[k] > reach:
+            starts[k] = t
+        want[k, t] = starts[k]
+    return sorted(((k, t, i, want.get((k, t))) for k, t, i in rows), key=repr)
+
+
+@pytest.mark.parametrize("reach, span, chunk", [(100, 40_000, 4), (7, 300, 1), (1, 60, 2), (0, 50, 4), (50, 100_000, 3), (5000, 3000, 4)])
+def test_anchored_over_chunks(spark, reach, span, chunk):
+    """One key with most rows, sparse and dense stretches, negative positions, null keys and positions, repeated rows."""
+    rng = random.Random(reach + span)
+    data = [(None if i % 40 == 0 else "hot" if i % 3 else f"k{i % 11}", None if i % 97 == 0 else rng.randrange(-span, span) // rng.choice([1, 1, 5]), i) for i in range(3000)]
+    data += data[:20]
+    df = spark.createDataFrame(data, "k string, t long, id long").repartition(5)
+    got = sorted(map(tuple, o.anchored(df, ["k"], "t", reach, chunk_reaches=chunk).select("k", "t", "id", "start").collect()), key=repr)
+    assert got == brute_anchored(data, reach)
+    assert o.anchored(df.where("id < 0"), ["k"], "t", reach).count() == 0
+
+
+def test_anchored_spreads_a_hot_key(spark):
+    """All rows in one key: the positions of a chunk lie in one row, and no row holds more than a chunk's."""
+    df = spark.range(50_000).select(F.lit(1).alias("k"), (F.col("id") * 3).alias("t"))
+    out = o.anchored(df, ["k"], "t", 100)
+    assert out.select("start").distinct().count() == 150_000 // 102 + 1
+    width = o.CHUNK_REACHES * 100
+    table = next(f for f in out.inputFiles() if "/table-" in f).rsplit("/", 1)[0]
+    sizes = [len(r["_ticks"]) for r in spark.read.parquet(table).collect()]
+    assert len(sizes) == -(-150_000 // width) and max(sizes) <= width // 3 + 1
+
+
 def test_first_n_limits_before_the_shuffle(spark):
     df = rows(spark)
     out = o.first_n(df, ["k"], ["t", "id"], 5)
