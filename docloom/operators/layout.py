@@ -2,12 +2,13 @@
 
 Overlaps are found through grid cells: a rectangle is listed in the cells it covers and a pair is
 reported only from the one cell that holds the top-left corner of its intersection, so no page or
-slide is paired as a whole and no pair comes twice.
+slide is paired as a whole and no pair comes twice.  Crowded cells are cut again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ BEYOND_SLIDE = 0.01
 BEYOND_FRAME = 0.05
 MARGIN_TOP_BOTTOM, MARGIN_SIDES = 0.05, 0.1
 BULLETS = ("•", "●", "○")
+CROWD = 2000  # rectangles in a cell above which the cell is cut
+PARTS = 1024  # most cells a side in one cut
+CELL = "struct<ox:double,sx:double,kx:bigint,oy:double,sy:double,ky:bigint,gx:bigint,gy:bigint>"  # origin, side, number and place on each axis
 
 
 def units(df: DataFrame, emu: str = "emu", points: str = "points") -> DataFrame:
@@ -95,7 +99,7 @@ def reading_order(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) ->
     has ``left_2``/``top_2``, inches with two places, and ``shape_no`` to settle ties.
     """
     hundredths = shapes.withColumn("_y", (F.col("top_2") * 100).cast("long"))
-    rows = anchored(hundredths, list(keys), "_y", int(SAME_ROW * 100), "_row")
+    rows = anchored(hundredths, list(keys), "_y", int(SAME_ROW * 100), "_row", chunk_reaches=1000)  # 500 inches
     order = ["_row", "left_2", "_y", "shape_no"]
     out = numbered(rows, list(keys), order, "_n")
     return out.withColumn("row_top", (F.col("_row") / 100).cast("decimal(18,2)")).withColumn(
@@ -119,17 +123,79 @@ def _on_grid(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
     return g.withColumn("_gy", F.explode(F.sequence(_cell(y0, "_ch"), _cell(y1, "_ch"))))
 
 
-def _pairs(df: DataFrame, keys: Sequence[str], ident: str, x0: str, y0: str, x1: str, y1: str, keep: Sequence[str]) -> DataFrame:
-    """Pairs a < b (by ``ident``) whose rectangles meet, each once; columns get ``_a``/``_b``."""
+def _place(c: Column, level: Column, axis: str) -> Column:
+    """Cell of a coordinate on one level of the grid; a level inside a crowded cell has ``k`` cells, and the outer ones
+    take what rounding puts beyond."""
+    raw = F.floor((c.cast("double") - level[f"o{axis}"]) / level[f"s{axis}"]).cast("long")
+    k = level[f"k{axis}"]
+    return F.when(k.isNull(), raw).otherwise(F.least(F.greatest(raw, F.lit(0)), k - 1))
+
+
+def _levels(df: DataFrame, level: Column, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """One row per cell that a rectangle covers on ``level``; ``_cells`` and ``_path`` grow by the cell."""
+    df = df.withColumn("_level", level)
+    cells = lambda lo, hi, axis: F.explode(F.sequence(_place(F.col(lo), F.col("_level"), axis), _place(F.col(hi), F.col("_level"), axis)))
+    df = df.withColumn("_gx", cells(x0, x1, "x")).withColumn("_gy", cells(y0, y1, "y"))
+    cell = F.struct("_level.*", F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
+    path = F.concat_ws("/", F.col("_path"), F.concat_ws(":", "_gx", "_gy"))
+    return df.withColumn("_path", path).withColumn("_cells", F.concat("_cells", F.array(cell))).drop("_level", "_gx", "_gy")
+
+
+def _outer_grid(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """Rectangles by the cells of their page's grid."""
+    none = F.lit(None).cast("long")
+    level = F.struct(F.lit(0.0).alias("ox"), F.col("_cw").alias("sx"), none.alias("kx"), F.lit(0.0).alias("oy"), F.col("_ch").alias("sy"), none.alias("ky"))
+    sized = join_on(df, _sides(df, keys, x0, y0, x1, y1), list(keys))
+    sized = sized.withColumn("_path", F.lit(None).cast("string")).withColumn("_cells", F.array().cast(f"array<{CELL}>"))
+    return _levels(sized, level, x0, y0, x1, y1).drop("_cw", "_ch")
+
+
+def _split_crowds(g: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str, crowd: int) -> DataFrame:
+    """Cells with more than ``crowd`` rectangles get a grid of their own, again and again, until none is left or finer
+    cells part nothing.
+
+    The sides of the inner grid are the root mean square of the sizes, none counted as more than the cell, so it adds
+    about four cells for each rectangle, as the outer grid does.  Where most sizes fill the cell, or all that do not span it
+    start at one place, the rectangles meet each other and finer cells would only list them more often.
+    """
+    done = []
+    while True:
+        last = F.element_at("_cells", -1)
+        low = lambda axis: last[f"o{axis}"] + last[f"g{axis}"] * last[f"s{axis}"]  # noqa: E731, B023
+        spans = lambda axis, a, b: (F.col(a) <= low(axis)) & (F.col(b) >= low(axis) + last[f"s{axis}"])  # noqa: E731, B023
+        start = lambda axis, a, b: F.when(~spans(axis, a, b), F.greatest(F.col(a).cast("double"), low(axis)))
+        size = lambda axis, a, b: F.least((F.col(b) - F.col(a)).cast("double"), last[f"s{axis}"])  # noqa: E731, B023
+        rms = lambda axis, a, b: F.when(F.min(start(axis, a, b)) < F.max(start(axis, a, b)), F.sqrt(F.avg(F.pow(size(axis, a, b), 2))))
+        finer = lambda axis, side: F.when(F.col(side).isNull(), 1).otherwise(F.floor(last[f"s{axis}"] / F.greatest(F.col(side), last[f"s{axis}"] / PARTS))).cast("long")  # noqa: E731, B023
+        cells = g.groupBy(*keys, "_path").agg(F.count(F.lit(1)).alias("_n"), rms("x", x0, x1).alias("_rx"), rms("y", y0, y1).alias("_ry"), F.first("_cells").alias("_cells"))
+        inner = F.struct(*[e.alias(n) for axis, side in (("x", "_rx"), ("y", "_ry")) for n, e in (
+            (f"o{axis}", low(axis)), (f"s{axis}", last[f"s{axis}"] / finer(axis, side)), (f"k{axis}", finer(axis, side)))])
+        crowded = cells.where(F.col("_n") > crowd).select(*keys, "_path", inner.alias("_inner")).where("_inner.kx > 1 OR _inner.ky > 1")
+        crowded = materialize(crowded)  # few rows: the joins below can split a hot cell
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, done, g)
+        path = [*keys, "_path"]
+        marked = g.withColumn("_k", F.struct(*path))
+        small = crowded.select(F.struct(*path).alias("_k"), "_inner")
+        done.append(marked.join(small, "_k", "left_anti").drop("_k"))
+        g = materialize(_levels(marked.join(small, "_k").drop("_k"), F.col("_inner"), x0, y0, x1, y1).drop("_inner"))
+
+
+def _pairs(df: DataFrame, keys: Sequence[str], ident: str, x0: str, y0: str, x1: str, y1: str, keep: Sequence[str], crowd: int = CROWD) -> DataFrame:
+    """Pairs a < b (by ``ident``) whose rectangles meet, each once; columns get ``_a``/``_b``.
+
+    Rectangles meet in the cells both cover; the pair counts in the one that holds the corner of what they share, on
+    every level of the grid.
+    """
     cols = [ident, x0, y0, x1, y1, *keep]
-    sized = join_on(df.select(*keys, *cols), _sides(df, keys, x0, y0, x1, y1), list(keys))
-    g = _on_grid(sized, x0, y0, x1, y1)
-    a = g.select(*keys, "_gx", "_gy", "_cw", "_ch", *[F.col(c).alias(f"{c}_a") for c in cols])
+    g = _split_crowds(_outer_grid(df.select(*keys, *cols), keys, x0, y0, x1, y1), keys, x0, y0, x1, y1, crowd)
+    a = g.select(*keys, "_path", "_cells", *[F.col(c).alias(f"{c}_a") for c in cols])
     # Same columns on both sides, so that one shuffle serves both.
-    b = g.select(*keys, "_gx", "_gy", F.col("_cw").alias("_cw_b"), F.col("_ch").alias("_ch_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    j = a.join(b, [*keys, "_gx", "_gy"]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
-    corner = lambda c, side: _cell(F.greatest(f"{c}_a", f"{c}_b"), side)
-    return j.where((corner(x0, "_cw") == F.col("_gx")) & (corner(y0, "_ch") == F.col("_gy"))).drop("_gx", "_gy", "_cw", "_ch", "_cw_b", "_ch_b")
+    b = g.select(*keys, "_path", F.col("_cells").alias("_cells_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    j = a.join(b, [*keys, "_path"]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
+    corner = lambda c: F.greatest(f"{c}_a", f"{c}_b")
+    here = F.forall("_cells", lambda c: (_place(corner(x0), c, "x") == c["gx"]) & (_place(corner(y0), c, "y") == c["gy"]))
+    return j.where(here).drop("_path", "_cells", "_cells_b")
 
 
 def shape_overlaps(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.session import materialize
 
 BLOCK = 1 << 17  # rows per chunk where a dense sequence number orders the key
-CHUNK_REACHES = 4  # length of a chunk of anchored groups, in reaches
+CHUNK_REACHES = 32  # length of a chunk of anchored groups, in reaches
 GROUP_LIMIT = 1000  # largest rank limit that Spark applies before the shuffle by default
 
 

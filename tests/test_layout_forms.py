@@ -196,3 +196,37 @@ def test_vat_totals_count_a_base_once(spark):
                                   "numero_factura string, cif string, kind string, rate double, base double, quota double, fits boolean")
     got = {(r.cif, r.kind, r.rate): r.base for r in vat_summary(lines).collect()}
     assert got[("c", "recargo", 0.1)] == got[("c", "retencion", None)] == 100 and got[("c", None, None)] == got[(None, None, None)] == 150
+
+
+def test_crowded_cells_are_cut(spark):
+    """Many small boxes in a corner beside large and long ones, piles of equal boxes and of points: every pair once."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    boxes = []
+    for k in range(1500):  # a dense corner of tiny boxes
+        x, y = r.uniform(0, 3, 2)
+        boxes.append((x, y, x + r.uniform(0.005, 0.04), y + r.uniform(0.005, 0.04)))
+    boxes += [(0.0, 0.0, 900.0, 900.0), (1.0, 0.0, 1.001, 800.0), (0.0, 2.0, 700.0, 2.002), (500.0, 500.0, 950.0, 960.0)]
+    boxes += [(2.5, 2.5, 2.6, 2.6)] * 40 + [(2.7, 2.7, 2.7, 2.7)] * 30 + [(float(x), 5.0, float(x) + 300.0, 400.0) for x in range(60)]
+    rows = [("d", 1, k, k, "entry", *map(float, b)) for k, b in enumerate(boxes)] + [("d", 2, 5000 + k, k, "label", *map(float, b)) for k, b in enumerate(boxes[:90])]
+    df = spark.createDataFrame(rows, "doc string, page long, box_no long, field_no long, rect_type string, x0 double, y0 double, x1 double, y1 double")
+
+    def meeting(rows):
+        a = np.array([x[5:] for x in rows])
+        n = np.array([x[2] for x in rows])
+        hit = (a[:, None, 0] <= a[None, :, 2]) & (a[:, None, 2] >= a[None, :, 0]) & (a[:, None, 1] <= a[None, :, 3]) & (a[:, None, 3] >= a[None, :, 1])
+        strict = (a[:, None, 0] < a[None, :, 2]) & (a[:, None, 2] > a[None, :, 0]) & (a[:, None, 1] < a[None, :, 3]) & (a[:, None, 3] > a[None, :, 1])
+        return {(n[i], n[j]) for i, j in zip(*np.nonzero(strict & hit)) if n[i] < n[j]}
+
+    want = meeting(rows[: len(boxes)]) | meeting(rows[len(boxes):])
+    for crowd in (25, layout.CROWD):
+        pairs = layout._pairs(df, ["doc", "page"], "box_no", "x0", "y0", "x1", "y1", ["field_no"], crowd=crowd)
+        found = [(p["box_no_a"], p["box_no_b"]) for p in pairs.where("x0_a < x1_b AND x1_a > x0_b AND y0_a < y1_b AND y1_a > y0_b").collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    sides = (["doc", "page"], "x0", "y0", "x1", "y1")
+    grid = layout._outer_grid(df, *sides)
+    cut = layout._split_crowds(grid, *sides, 25)
+    before = max(r["count"] for r in grid.groupBy("doc", "page", "_path").count().collect())
+    sizes = sorted(r["count"] for r in cut.groupBy("doc", "page", "_path").count().collect())
+    assert before > 1500 and sum(n > 110 for n in sizes) == 0  # only the piles stay together
