@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import json
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.operators import dom
 from docloom.operators.ordered import first_n, join_on, numbered
 from docloom.session import materialize
 
@@ -270,18 +274,52 @@ def filename_collisions(pages: DataFrame, url: str = "url") -> DataFrame:
     return distinct.groupBy("host", "file").agg(F.count(F.lit(1)).alias("n_urls")).where("n_urls > 1")
 
 
-def sidebar_order(start_pages: DataFrame, max_pages: int = 200) -> DataFrame:
-    """Visit order from each start page's navigation links ``(page_id, url, hrefs array)``.
+def sidebar_links(pages: DataFrame, nodes: DataFrame, framework: str | None = None) -> DataFrame:
+    """Navigation links of each page, by the selectors of its documentation framework, in document order:
+    ``(page_id, url, framework, hrefs)``.  Pages without any have no row.
 
-    Distinct internal links in document order; the start page comes first when it is not among them;
-    cut at ``max_pages``.  A start page without links yields no row (use ``crawl_levels``).
+    ``nodes`` are the pages' markup with the page as ``doc_id``.  The selectors of all frameworks are matched in one pass
+    over the elements in document order; each page then reads the match of its own framework (``framework`` names one
+    for all pages, else it is detected).
+    """
+    found = detect_framework(pages) if framework is None else pages.withColumn("framework", F.lit(framework))
+    named = F.when(F.col("framework").isin(*dom.FRAMEWORK_SELECTORS), F.col("framework")).otherwise("generic")
+    known = found.select("page_id", "url", named.alias("framework"), F.col("page_id").cast("string").alias("doc_id"))
+    marked = nodes.where("kind = 'e'").select(*dom.DOC, "node_id", "parent_id", "end_id", "kind", "tag", "attrs")
+    marks = {}
+    for name, rules in dom.FRAMEWORK_SELECTORS.items():
+        same = tuple(rules["sidebar_links"])
+        if same not in marks:
+            marks[same] = f"_nav{len(marks)}"
+            marked = dom.select(marked, same, marks[same])
+    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
+    hits = marked.where((href != "") & reduce(lambda x, y: x | y, map(F.col, marks.values()))).select("doc_id", "node_id", href.alias("_href"), *marks.values()).join(known, "doc_id")
+    mine = reduce(lambda x, y: x | y, [(F.col("framework") == name) & F.col(marks[tuple(rules["sidebar_links"])]) for name, rules in dom.FRAMEWORK_SELECTORS.items()])
+    listed = hits.where(mine).groupBy("page_id", "url", "framework").agg(F.sort_array(F.collect_list(F.struct("node_id", "_href"))).alias("_l"))
+    return listed.select("page_id", "url", "framework", F.col("_l._href").alias("hrefs"))
+
+
+def sidebar_order(pages: DataFrame, nodes: DataFrame, max_pages: int = 200, edges: DataFrame | None = None, max_depth: int = 3,
+                  framework: str | None = None) -> DataFrame:
+    """Visit order from each start page's navigation: ``(page_id, url, link, visit_no)``.
+
+    Distinct internal links of the navigation (``sidebar_links``) in document order; the start page comes first when it
+    is not among them; cut at ``max_pages``.  Links of body and footer never take part.  A start page without such links
+    is crawled breadth first over ``edges(src, pos, dst)``, where given; without edges it has no row.
     """
     own = U.host(F.col("url"))
     links = _distinct_links(F.col("hrefs"), F.col("url"), _docs_link, lambda u: U.internal(u, own))
-    listed = start_pages.select("page_id", "url", links.alias("_links")).where(F.size("_links") > 0)
+    listed = sidebar_links(pages, nodes, framework).select("page_id", "url", links.alias("_links")).where(F.size("_links") > 0)
+    if edges is not None:
+        listed = materialize(listed)
     queue = F.when(F.array_contains("_links", F.col("url")), F.col("_links")).otherwise(F.array_prepend("_links", F.col("url")))
-    return listed.select("page_id", "url", F.posexplode(F.slice(queue, 1, max_pages)).alias("_p", "link")).select(
-        "page_id", "url", "link", (F.col("_p") + 1).alias("visit_no"))
+    out = listed.select("page_id", "url", F.posexplode(F.slice(queue, 1, max_pages)).alias("_p", "link")).select(
+        "page_id", "url", "link", (F.col("_p") + 1).cast("long").alias("visit_no"))
+    if edges is None:
+        return out
+    rest = pages.select("page_id", "url").join(listed.select("page_id"), "page_id", "left_anti")
+    crawled = crawl_levels(edges, rest.select(F.col("page_id").alias("site"), F.col("url").alias("node")), max_depth, max_pages)
+    return out.unionByName(crawled.select(F.col("site").alias("page_id"), F.col("node").alias("link"), "visit_no").join(rest, "page_id").select("page_id", "url", "link", "visit_no"))
 
 
 def _title_or_file(title: str = "title", file: str = "file") -> Column:

@@ -81,3 +81,32 @@ def test_character_references_in_links(spark):
 def test_steps_above_the_root(spark):
     pairs = [("http://b.org", "../"), ("https://a.org/x/", "../../"), ("https://a.org/x/y", "../../../z"), ("https://a.org/x/y/", "..")]
     assert normalized(spark, pairs) == {p: expected(*p) for p in pairs}
+
+
+def test_navigation_of_frameworks(spark):
+    """Only links of the navigation of the page's framework; body and footer links never push them out; crawl where there is none."""
+    from docloom.sources.markup import html_nodes
+
+    nav = '<li><a href="/n1">1</a></li><li><a href="/n2#x">2</a></li><li><a href="/n1">1</a><a href="#top">t</a><a href="https://other.org/">o</a><a>no</a></li>'
+    body = '<p><a href="/body1">b</a></p>{}<article><a href="/body2">c</a></article><footer><a href="/foot">f</a></footer>'
+    html = {
+        "mkdocs": '<meta name="generator" content="mkdocs">' + body.format("<nav>" + nav.replace("<a ", '<a class="md-nav__link" ') + '</nav><nav class="sidebar"><a href="/wrong">w</a></nav>'),
+        "readthedocs": "<i>readthedocs</i>" + body.format('<div class="a sphinxsidebar"><ul>' + nav + "</ul></div><aside><nav><a href='/wrong'>w</a></nav></aside>"),
+        "gitbook": '<div class="gitbook-root">gitbook</div>' + body.format(f'<nav class="sidebar">{nav}</nav>'),
+        "generic": body.format(f'<aside><div><nav>{nav}</nav></div></aside>'),
+        "generic2": body.format(f'<div class="x sidebar"><nav class="y"><ul>{nav}</ul></nav></div><nav><a href="/wrong">w</a></nav>'),
+        "none": body.format(f"<nav>{nav}</nav>"), "empty": "",
+    }
+    urls = {name: f"http://{name}.org/docs" for name in html}
+    pages = spark.createDataFrame([(i, urls[n], h) for i, (n, h) in enumerate(html.items())], "page_id long, url string, html string")
+    nodes = html_nodes(pages, "page_id")
+    found = {r["page_id"]: (r["framework"], r["hrefs"]) for r in web.sidebar_links(pages, nodes).collect()}
+    assert {found[i][0] for i in (0, 1, 2)} == {"mkdocs", "readthedocs", "gitbook"} and set(found) == {0, 1, 2, 3, 4}
+    edges = web.page_links(pages, docs_rules=True).select(F.col("url").alias("src"), "pos", F.col("link").alias("dst"))
+    got = {}
+    for r in web.sidebar_order(pages, nodes, 3, edges, 1).orderBy("page_id", "visit_no").collect():
+        got.setdefault(r["page_id"], []).append(r["link"].split(".org")[1])
+    want = ["/docs", "/n1", "/n2"]
+    assert got == {i: want for i in range(5)} | {5: ["/docs", "/body1", "/n1"], 6: ["/docs"]}
+    assert {r["page_id"] for r in web.sidebar_order(pages, nodes, 3).collect()} == set(range(5))
+    assert web.sidebar_order(pages, nodes, 2, framework="vuepress").count() == 0
