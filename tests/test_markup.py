@@ -36,6 +36,12 @@ CASES = {
         "| A   | Long\\|er |\n| :-- | -------- |\n| 1   |          |\n",
     '<body><div class="cookie-box"><p>no</p></div><p style="display: none">no</p><p aria-hidden="true">no</p><p>yes</p><!-- c --></body>':
         "yes\n",
+    '<body><pre>a<code class="language-py">x</code>b<i>c</i>d<i>e</i>f</pre><p>t</p><pre>p<i>q</i>\n\n</pre></body>':
+        "```py\nx\n```\n\nt\n\n```\npq\n\n```\n",
+    '<body><pre class="lang-go"><b>n</b><code>one\n<i>1</i></code> <code class="language-js">two</code></pre></body>':
+        "```go\none\n1\n```\n",
+    "<body><p><b><i><s><mark><b><i><s><mark> x </mark></s></i></b></mark></s></i></b> <s><b><i><s><mark><b><i><s> </s></i></b></mark></s></i></b></s>y</p></body>":
+        "***~~==***~~==x==~~***==~~*** y\n",
     "<body><p>x <b> bold </b>y <s> gone </s> <b> </b>z</p></body>":
         "x  **bold** y ~~gone~~ z\n",
 }
