@@ -168,11 +168,11 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder:
         end = struct.pack("<I", end_id)
         out = writer = None
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.batch(batch.column(1))):
                 if writer is None:
                     out = store.open_output_stream(temporary)
                     writer = ShardWriter(out, kind, block)
-                writer.add(doc_id, tokenizer(value.as_py() or "") + end)
+                writer.add(doc_id, ids + end)
         if writer is not None:
             total = writer.close()
             out.close()

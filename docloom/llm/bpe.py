@@ -51,8 +51,8 @@ class BackTracker:
             if len(b) == 1:
                 continue
             options = [n for n in range(1, len(b)) if ranks.get(b[:n], NEVER) < i and ranks.get(b[n:], NEVER) < i]
-            if len(options) > 1:
-                merged = self._merge(b, i)
+            if options:
+                merged = self._merge(b, i)  # a split alone proves nothing: merges may never meet at it
                 options = [len(merged[0])] if len(merged) == 2 else []
             if options:
                 parts[i] = (ranks[b[: options[0]]], ranks[b[options[0] :]])

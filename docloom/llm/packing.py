@@ -32,8 +32,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, number, start, length, crc, all_ids = [], [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                raw = tokenizer(value.as_py() or "") + end
+            for i, ids in enumerate(tokenizer.batch(batch.column(1))):
+                raw = ids + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     row.append(i)
@@ -94,28 +94,8 @@ class Exact:
         return self.pair(gap) or self.triple(gap)
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Sequences as (how many, lengths in them), for ``counts[length]`` pieces of every length.
-
-    First every length, from the largest, takes one, two or three others that fill its gap exactly, as often as
-    the counts allow.  What is left goes best-fit: largest first, into the fullest sequence with room.  The work
-    depends on the number of different lengths, not of pieces.
-    """
-    counts = counts.astype(np.int64).copy()
-    done: list[tuple[int, tuple[int, ...]]] = []
-    exact = Exact(counts)
-    for length in range(capacity, 0, -1):
-        while counts[length] > 0:
-            counts[length] -= 1  # the piece that looks for company
-            found = () if length == capacity else exact.fill(capacity - length)
-            counts[length] += 1
-            if found is None:
-                break
-            use = (length, *found)
-            times = min(int(counts[x]) // use.count(x) for x in use)
-            for x in use:
-                counts[x] -= times
-            done.append((times, use))
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Largest first, into the fullest sequence with room; equal pieces are placed together."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     for length in range(capacity, 0, -1):
         left = int(counts[length])
@@ -138,7 +118,36 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]
                 room.setdefault(fits, []).append((times - k, use))
             room.setdefault(fits - length, []).append((k, (*use, length)))
             left -= k
-    return done + [group for groups in room.values() for group in groups]
+    return [group for groups in room.values() for group in groups]
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Sequences as (how many, lengths in them), for ``counts[length]`` pieces of every length.
+
+    First every length, from the largest, takes one, two or three others that fill its gap exactly, as often as
+    the counts allow.  What is left goes best-fit.  Exact fillings can use up small pieces that others needed: where
+    best fit alone takes fewer sequences, its plan stands.  The work depends on the number of different lengths, not of
+    pieces.
+    """
+    alone = best_fit(counts, capacity)
+    counts = counts.astype(np.int64).copy()
+    done: list[tuple[int, tuple[int, ...]]] = []
+    exact = Exact(counts)
+    for length in range(capacity, 0, -1):
+        while counts[length] > 0:
+            counts[length] -= 1  # the piece that looks for company
+            found = () if length == capacity else exact.fill(capacity - length)
+            counts[length] += 1
+            if found is None:
+                break
+            use = (length, *found)
+            times = min(int(counts[x]) // use.count(x) for x in use)
+            for x in use:
+                counts[x] -= times
+            done.append((times, use))
+    done += best_fit(counts, capacity)
+    number = lambda groups: sum(times for times, _ in groups)
+    return done if number(done) <= number(alone) else alone
 
 
 def slots(groups: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:

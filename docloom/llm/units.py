@@ -7,29 +7,37 @@ import re
 import sys
 import types
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # White space other than single blanks and line ends; a blank next to white space is not a safe place to cut.
 UNUSUAL = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 UNUSUAL_WIDE = UNUSUAL + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MEMORY = 250_000  # units kept per worker and tokenizer, in each of two generations
+TOKENIZER_MEMORY = 100_000  # units of a tokenizer for whole batches, which looks every unit of a block up once
+BLOCK_BYTES = 6_000_000  # text encoded together
 MARKS = frozenset(",.;:!?)")
 
 
+def plain_blanks(text: str) -> bool:
+    """Whether every blank of ``text`` stands between two other characters that are no white space."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(c in text for c in (UNUSUAL if text.isascii() else UNUSUAL_WIDE))
+
+
 def units_of(text: str) -> list[str]:
     """Pieces of ``text`` cut at every blank between two other characters; the blank itself is left out.
 
     Pre-tokenizers of byte-level and word-level BPE begin a new piece at such a blank, so pieces can be
     encoded one by one (the first as it is, the others with a blank in front).
     """
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-        return BOUNDARY.split(text)
-    for c in UNUSUAL if text.isascii() else UNUSUAL_WIDE:
-        if c in text:
-            return BOUNDARY.split(text)
-    return text.split(" ")
+    return text.split(" ") if plain_blanks(text) else BOUNDARY.split(text)
 
 
 def worker_state(key: str, build: Callable[[], Any]) -> Any:
@@ -109,7 +117,7 @@ class LibraryTokenizer:
     of these tokens are ordinary text (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = MEMORY, added: bool = False):
+    def __init__(self, path: str, pattern: str, limit: int = TOKENIZER_MEMORY, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
@@ -126,7 +134,7 @@ class LibraryTokenizer:
         self.find = regex.compile(pattern).findall
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.blank = " " if len(steps) == 1 else ""  # patterns of words leave blanks out
-        self.pieces = Memory(self.piece, limit)
+        self.pieces = Memory(self.piece, limit // 4)
         self.units = UnitMemory(self.unit, limit)
         tokens = [t for t in file.get("added_tokens") or [] if t["content"]] if added else []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
@@ -150,3 +158,37 @@ class LibraryTokenizer:
             return b"".join(self.units(text))
         parts = self.split(text)  # stretches between added tokens at even places; each is normalized by itself
         return b"".join(self.added[part] if i % 2 else b"".join(self.units(part)) for i, part in enumerate(parts))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of every text of a column (null: empty), in blocks: the units of a block are told apart by Arrow, each
+        different one is looked up or encoded once, and numpy puts the ids of the texts together."""
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+            yield from self._block(texts.slice(at, end - at))
+            at = end
+
+    def _block(self, column: pa.Array) -> list[bytes]:
+        texts = [t or "" for t in column.to_pylist()]
+        simple = [i for i, t in enumerate(texts) if t and plain_blanks(t) and not any(map(t.__contains__, self.added))]
+        out: list[bytes | None] = [None] * len(texts)
+        if simple:
+            parts = pc.split_pattern(column.take(pa.array(simple)).cast(pa.large_string()), " ")
+            words = parts.values.dictionary_encode()
+            which = words.indices.to_numpy().astype(np.int64)
+            starts = parts.offsets.to_numpy()
+            known = self.units.later.all(words.dictionary.to_pylist())
+            firsts = [self.unit(texts[i].partition(" ")[0]) for i in simple]  # the only unit without a blank in front
+            which[starts[:-1]] = len(known) + np.arange(len(simple))
+            known += firsts
+            sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+            ids = np.frombuffer(b"".join(known), dtype="<u4")
+            begins = np.cumsum(sizes) - sizes
+            lengths = sizes[which]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            flat = ids[np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+            cuts = ends[starts]
+            for i, a, b in zip(simple, cuts.tolist(), cuts[1:].tolist()):
+                out[i] = flat[a:b].tobytes()
+        return [self(t) if ids is None else ids for t, ids in zip(texts, out)]
