@@ -90,7 +90,8 @@ def form_inventory(fields: DataFrame, annotations: DataFrame) -> tuple[DataFrame
     ann_no, rect array<double>, on_values array<string>)``.  Containers are left out, except button groups,
     whose annotations with exactly one "on" value become the options of a radio group.  Fields without a
     place are dropped.  Result: ``(doc, field_id, type, page, rect, checked_value, unchecked_value)`` and
-    ``options(doc, field_id, ord, value, text, rect)``; options stay rows because a group has no bound.
+    ``options(doc, field_id, page, ord, value, text, rect)``, in the order of page and ``ord`` (choices have no page); options
+    stay rows because a group has no bound.
     """
     ft = F.col("ft")
     s0, s1 = F.get("states", F.lit(0))["value"], F.get("states", F.lit(1))["value"]
@@ -109,9 +110,9 @@ def form_inventory(fields: DataFrame, annotations: DataFrame) -> tuple[DataFrame
     heads = radio.groupBy("doc", "field_id").agg(F.min_by(F.struct("page", "rect"), F.struct("page", "ann_no")).alias("_at"))
     nil = F.lit(None).cast("string")
     heads = heads.select("doc", "field_id", F.lit("radio_group").alias("type"), "_at.page", "_at.rect", nil.alias("checked_value"), nil.alias("unchecked_value"))
-    radio_options = radio.select("doc", "field_id", (F.col("page").cast("long") * 1000000 + F.col("ann_no")).alias("ord"), "value", nil.alias("text"), "rect")
+    radio_options = radio.select("doc", "field_id", F.col("page").cast("long").alias("page"), F.col("ann_no").cast("long").alias("ord"), "value", nil.alias("text"), "rect")
     choices = placed.where(F.col("type") == "choice").select("doc", "field_id", F.posexplode("states").alias("ord", "s"), F.lit(None).cast("array<double>").alias("rect")).select(
-        "doc", "field_id", F.col("ord").cast("long").alias("ord"), "s.value", "s.text", "rect")
+        "doc", "field_id", F.lit(None).cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "s.value", "s.text", "rect")
     return placed.drop("states").unionByName(heads), choices.unionByName(radio_options)
 
 

@@ -117,16 +117,19 @@ def transcript_chunks(segments: DataFrame, max_chars: int) -> DataFrame:
     return placed.groupBy("video_id", chunk.alias("chunk_no")).agg(F.min("seq").alias("first_seq"), _in_order(" ").alias("text"))
 
 
-def prompt_rows(transcripts: DataFrame, kind: str = "kind", custom: str | None = None, prompts: Mapping[str, str] = PROMPTS) -> DataFrame:
-    """Adds ``prompt``: the template of the row's kind (``summary`` for unknown kinds) with the first
-    characters of the text, or a custom instruction with the whole text."""
+def prompt_rows(transcripts: DataFrame, kind: str = "kind", custom: str | None = None, prompts: Mapping[str, str] = PROMPTS,
+                max_chars: int | None = PROMPT_CHARS) -> DataFrame:
+    """Adds ``prompt``: the template of the row's kind (``summary`` for unknown kinds) with the first ``max_chars``
+    characters of the text (None: all of it, without the sign that it goes on), or a custom instruction with the whole text."""
     if custom is not None:
         return transcripts.withColumn("prompt", F.concat(F.lit(custom + "\n\nTranscripción:\n"), F.col("text")))
     head = F.lit(prompts["summary"])
     for name, value in prompts.items():
         if name != "summary":
             head = F.when(F.col(kind) == name, F.lit(value)).otherwise(head)
-    return transcripts.withColumn("prompt", F.concat(head, F.substring("text", 1, PROMPT_CHARS), F.lit("... (continúa)\n")))
+    if max_chars is None:
+        return transcripts.withColumn("prompt", F.concat(head, F.col("text")))
+    return transcripts.withColumn("prompt", F.concat(head, F.substring("text", 1, max_chars), F.lit("... (continúa)\n")))
 
 
 # Sections a session note must have.
