@@ -173,6 +173,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder:
                     out = store.open_output_stream(temporary)
                     writer = ShardWriter(out, kind, block)
                 writer.add(doc_id, tokenizer(value.as_py() or "") + end)
+        tokenizer.forget()
         if writer is not None:
             total = writer.close()
             out.close()

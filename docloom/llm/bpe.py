@@ -196,6 +196,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", tex
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=names)
+        encoder.pieces.forget()
+        encoder.units.later.forget()
 
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     names = ["_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]

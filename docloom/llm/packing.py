@@ -45,6 +45,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
                         all_ids.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(all_ids, pa.list_(pa.int64()))] if with_ids else [])], names=names)
+        tokenizer.forget()
 
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     names = ["_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]

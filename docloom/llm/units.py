@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import sys
 import types
 from array import array
 from collections.abc import Callable
+from itertools import islice
 from typing import Any
 
 # White space other than single blanks and line ends; a blank next to white space is not a safe place to cut.
 UNUSUAL = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 UNUSUAL_WIDE = UNUSUAL + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-MEMORY = 250_000  # units kept per worker and tokenizer, in each of two generations
-MARKS = frozenset(",.;:!?)")
+MEMORY = 200_000  # units kept while a task runs, in each of two generations
+KEPT = 20_000  # of these kept between tasks
+PIECES = 20_000  # and pieces of units that are not just a word
+MARKS = string.punctuation.replace("'", "")  # a run of them behind a word is one piece; "'" may begin a contraction
+LATIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch  # printable Latin-1 without blanks: no composition, one-to-one lower case
 
 
 def units_of(text: str) -> list[str]:
@@ -33,11 +38,12 @@ def units_of(text: str) -> list[str]:
 
 
 def worker_state(key: str, build: Callable[[], Any]) -> Any:
-    """``build()`` once per Python worker; later tasks of the worker find it again."""
+    """``build()`` once per Python worker; later tasks of the worker find it again, until another key comes."""
     store = sys.modules.setdefault("docloom_worker_state", types.ModuleType("docloom_worker_state"))
-    if not hasattr(store, key):
-        setattr(store, key, build())
-    return getattr(store, key)
+    if getattr(store, "key", None) != key:
+        store.value = None  # the old one goes before the new one is built
+        store.value, store.key = build(), key
+    return store.value
 
 
 class Memory:
@@ -48,31 +54,34 @@ class Memory:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
+    def get(self, key: str) -> Any:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.compute(key)
+            self.young[key] = value
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+        return value
+
     def all(self, keys: list[str]) -> list[Any]:
         found = list(map(self.young.get, keys))
-        if None in found:
-            young, old, compute = self.young, self.old, self.compute
-            for i, value in enumerate(found):
-                if value is None:
-                    k = keys[i]
-                    value = young.get(k)
-                    if value is None:
-                        value = old.get(k)
-                        if value is None:
-                            value = compute(k)
-                        young[k] = value
-                    found[i] = value
-            if len(young) > self.limit:
-                self.old, self.young = young, {}
+        for i in [i for i, value in enumerate(found) if value is None]:
+            found[i] = self.get(keys[i])
         return found
 
+    def forget(self, kept: int = KEPT) -> None:
+        """Drops all but the ``kept`` entries that came first into the young generation, common ones mostly."""
+        self.young, self.old = dict(islice(self.young.items(), kept)), {}
+
 
 class UnitMemory:
-    """Results of the units of whole texts."""
+    """Results of the units of whole texts; ``later`` computes a unit behind a blank, which is not part of its key."""
 
-    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY):
+    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY, later: Callable[[str], Any] | None = None):
         self.compute = compute
-        self.later = Memory(lambda w: compute(" " + w), limit)
+        self.later = Memory(later or (lambda w: compute(" " + w)), limit)
 
     def __call__(self, text: str) -> list[Any]:
         words = units_of(text)
@@ -83,12 +92,10 @@ class UnitMemory:
 
 
 def simple_pieces(unit: str, find: Callable[[str], list[str]]) -> list[str]:
-    """``find(unit)``, without the search where the unit is a blank, letters and at most one closing mark."""
-    word = unit[1:] if unit[:1] == " " else unit
-    if word.isalpha():
-        return [unit]
-    if word[-1:] in MARKS and word[:-1].isalpha():
-        return [unit[:-1], unit[-1]]
+    """``find(unit)``, without the search where the unit is a blank, letters and a run of closing marks."""
+    core = unit.rstrip(MARKS)
+    if (core[1:] if core[:1] == " " else core).isalpha():
+        return [unit] if len(core) == len(unit) else [core, unit[len(core) :]]
     return find(unit)
 
 
@@ -123,11 +130,17 @@ class LibraryTokenizer:
             raise ValueError("unsupported pre-tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.model = self.tokenizer.normalizer, self.tokenizer.model
+        rules = file["normalizer"]
+        kinds = [] if rules is None else [n["type"] for n in rules.get("normalizers", [rules])]
+        blanks = [n for n in (rules or {}).get("normalizers", [rules]) if n and n["type"] == "Replace"]
+        self.latin = set(kinds) <= {"NFC", "Replace", "Lowercase"} and all(n["pattern"] == {"Regex": r"\s+"} for n in blanks)
+        self.lowers = "Lowercase" in kinds
         self.find = regex.compile(pattern).findall
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.blank = " " if len(steps) == 1 else ""  # patterns of words leave blanks out
-        self.pieces = Memory(self.piece, limit)
-        self.units = UnitMemory(self.unit, limit)
+        self.before = self.blank.translate(self.table)
+        self.pieces = Memory(self.piece, PIECES)
+        self.units = UnitMemory(self.unit, limit, self.later_unit)
         tokens = [t for t in file.get("added_tokens") or [] if t["content"]] if added else []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
             raise ValueError("unsupported added token")
@@ -135,9 +148,28 @@ class LibraryTokenizer:
         self.split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split  # leftmost, then longest
 
     def piece(self, text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(self.table)
+        return self.merged(text.encode().decode("latin-1").translate(self.table))
+
+    def merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def later_unit(self, word: str) -> bytes:
+        """A unit behind a blank.  Words of printable Latin-1 with closing marks need neither normalizer nor search."""
+        if self.latin and LATIN(word):
+            if self.lowers:
+                word = word.lower()
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                if len(core) < len(word):
+                    return self.pieces.get(self.blank + core) + self.pieces.get(word[len(core) :])
+                return self.merged(self.before + core) if core.isascii() else self.piece(self.blank + core)
+        return self.unit(" " + word)
+
+    def forget(self) -> None:
+        """Drops most of what was remembered, at the end of a task: reused workers hold little beside the vocabulary."""
+        self.pieces.forget()
+        self.units.later.forget()
+
     def unit(self, text: str) -> bytes:
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
