@@ -18,6 +18,7 @@ UNUSUAL_WIDE = UNUSUAL + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".joi
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MEMORY = 200_000  # units kept while a task runs, in each of two generations
 KEPT = 20_000  # of these kept between tasks
+TOGETHER = 40  # words merged in one call of the library
 PIECES = 20_000  # and pieces of units that are not just a word
 MARKS = string.punctuation.replace("'", "")  # a run of them behind a word is one piece; "'" may begin a contraction
 LATIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch  # printable Latin-1 without blanks: no composition, one-to-one lower case
@@ -49,8 +50,9 @@ def worker_state(key: str, build: Callable[[], Any]) -> Any:
 class Memory:
     """Results by key in two generations: when the young one is full, the old one goes.  That bounds the memory."""
 
-    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY):
+    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY, together: Callable[[list[str]], list[Any]] | None = None):
         self.compute, self.limit = compute, limit
+        self.together = together  # computes many keys at once
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
@@ -67,7 +69,12 @@ class Memory:
 
     def all(self, keys: list[str]) -> list[Any]:
         found = list(map(self.young.get, keys))
-        for i in [i for i, value in enumerate(found) if value is None]:
+        missing = [i for i, value in enumerate(found) if value is None]
+        if missing and self.together is not None:
+            new = list(dict.fromkeys([k for k in map(keys.__getitem__, missing) if k not in self.old]))
+            values = dict(zip(new, self.together(new)))
+            self.young |= values
+        for i in missing:
             found[i] = self.get(keys[i])
         return found
 
@@ -79,9 +86,10 @@ class Memory:
 class UnitMemory:
     """Results of the units of whole texts; ``later`` computes a unit behind a blank, which is not part of its key."""
 
-    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY, later: Callable[[str], Any] | None = None):
+    def __init__(self, compute: Callable[[str], Any], limit: int = MEMORY, later: Callable[[str], Any] | None = None,
+                 together: Callable[[list[str]], list[Any]] | None = None):
         self.compute = compute
-        self.later = Memory(later or (lambda w: compute(" " + w)), limit)
+        self.later = Memory(later or (lambda w: compute(" " + w)), limit, together)
 
     def __call__(self, text: str) -> list[Any]:
         words = units_of(text)
@@ -140,7 +148,7 @@ class LibraryTokenizer:
         self.blank = " " if len(steps) == 1 else ""  # patterns of words leave blanks out
         self.before = self.blank.translate(self.table)
         self.pieces = Memory(self.piece, PIECES)
-        self.units = UnitMemory(self.unit, limit, self.later_unit)
+        self.units = UnitMemory(self.unit, limit, self.later_unit, self.later_units if self.parts_at_blanks(file["model"]) else None)
         tokens = [t for t in file.get("added_tokens") or [] if t["content"]] if added else []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
             raise ValueError("unsupported added token")
@@ -153,6 +161,38 @@ class LibraryTokenizer:
     def merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def parts_at_blanks(self, model: dict) -> bool:
+        """Whether words in a row, each with a blank in front, are merged as each by itself: no merge has a blank at the
+        front of its right side but behind blanks.  Then ``begins`` tells the ids that have a blank in front."""
+        if not self.before or model.get("end_of_word_suffix") or model.get("ignore_merges") or model.get("dropout") or model.get("unk_token"):
+            return False
+        self.begins = {i for token, i in model["vocab"].items() if token.startswith(self.before)}
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        return all(not right.startswith(self.before) or not left.strip(self.before) for left, right in merges)
+
+    def later_units(self, words: list[str]) -> list[bytes]:
+        """``later_unit`` of many words, whose letters are merged ``TOGETHER`` words at a time."""
+        out: list[bytes] = [b""] * len(words)
+        at, shown = [], []
+        for i, word in enumerate(words):
+            if self.latin and LATIN(word):
+                core = (word.lower() if self.lowers else word).rstrip(MARKS)
+                if core.isalpha():
+                    at.append(i)
+                    shown.append(core if core.isascii() else core.encode().decode("latin-1").translate(self.table))
+                    if len(core) < len(word):
+                        out[i] = self.pieces.get(word[len(core) :])
+                    continue
+            out[i] = self.unit(" " + word)
+        begins, before = self.begins, self.before
+        for first in range(0, len(at), TOGETHER):
+            ids = [t.id for t in self.model.tokenize(before + before.join(shown[first : first + TOGETHER]))]
+            raw = array("I", ids).tobytes()
+            cuts = [4 * k for k, i in enumerate(ids) if i in begins]
+            for i, a, b in zip(at[first : first + TOGETHER], cuts, [*cuts[1:], len(raw)]):
+                out[i] = raw[a:b] + out[i]
+        return out
+
     def later_unit(self, word: str) -> bytes:
         """A unit behind a blank.  Words of printable Latin-1 with closing marks need neither normalizer nor search."""
         if self.latin and LATIN(word):
