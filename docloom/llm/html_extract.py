@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 PAGES_AT_ONCE = 400  # pages whose trees exchange messages together
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role|data-content)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Elements of HTML by how they nest and show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,18 +31,84 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 # Word stems in class, id and role, by what they usually name.
 STEMS = {
-    "nav": "nav navbar menu breadcrumb breadcrumbs pagination pager tabs toc topnav navigation", "header": "header masthead banner logo brand top",
+    "nav": "nav navbar menu breadcrumb breadcrumbs pagination pager tabs toc topnav navigation", "header": "header masthead banner logo brand",
     "footer": "footer foot bottom copyright legal colophon contentinfo", "side": "sidebar aside side widget related recommended recommendations trending popular complementary",
     "ad": "ad ads adv advert adverts advertisement sponsor sponsored promo promotion", "notice": "notice cookie cookies consent gdpr alert popup modal newsletter subscribe",
     "form": "form search login signup signin register", "comment": "comment comments reply replies response responses respond disqus discussion",
     "social": "share sharing social follow tags meta byline", "content": "article content post entry story main body text prose page",
 }
 STEM_AT = {w: i + 1 for i, words in enumerate(STEMS.values()) for w in words.split()}
-SIZES = (len(TAGS) + 1, len(STEMS) + 1, 12, 6, 6, len(TAGS) + 1, 6)  # categories of the features
+AREAS = ["article", "main", "section", "nav", "aside", "header", "footer", "form", "figure", "address", "details", "body"]
+AREA_AT = {t: i + 1 for i, t in enumerate(AREAS)}
+SIZES = (len(TAGS) + 1, len(STEMS) + 1, 12, 6, 6, len(TAGS) + 1, 6, (len(AREAS) + 1) ** 2, len(STEMS) + 1)  # categories of the features
 EDGES = 4  # kinds of parent-child edges: to text, inline, block, and named elements
 OFFSETS = np.cumsum([0, *SIZES[:-1]])
 
 
+class Markup:
+    """Cuts a page into tags and text in one forward pass: what is known not to follow is not looked for again."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.quotes = True  # until a quoted value runs over all that is left
+        self.gone: dict[str, int] = {}  # from where on a quote or a closing tag does not occur
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.gone.get(what, len(self.source) + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the sign that ends the tag, outside quoted values; of the next one, where quotes do not close."""
+        place = at
+        while self.quotes:
+            m = TAG_STOP.search(self.source, place)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                shut = self.find(m[0], m.end())
+                place = m.end() if shut < 0 else shut + 1
+        return self.source.find(">", at)
+
+    def closing(self, name: str, at: int) -> int:
+        """Place behind the end tag of an element whose inside is not markup, or -1."""
+        key = f"</{name}"
+        if at >= self.gone.get(key, len(self.source) + 1):
+            return -1
+        m = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(self.source, at)
+        if m is None:
+            self.gone[key] = at
+            return -1
+        return self.source.find(">", m.start()) + 1 or len(self.source)
+
+    def next(self, at: int) -> tuple[int, str, bool, str, str]:
+        """(end, name, whether it ends an element, attributes, text) of what begins at ``at``; comments have neither name nor text."""
+        source, size = self.source, len(self.source)
+        if source[at] != "<":
+            end = source.find("<", at)
+            return (end, "", False, "", source[at:end]) if end >= 0 else (size, "", False, "", source[at:])
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            return (end + 3 if end >= 0 else size), "", False, "", ""
+        if at > self.last:  # no tag ends any more: text, up to a comment
+            end = source.find("<!--", at)
+            end = end if end >= 0 else size
+            return end, "", False, "", source[at:end]
+        if source[at + 1 : at + 2] in ("!", "?"):
+            return source.find(">", at) + 1, "", False, "", ""
+        m = NAME.match(source, at)
+        if m is None:
+            return at + 1, "", False, "", "<"
+        end = self.tag_end(m.end())
+        return end + 1, m[2].lower(), bool(m[1]), source[m.end() : end], ""
+
+
 class Trees:
     """Nodes of many pages as columns; a parent comes before its children."""
 
@@ -52,10 +120,17 @@ class Trees:
         self.label: list[int] = []
         self.page: list[int] = []
         self.in_link: list[bool] = []
+        self.area: list[int] = []  # the two innermost areas around a node, as one number
+        self.around: list[int] = []  # group of the innermost named element around it
 
     def add(self, page: int, parent: int, tag: str, group: int = 0, text: str = "", label: int = 0, in_link: bool = False) -> int:
         for column, value in ((self.parent, parent), (self.tag, tag), (self.group, group), (self.text, text), (self.label, label), (self.page, page), (self.in_link, in_link)):
             column.append(value)
+        area = self.area[parent] if parent >= 0 else 0
+        if tag in AREA_AT and AREA_AT[tag] != area % (len(AREAS) + 1):
+            area = area % (len(AREAS) + 1) * (len(AREAS) + 1) + AREA_AT[tag]
+        self.area.append(area)
+        self.around.append(group or (self.around[parent] if parent >= 0 else 0))
         return len(self.tag) - 1
 
     def parse(self, page: int, source: str) -> None:
@@ -65,26 +140,27 @@ class Trees:
         hidden = 0  # depth of unshown elements
         links = 0
         at, end = 0, len(source)
+        opened = Counter()
 
         def close(count: int) -> None:
             nonlocal hidden, links
             for name, _ in stack[len(stack) - count :]:
                 hidden -= name in UNSHOWN
                 links -= name == "a"
+                opened[name] -= 1
             del stack[len(stack) - count :]
 
+        markup = Markup(source)
         while at < end:
-            m = TOKEN.match(source, at)
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0][0] != "<" or m[0] == "<":
+            at, name, ends, attributes, text = markup.next(at)
+            if not name:
+                if text and not hidden:
                     top = stack[-1][1]
-                    if not hidden:
-                        self.add(page, top, "#text", 0, m[0], self.label[top], links > 0)
+                    self.add(page, top, "#text", 0, text, self.label[top], links > 0)
                 continue
-            name = name.lower()
-            if m[1]:
+            if ends:
+                if not opened[name]:
+                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == name:
                         close(len(stack) - depth)
@@ -100,34 +176,34 @@ class Trees:
                 continue
             if name == "body" and hidden:  # a head that was left open
                 close(len(stack) - 1 - (stack[1][0] == "html" if len(stack) > 1 else 0))
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened["p"]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == "p":
                         close(len(stack) - depth)
                         break
                     if stack[depth][0] in BLOCK:
                         break
-            if name in SIBLINGS:
+            if any(opened[n] for n in SIBLINGS.get(name, ())):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] in SIBLINGS[name]:
                         close(len(stack) - depth)
                         break
                     if stack[depth][0] in SCOPES[name]:
                         break
-            if m[3].endswith("/") and name not in BLOCK:
+            if attributes.endswith("/") and name not in BLOCK:
                 continue
             if name in RAW:
-                stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at) if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe") else None
-                if stop:
-                    at = source.find(">", stop.start()) + 1 or end
+                stop = markup.closing(name, at) if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe") else -1
+                if stop >= 0:
+                    at = stop
                     continue
                 if name in ("script", "style", "title", "textarea"):
                     at = end  # never closed
                     continue
             top = stack[-1][1]
             group, label = 0, self.label[top]
-            if m[3]:
-                for a in ATTRIBUTE.finditer(m[3]):
+            if attributes:
+                for a in ATTRIBUTE.finditer(attributes):
                     value = a[2] or a[3] or a[4] or ""
                     if a[1].lower() == "data-content":
                         label = int(value == "1")
@@ -136,6 +212,7 @@ class Trees:
             stack.append((name, self.add(page, top, name, group, "", label)))
             hidden += name in UNSHOWN
             links += name == "a"
+            opened[name] += 1
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parent of every node, its feature numbers, and the kind of the edge to its parent."""
@@ -153,7 +230,8 @@ class Trees:
         bucket = lambda x, top: np.minimum(np.ceil(np.log2(x + 1)), top).astype(np.int64)
         density = np.floor(5 * totals[:, 1] / np.maximum(totals[:, 0], 1)).clip(max=5).astype(np.int64)
         group = np.array(self.group, dtype=np.int64)
-        columns = np.stack([tag, group, bucket(totals[:, 0], 11), density, bucket(totals[:, 2], 5), np.where(parent >= 0, tag[parent], len(TAGS)), bucket(children, 5)], axis=1)
+        columns = np.stack([tag, group, bucket(totals[:, 0], 11), density, bucket(totals[:, 2], 5), np.where(parent >= 0, tag[parent], len(TAGS)), bucket(children, 5),
+                            np.array(self.area, dtype=np.int64), np.array(self.around, dtype=np.int64)], axis=1)
         block = np.array([t in BLOCK for t in self.tag])
         kind = np.where(tag == 0, 0, np.where(group > 0, 3, np.where(block, 2, 1)))
         return parent, columns + OFFSETS, kind
@@ -186,8 +264,11 @@ def marginals(model: dict, parent: np.ndarray, columns: np.ndarray, kind: np.nda
     up, below, above = np.zeros((n, 2)), own.copy(), np.zeros((n, 2))
     for level in reversed(levels[1:]):
         up[level] = _log_sum(below[level][:, None, :] + edge[level])
-        for s in (0, 1):
-            below[:, s] += np.bincount(parent[level], weights=up[level, s], minlength=n)
+        if 20 * len(level) > n:
+            for s in (0, 1):
+                below[:, s] += np.bincount(parent[level], weights=up[level, s], minlength=n)
+        else:  # deep trees have many small levels
+            np.add.at(below, parent[level], up[level])
     pairs = np.zeros((n, 2, 2))
     for level in levels[1:]:
         rest = below[parent[level]] + above[parent[level]] - up[level]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 
-CONTENT_CLASSES = ["content", "post-body", "entry-content", "article-text", "story", "main-text", "prose", "page"]
+CONTENT_CLASSES = ["content", "post-body", "entry-content", "article-text", "story", "top-story", "main-text", "prose", "page"]
 LAYOUTS = ["<article{c}>{x}</article>", "<main><article{c}>{x}</article></main>", '<div class="{k}"{c}>{x}</div>', '<div id="{k}"><div{c}>{x}</div></div>',
            '<main{c}>{x}</main>', '<section class="{k}"{c}>{x}</section>', '<table><tr><td{c}>{x}</td></tr></table>', '<div><div><div{c}>{x}</div></div></div>']
 
@@ -47,6 +47,7 @@ def _boiler(r: random.Random, kind: str) -> str:
         "form": lambda: f'<form action="/s"><label>{_words(r, 3)}</label><input name="q"><button>Go</button></form>',
         "comments": lambda: f"<{(t := r.choice(['section', 'div']))}{name('comments', 'comment-list', 'responses', 'discussion')}><h3>{_words(r, 2)}</h3>" + "".join(
             f'<div class="{r.choice(["comment", "reply"])}"><b>{_words(r, 1)}</b><p>{_words(r, r.randint(5, 60))}</p></div>' for _ in range(r.randint(1, 5))) + f"</{t}>",
+        "plain": lambda: r.choice(["<div><p>{}</p></div>", "<div>{}</div>", "<p>{}</p>"]).format(_words(r, r.randint(1, 9))),
         "share": lambda: f"<div{name('share', 'social')}><a href='#'>{_words(r, 1)}</a><a href='#'>{_words(r, 1)}</a></div>",
     }[kind]()
 
@@ -55,9 +56,11 @@ KINDS = ["nav", "menu", "header", "banner", "footer", "foot", "aside", "sidebar"
 
 
 def _paragraphs(r: random.Random) -> str:
-    parts = [f"<h1>{_words(r, r.randint(3, 9))}</h1>"] if r.random() < 0.8 else []
+    parts = [f"<h1>{_words(r, r.randint(1, 9))}</h1>"] if r.random() < 0.65 else []
+    if parts and r.random() < 0.2:  # the article's own header
+        parts = [f"<header{r.choice(['', ' class=\"entry-header\"', ' class=\"post-header\"'])}>{parts[0]}</header>"]
     style = r.choice(STYLES)
-    for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 40])):
+    for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 12, 40])):
         text = _words(r, r.choice([r.randint(1, 10), r.randint(8, 110), r.randint(8, 110), r.randint(8, 110), r.randint(100, 450)]), style)
         if r.random() < 0.2:
             words = text.split()
@@ -91,9 +94,14 @@ def training_pages(n: int, seed: int = 5) -> list[str]:
     r = random.Random(seed)
     pages = []
     for _ in range(n):
-        body = r.choice(LAYOUTS).format(c=' data-content="1"', k=r.choice(CONTENT_CLASSES), x=_paragraphs(r))
-        before = [_boiler(r, r.choice(KINDS)) for _ in range(r.randint(0, 4))]
-        after = [_boiler(r, r.choice(KINDS)) for _ in range(r.randint(0, 4))]
+        layout = r.choice(LAYOUTS)
+        if r.random() < 0.12:  # no container at all
+            body = "".join(f'<p data-content="1">{_words(r, r.randint(12, 120))}</p>' for _ in range(r.randint(1, 6)))
+        else:
+            body = layout.format(c=' data-content="1"', k=r.choice(CONTENT_CLASSES), x=_paragraphs(r))
+        kinds = KINDS + ["plain"] * 2 if layout.startswith(("<main", "<article")) and body[:2] != "<p" else KINDS
+        before = [_boiler(r, r.choice(kinds)) for _ in range(r.randint(0, 4))]
+        after = [_boiler(r, r.choice(kinds)) for _ in range(r.randint(0, 4))]
         inner = "".join([*before, body, *after])
         if r.random() < 0.05:  # nothing but the text
             pages.append(r.choice(['<body data-content="1">{}</body>', '<html data-content="1">{}</html>', '<div data-content="1">{}</div>']).format(r.choice([_words(r, r.randint(3, 60)), _paragraphs(r)])))

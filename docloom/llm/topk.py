@@ -19,11 +19,13 @@ Bits = np.ndarray  # bitmap over the rows of a block, 64 rows in a word
 
 
 def quantised(vector: list | None, scale: int) -> list[int] | None:
-    """floor(scale * x) of every component; nothing for null vectors and for null or non-finite components."""
+    """floor(scale * x) of every component; nothing for null vectors, for null or non-finite components, and for components
+    so large that an inner product of vectors of this length might not fit a long."""
     if vector is None or any(x is None for x in vector):
         return None
     values = np.floor(scale * np.array(vector, dtype=np.float64))
-    return values.astype(np.int64).tolist() if np.isfinite(values).all() else None
+    fits = np.isfinite(values).all() and len(values) * np.square(values).max(initial=0) < 2.0**62
+    return values.astype(np.int64).tolist() if fits else None
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -148,8 +150,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id
     rows at the boundary are settled by exact score and id.  The best of each block then meet under a rank limit.
 
     Ties go to the smaller id; a query never finds a row of its own id; rows that share an id are candidates of their
-    own, and queries that share one are answered once; vectors that are null or empty, hold null or non-finite components, or have
-    no id take no part, and only vectors of the query's length are compared.  Fewer candidates than ``k`` give all; no queries give no rows.
+    own, and of queries that share one the smallest usable vector is answered; vectors that are null or empty, hold null or non-finite components, have components
+    beyond the square root of 2**62 over their length once quantised, or have no id take no part, and only vectors of the query's length are compared.  Fewer candidates than ``k`` give all; no queries give no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).alias("v"))
@@ -172,7 +174,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id
         for size, part in held.items():
             yield pack(size, part)
 
-    asked = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).alias("v")).where("i IS NOT NULL AND v IS NOT NULL").dropDuplicates(["i"])
+    asked = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    reach = F.sqrt(F.lit(2.0**62) / F.size("v"))
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(F.lit(float(scale)) * x).cast("double")) < reach) & (F.abs(F.lit(float(scale)) * x) < reach + 1))
+    asked = asked.where(F.col("i").isNotNull() & (F.size("v") > 0) & usable).groupBy("i").agg(F.min("v").alias("v"))
     asked = asked.repartition(max(1, -(-asked.count() // QUERIES)))
     asked = _numbered(asked.mapInArrow(blocks, "q_size int, q_ids array<bigint>, q_rows binary"), "g")
     n, g = index.count(), asked.count()  # blocks, not rows

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -243,6 +244,42 @@ def test_extract_held_out_pages(page_model):
     assert ((content >= 0.5) == np.array(trees.label))[shown].mean() > 0.97
 
 
+RIVER = "The river rose slowly in the night. By morning the lower fields were under water, and nobody could cross. It stayed for days."
+COUNCIL = "Later the council met to talk about the dam. They agreed on a plan, which will take two years, if the money holds."
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>'
+REPLIES = '<section class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b><p>Nice one, thank you.</p></div></section>'
+BOTH = f"<p>{RIVER}</p><p>{COUNCIL}</p>"
+BY_HAND = [  # pages written by hand, unlike the training pages, with the text that is wanted
+    (f"<main><p>{RIVER}</p></main>", RIVER), (f"{MENU}<main><p>{RIVER}</p></main>", RIVER), (f"<main><p>{RIVER}</p></main>{REPLIES}", RIVER),
+    ("<main><p>Short note.</p></main>", "Short note."), (f'<div class="top-story">{BOTH}</div>', f"{RIVER} {COUNCIL}"),
+    (f'<div class="article-form"><p>{RIVER}</p></div>', RIVER), (f"<main>{BOTH}</main><div><p>Subscribe to our newsletter</p></div>", f"{RIVER} {COUNCIL}"),
+    (f'<article><header class="entry-header"><h1>Flood in the valley</h1></header>{BOTH}</article>', f"Flood in the valley {RIVER} {COUNCIL}"),
+    (f"<table><tr><td>{MENU}</td><td>{BOTH}</td></tr></table>", f"{RIVER} {COUNCIL}"), (f"{MENU}{BOTH}<footer>Contact us</footer>", f"{RIVER} {COUNCIL}"),
+    (f"{MENU}<div><p>{RIVER}</p></div><footer>Contact</footer>", RIVER), (f"{MENU}<main><h1>Flood</h1><p>{RIVER}</p></main><aside><p>Other news today</p></aside>", f"Flood {RIVER}"),
+]
+
+
+@pytest.mark.parametrize("shell", ["<html><body>{}</body></html>", "{}"])
+def test_extract_pages_by_hand(spark, page_model, shell):
+    rows = [(i, shell.format(page)) for i, (page, _) in enumerate(BY_HAND)]
+    got = dict(rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id int, html string"), page_model, keep=("page_id",))))
+    right = kept = wanted = 0
+    for i, (_, text) in enumerate(BY_HAND):
+        a, b = got[i].split(), text.split()
+        both = sum(min(a.count(w), b.count(w)) for w in set(a))
+        right, kept, wanted = right + both, kept + len(a), wanted + len(b)
+    assert right / kept > 0.97 and right / wanted > 0.97
+
+
+@pytest.mark.parametrize("page", ["<a x=" * 200_000, '<p title="' * 100_000, "<a " * 200_000 + '">', "<a '" * 200_001 + ">", "<noscript>" * 20_000, "<div>" * 10_000 + "x", "<!" * 300_000,
+                                  "<b>" * 30_000 + "<p>" * 30_000, "</x>" * 200_000])
+def test_broken_pages_parse_in_one_pass(page):
+    trees = html_extract.Trees()
+    start = time.process_time()
+    trees.parse(0, page)
+    assert time.process_time() - start < 4
+
+
 def test_sum_product_is_exact():
     """Marginals of a small tree against all assignments."""
     r = np.random.default_rng(4)
@@ -299,6 +336,17 @@ def test_top_k(spark, block):
     assert topk.search(table, table.where("vec_id > 9999")).count() == 0
 
 
+def test_top_k_repeated_query_ids(spark):
+    """The same answer whatever the order of the rows, and huge values that no long holds."""
+    rows = [(50, None), (50, [1.0, 2.0]), (50, [None, 1.0]), (50, [1.0, 3.0]), (100, [1e30, 1.0])] + [(i, [float(i), -1.0]) for i in range(1, 8)]
+    seen = set()
+    for _ in range(3):
+        rows = rows[1:3] + rows[:1] + rows[3:]
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        seen.add(tuple(sorted(rows_of(topk.search(table, table.where("vec_id % 50 = 0"))))))
+    assert seen == {tuple((50, k + 1, 7 - k, 256 * 256 * (7 - k - 2)) for k in range(5))}
+
+
 def brute_model(texts):
     """Steps of all joined words of all documents, scaled to the documents that smoothing is set for."""
     per, counts = max(1.0, len(texts) / 400), {}
