@@ -79,6 +79,12 @@ def _nodes(t: Tables) -> tuple[DataFrame, DataFrame]:
     return p, materialize(xml_nodes(markup_parts(p)))
 
 
+def _rels(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All parts and their relationships, which several steps read."""
+    p = parts(t)
+    return p, materialize(pk.relationships(xml_nodes(pk.rel_parts(markup_parts(p)))))
+
+
 _C = "c AS (SELECT c_custkey AS n, 'k' || c_custkey AS doc FROM customer)"
 
 
@@ -88,22 +94,22 @@ def _both(sql: str) -> str:
 
 @R.query("relationships", _both("""SELECT doc, 2 + 1 + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN n % 7 = 0 THEN 0 ELSE 2 END + 2 + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN n % 8 = 0 THEN 1 ELSE 0 END + 1 AS n_rels FROM c"""))
 def relationships(t: Tables) -> DataFrame:
-    return pk.relationships(xml_nodes(markup_parts(parts(t)))).groupBy(F.col("doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("n_rels"))
+    return pk.relationships(xml_nodes(pk.rel_parts(markup_parts(parts(t))))).groupBy(F.col("doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("n_rels"))
 
 
 @R.query("broken_refs", _both("""
 SELECT doc, '_rels/.rels' AS part, 'Broken reference to /docProps/t.jpeg' AS message FROM c WHERE n % 2 = 0
 UNION ALL SELECT doc, 'ppt/slides/_rels/slide1.xml.rels', 'Broken reference to ../slideLayouts/slideLayout9.xml' FROM c WHERE n % 5 = 0"""))
 def broken_refs(t: Tables) -> DataFrame:
-    p, n = _nodes(t)
-    return pk.broken_refs(pk.relationships(n), p).select("doc", "part", "message")
+    p, rels = _rels(t)
+    return pk.broken_refs(rels, p).select("doc", "part", "message")
 
 
 @R.query("unreferenced_parts", _both("""
 SELECT doc, 'ppt/media/image1.png' AS part FROM c UNION ALL SELECT doc, 'ppt/slides/slide2.xml' FROM c UNION ALL SELECT doc, 'ppt/theme/theme1.xml' FROM c WHERE n % 7 = 0 AND n % 2 = 0"""))
 def unreferenced_parts(t: Tables) -> DataFrame:
-    p, n = _nodes(t)
-    return pk.unreferenced_parts(pk.relationships(n), p).select("doc", "part")
+    p, rels = _rels(t)
+    return pk.unreferenced_parts(rels, p).select("doc", "part")
 
 
 @R.query("customers_without_pending_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -137,8 +143,8 @@ def expected_rel_type(t: Tables) -> DataFrame:
 
 @R.query("duplicate_rids", _both("SELECT doc, 'ppt/_rels/presentation.xml.rels' AS part, 'Duplicate relationship ID rId9' AS message FROM c WHERE n % 11 = 0"))
 def duplicate_rids(t: Tables) -> DataFrame:
-    p, n = _nodes(t)
-    return pk.duplicate_rids(pk.relationships(n), p).select("doc", "part", "message")
+    p, rels = _rels(t)
+    return pk.duplicate_rids(rels, p).select("doc", "part", "message")
 
 
 @R.query("duplicate_ids", _both("""
@@ -168,12 +174,12 @@ def layout_ref_findings(t: Tables) -> DataFrame:
 
 @R.query("multi_layout_slides", _both("SELECT doc, 'has 2 slideLayout references' AS message FROM c WHERE n % 5 = 0"))
 def multi_layout_slides(t: Tables) -> DataFrame:
-    return pk.multi_layout_slides(pk.relationships(xml_nodes(markup_parts(parts(t))))).select("doc", "message")
+    return pk.multi_layout_slides(pk.relationships(xml_nodes(pk.rel_parts(markup_parts(parts(t)))))).select("doc", "message")
 
 
 @R.query("shared_notes", _both("SELECT doc, 'ppt/slides/_rels/slide' || k || '.xml.rels' AS part FROM c CROSS JOIN (SELECT unnest([1, 2]) AS k) ks WHERE n % 8 = 0"))
 def shared_notes(t: Tables) -> DataFrame:
-    return pk.shared_notes(pk.relationships(xml_nodes(markup_parts(parts(t))))).select("doc", "part")
+    return pk.shared_notes(_rels(t)[1]).select("doc", "part")
 
 
 @R.query("uuid_findings", _both("SELECT doc, 2 AS line, 'ID G' || substr(md5(CAST(n AS VARCHAR)), 2) || ' contains invalid hex characters' AS message FROM c WHERE n % 9 = 0"))
