@@ -21,3 +21,10 @@ def test_lookups_of_parts_are_never_gathered_on_the_driver(spark, audit):
     found = getattr(pk, audit)(rels.unionByName(rels.where("node_id = 7").withColumn("node_id", F.lit(8))), parts)
     assert "Broadcast" not in plan(found)
     assert found.count() == {"broken_refs": 10, "duplicate_rids": 1, "unreferenced_parts": 10}[audit]
+
+
+def test_tables_of_several_files_are_streamed(spark, tmp_path):
+    df = spark.range(60).select((F.col("id") + 1).alias("page_id"), F.concat(F.lit("http://a/"), F.col("id") % 40, F.lit("?q")).alias("url"), F.lit("<p>").alias("html"))
+    df.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = plan_streams.stream_ingest_pages(Tables(spark, str(tmp_path)))
+    assert sorted((r["url"], r["page_id"]) for r in got.collect()) == sorted((f"http://a/{i}", i + 1) for i in range(40))
