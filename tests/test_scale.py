@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import packages as pk
 from docloom.plans import streams as plan_streams
 from docloom.plans.base import Tables
+from docloom.streaming import streams as st
 
 
 def plan(df):
@@ -28,3 +29,18 @@ def test_tables_of_several_files_are_streamed(spark, tmp_path):
     df.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     got = plan_streams.stream_ingest_pages(Tables(spark, str(tmp_path)))
     assert sorted((r["url"], r["page_id"]) for r in got.collect()) == sorted((f"http://a/{i}", i + 1) for i in range(40))
+
+
+def test_many_keys_share_the_state_of_a_shard(spark, tmp_path):
+    """Each job has an event or two; the ordered fold must not go to the state once per job."""
+    df = spark.range(3000).select(F.concat(F.lit("h"), F.col("id") % 2000).alias("job_hash"), F.col("id").alias("event_id"),
+                                  F.timestamp_seconds(1704067200 + F.col("id") * 60).alias("ts"), F.when(F.col("id") < 2000, "accepted").otherwise("retrieved").alias("status"))
+    for part in (df.where("event_id < 1500"), df.where("event_id >= 1500")):  # keys come again in a later batch
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = st.append_to(st.stream_job_status(source), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    folds = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"] if "transform" in op["operatorName"].lower()]
+    assert folds and max(folds) <= 8 * st.SHARDS
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.where("status = 'retrieved'").select("job_hash", "answer").distinct().count() == got.where("answer = 'served'").count() > 900
