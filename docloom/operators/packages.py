@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.dom import DOC, drop_subtrees
+from docloom.session import wide
 
 # Namespaces, id rules and declaration rules of the package format.
 REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -35,12 +36,6 @@ DECLARED_ROOTS = ("sld", "sldLayout", "sldMaster", "presentation", "document", "
 MEDIA = ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "wmf", "emf")
 
 
-def _wide(df: DataFrame) -> DataFrame:
-    """The lookup side of a join.  Rows that come out of ``explode`` or a parser are guessed far too few, and a package audit's
-    lookups grow with the packages, so they are shuffled and sorted, never gathered on the driver for a broadcast."""
-    return df.hint("merge")
-
-
 def _finding(rule: str, message: Column, line: Column | None = None) -> list[Column]:
     return [F.col("doc_id").alias("doc"), "part", (F.col("line") if line is None else line).alias("line"), F.lit(rule).alias("rule"), message.alias("message")]
 
@@ -88,15 +83,15 @@ def _internal(rels: DataFrame) -> DataFrame:
 def broken_refs(rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Relationships whose internal target is not a part."""
     have = parts.select(F.col("pkg").alias("doc_id"), F.col("part").alias("_to"))
-    return _internal(rels).join(_wide(have), ["doc_id", "_to"], "left_anti").select(*_finding("broken_reference", F.concat(F.lit("Broken reference to "), "target")))
+    return _internal(rels).join(wide(have), ["doc_id", "_to"], "left_anti").select(*_finding("broken_reference", F.concat(F.lit("Broken reference to "), "target")))
 
 
 def unreferenced_parts(rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Parts that no relationship names, in packages that have relationships."""
     with_rels = parts.where(F.col("part").endswith(".rels")).select("pkg").distinct()
-    files = parts.where(~F.col("part").endswith(".rels") & ~F.col("part").rlike(r"(^|/)\[Content_Types\]\.xml$")).join(_wide(with_rels), "pkg", "left_semi")
+    files = parts.where(~F.col("part").endswith(".rels") & ~F.col("part").rlike(r"(^|/)\[Content_Types\]\.xml$")).join(wide(with_rels), "pkg", "left_semi")
     named = _internal(rels).select(F.col("doc_id").alias("pkg"), F.col("_to").alias("part")).distinct()
-    left = files.join(_wide(named), ["pkg", "part"], "left_anti").select(F.col("pkg").alias("doc_id"), "part")
+    left = files.join(wide(named), ["pkg", "part"], "left_anti").select(F.col("pkg").alias("doc_id"), "part")
     return left.select(*_finding("unreferenced_file", F.lit("Unreferenced file"), F.lit(None).cast("int")))
 
 
@@ -120,7 +115,7 @@ def rid_findings(nodes: DataFrame, rels: DataFrame, types: Mapping[str, str] | N
     name = F.substring_index("type", "/", -1)
     known = rels.where("rid IS NOT NULL").groupBy("doc_id", F.col("source_part").alias("part"), "rid").agg(F.max_by(name, "node_id").alias("_actual"))
     used = nodes.where((F.col("kind") == "e") & ~F.col("part").endswith(".rels")).withColumn("rid", F.col("attrs")[REL_ID]).where("rid <> ''")
-    j = used.join(_wide(sources), DOC, "left_semi").select(*DOC, "rid", "tag", "line").join(_wide(known), [*DOC, "rid"], "left")
+    j = used.join(wide(sources), DOC, "left_semi").select(*DOC, "rid", "tag", "line").join(wide(known), [*DOC, "rid"], "left")
     want = expected_rel_type(F.col("tag"), types) if types else F.lit(None).cast("string")
     j = j.withColumn("_want", want)
     missing = F.col("_actual").isNull()
@@ -133,7 +128,7 @@ def rid_findings(nodes: DataFrame, rels: DataFrame, types: Mapping[str, str] | N
 def duplicate_rids(rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Relationship ids used again within one relationships part whose source part exists."""
     have = parts.select(F.col("pkg").alias("doc_id"), F.col("part").alias("source_part"))
-    r = rels.where("rid IS NOT NULL").join(_wide(have), ["doc_id", "source_part"], "left_semi")
+    r = rels.where("rid IS NOT NULL").join(wide(have), ["doc_id", "source_part"], "left_semi")
     return _repeats(r, ["doc_id", "part", "rid"], ["node_id"]).select(*_finding("duplicate_relationship_id", F.concat(F.lit("Duplicate relationship ID "), "rid")))
 
 
@@ -141,7 +136,7 @@ def _repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """Rows after the first of their key, with ``_first`` (the first row's order).  The first rows come from a
     partial aggregate, so a key with very many rows is only joined, never sorted in one task."""
     firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return df.join(_wide(firsts), list(keys)).where(F.struct(*order) > F.col("_first"))
+    return df.join(wide(firsts), list(keys)).where(F.struct(*order) > F.col("_first"))
 
 
 def duplicate_ids(nodes: DataFrame) -> DataFrame:
@@ -174,13 +169,13 @@ def content_type_findings(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     have = types.select("doc_id").distinct()
     aside = F.col("part").contains(".rels") | F.col("part").contains("[Content_Types]") | F.col("part").contains("docProps/") | F.col("part").contains("_rels/")
     roots = nodes.where((F.col("node_id") == 0) & (F.col("kind") == "e") & F.col("tag").isin(*DECLARED_ROOTS) & ~aside)
-    undeclared = roots.join(_wide(overrides), DOC, "left_anti").join(_wide(have), "doc_id", "left_semi").select(
+    undeclared = roots.join(wide(overrides), DOC, "left_anti").join(wide(have), "doc_id", "left_semi").select(
         *_finding("content_types", F.concat(F.lit("File with <"), "tag", F.lit("> root not declared"))))
     p = parts.select(F.col("pkg").alias("doc_id"), "part", F.lower(F.regexp_extract("part", r"[^/]\.([^./]+)$", 1)).alias("_ext"))
     media = p.where(F.col("_ext").isin(*MEDIA) & ~F.col("part").rlike("(^|/)(_rels|docProps)/"))
-    no_default = media.join(_wide(defaults), ["doc_id", "_ext"], "left_anti").join(_wide(have), "doc_id", "left_semi").select(
+    no_default = media.join(wide(defaults), ["doc_id", "_ext"], "left_anti").join(wide(have), "doc_id", "left_semi").select(
         *_finding("content_types", F.concat(F.lit("File with extension "), "_ext", F.lit(" not declared")), F.lit(None).cast("int")))
-    none = parts.select(F.col("pkg").alias("doc_id")).distinct().join(_wide(have), "doc_id", "left_anti").withColumn("part", F.lit("[Content_Types].xml"))
+    none = parts.select(F.col("pkg").alias("doc_id")).distinct().join(wide(have), "doc_id", "left_anti").withColumn("part", F.lit("[Content_Types].xml"))
     return undeclared.unionByName(no_default).unionByName(none.select(*_finding("content_types", F.lit("[Content_Types].xml file not found"), F.lit(None).cast("int"))))
 
 
@@ -188,11 +183,11 @@ def layout_ref_findings(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """Layout ids of slide masters that the master's layout relationships lack; a master without relationships."""
     masters = nodes.where(F.col("part").rlike(r"^ppt/slideMasters/[^/]*\.xml$"))
     sources = rels.select("doc_id", F.col("source_part").alias("part")).distinct()
-    bare = masters.where(F.col("node_id") == 0).join(_wide(sources), DOC, "left_anti").select(
+    bare = masters.where(F.col("node_id") == 0).join(wide(sources), DOC, "left_anti").select(
         *_finding("layout_reference", F.lit("Missing relationships file"), F.lit(None).cast("int")))
     layouts = rels.where(F.col("type").contains("slideLayout")).select("doc_id", F.col("source_part").alias("part"), "rid").distinct()
-    used = masters.where(F.col("tag") == "sldLayoutId").withColumn("rid", F.col("attrs")[REL_ID]).where("rid <> ''").join(_wide(sources), DOC, "left_semi")
-    lost = used.join(_wide(layouts), [*DOC, "rid"], "left_anti").select(*_finding(
+    used = masters.where(F.col("tag") == "sldLayoutId").withColumn("rid", F.col("attrs")[REL_ID]).where("rid <> ''").join(wide(sources), DOC, "left_semi")
+    lost = used.join(wide(layouts), [*DOC, "rid"], "left_anti").select(*_finding(
         "layout_reference", F.concat(F.lit("sldLayoutId with id="), F.coalesce(F.col("attrs")["id"], F.lit("None")), F.lit(" references missing "), "rid")))
     return bare.unionByName(lost)
 
@@ -209,7 +204,7 @@ def shared_notes(rels: DataFrame) -> DataFrame:
     notes = rels.where(F.col("part").rlike(r"^ppt/slides/_rels/[^/]*\.xml\.rels$") & F.col("type").contains("notesSlide") & (F.coalesce("target", F.lit("")) != ""))
     notes = notes.withColumn("_notes", F.replace("target", F.lit("../"), F.lit("")))
     many = notes.groupBy("doc_id", "_notes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return notes.join(_wide(many), ["doc_id", "_notes"]).select(*_finding("shared_notes", F.concat(
+    return notes.join(wide(many), ["doc_id", "_notes"]).select(*_finding("shared_notes", F.concat(
         F.lit("Notes slide "), "_notes", F.lit(" is also used by "), (F.col("_n") - 1).cast("string"), F.lit(" other references"))))
 
 
@@ -234,7 +229,7 @@ def whitespace_findings(nodes: DataFrame) -> DataFrame:
     """Text runs of the main document with outer white space and no ``xml:space="preserve"``."""
     runs = nodes.where(F.col("part").rlike(r"(^|/)document\.xml$") & (F.col("tag") == "t") & (F.col("kind") == "e"))
     texts = nodes.where((F.col("kind") == "t") & F.col("path").endswith("/t/")).groupBy(*DOC, F.col("parent_id").alias("node_id")).agg(F.min_by("text", "node_id").alias("_text"))
-    j = runs.join(_wide(texts), [*DOC, "node_id"]).where(F.col("_text").rlike(r"(?U)^\s|^.*\s$") & ~F.coalesce(F.col("attrs")[XML_SPACE] == "preserve", F.lit(False)))
+    j = runs.join(wide(texts), [*DOC, "node_id"]).where(F.col("_text").rlike(r"(?U)^\s|^.*\s$") & ~F.coalesce(F.col("attrs")[XML_SPACE] == "preserve", F.lit(False)))
     return j.select(*_finding("whitespace", T.preview(F.col("_text"))))
 
 
@@ -288,7 +283,7 @@ def comment_threads(comments: DataFrame, ext: DataFrame, ids: DataFrame) -> Data
 def validation_report(findings: DataFrame, packages: DataFrame, rules: Sequence[str]) -> DataFrame:
     """``pass``/``fail`` per package and rule.  A malformed part stops the other rules of its package (``not run``)."""
     fails = findings.groupBy("doc").agg(F.max(F.col("rule") == "well_formed").alias("_broken"), *[F.max(F.col("rule") == r).alias(f"_{r}") for r in rules])
-    j = packages.select(F.col("pkg").alias("doc")).distinct().join(_wide(fails), "doc", "left")
+    j = packages.select(F.col("pkg").alias("doc")).distinct().join(wide(fails), "doc", "left")
     cell = lambda r: F.when(F.coalesce(F.col(f"_{r}"), F.lit(False)) & (F.lit(r == "well_formed") | ~F.coalesce("_broken", F.lit(False))), "fail").when(
         F.coalesce("_broken", F.lit(False)) & F.lit(r != "well_formed"), "not run").otherwise("pass")
     return j.select("doc", *[cell(r).alias(r) for r in rules])

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators import markdown
 from docloom.operators import packages as pk
 from docloom.plans import streams as plan_streams
 from docloom.plans.base import Tables
+from docloom.sources.markup import html_nodes
 from docloom.streaming import streams as st
 
 
@@ -44,3 +46,11 @@ def test_many_keys_share_the_state_of_a_shard(spark, tmp_path):
     assert folds and max(folds) <= 8 * st.SHARDS
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.where("status = 'retrieved'").select("job_hash", "answer").distinct().count() == got.where("answer = 'served'").count() > 900
+
+
+def test_table_cells_are_never_gathered_on_the_driver(spark):
+    """Written nodes compress so well that the planner takes millions of them for a small table."""
+    html = F.concat(F.lit("<table><tr><th>k</th></tr><tr><td>"), F.col("id"), F.lit("</td></tr></table>"))
+    cells = markdown.html_tables(html_nodes(spark.range(20).select("id", html.alias("html")), "id"))
+    assert "Broadcast" not in plan(cells)
+    assert cells.where("row_no = 1 AND content = doc_id").count() == 20
