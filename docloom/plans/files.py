@@ -79,7 +79,7 @@ def cells_from_packages(t: Tables) -> DataFrame:
         "xl/sharedStrings.xml": cat(lit("<sst><si><t>"), _esc(F.col("c_name")), lit("</t></si><si><r><t>"), _esc(F.col("c_mktsegment")), lit("</t></r><r><t>!</t></r></si></sst>")),
         "xl/worksheets/sheet1.xml": cat(lit('<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><f>A2*2</f><v>'), (F.col("c_custkey") * 2).cast("string"),
                                         lit('</v></c></row><row r="7"><c r="AB7" t="s"><v>1</v></c></row><row r="9"><c r="C9" t="inlineStr"><is><t> in line </t></is></c><c r="D9"/></row></sheetData></worksheet>'))}
-    rows = t.customer.select(n.alias("pkg"), F.explode(F.array(*[F.struct(lit(p).alias("part"), x.alias("bytes")) for p, x in parts.items()])).alias("x")).select("pkg", "x.*")
+    rows = mk.spread(t.customer).select(n.alias("pkg"), F.explode(F.array(*[F.struct(lit(p).alias("part"), x.alias("bytes")) for p, x in parts.items()])).alias("x")).select("pkg", "x.*")
     out = mk.cells_from_packages(mk.xml_nodes(rows))
     return out.select(F.col("workbook").cast("long").alias("c_custkey"), "sheet", "coord", "row", "col", "value", "formula")
 

@@ -146,7 +146,10 @@ def _xml_rows(doc: str, part: str, text: str | bytes) -> list:
     return out.rows
 
 
-def _to_batches(rows: list, size: int = 20000) -> Iterator[pa.RecordBatch]:
+HELD = 4000  # node rows that a worker gathers before it hands them on
+
+
+def _to_batches(rows: list, size: int = HELD) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(rows), size):
         columns = list(zip(*rows[i:i + size]))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
@@ -156,10 +159,11 @@ def _parse(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            for doc, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for at in range(batch.num_rows):  # one text at a time: a batch of long texts is not held twice
+                doc, part, text = (c[at].as_py() for c in batch.columns)
                 if text is not None:
                     held.extend(make(doc, part, text))
-                if len(held) >= 20000:
+                if len(held) >= HELD:
                     yield from _to_batches(held)
                     held = []
         yield from _to_batches(held)
@@ -257,37 +261,53 @@ def markup_parts(parts: DataFrame) -> DataFrame:
     return parts.where((F.col("part").endswith(".xml") | F.col("part").endswith(".rels")) & F.col("bytes").isNotNull())
 
 
+def _texts_below(parts: DataFrame, inside: Column, start: Column) -> DataFrame:
+    """One row per match: ``inside`` maps a text node to the elements it counts for, ``start`` an element to itself; both are
+    arrays of structs.  Rows are dealt by document part, which one input row bounds, so what is grouped by part and
+    element later needs no further shuffle."""
+    rows = parts.select("doc_id", "part", "node_id", "text", F.explode(F.when(F.col("kind") == "t", inside).otherwise(start)).alias("_x"))
+    return rows.select("doc_id", "part", F.col("node_id").alias("_t"), "text", "_x.*").repartition("doc_id", "part")
+
+
 def cells_from_packages(nodes: DataFrame) -> DataFrame:
     """Every cell of every worksheet part, shared strings resolved: ``(workbook, sheet, coord, row, col, value, formula)``.
 
-    A shared-string table has as many rows as the workbook has texts, so it is joined by key, not broadcast.
+    The nodes that count are written down once, since several steps read them.  A shared-string table has as many rows as
+    the workbook has texts, so it is joined by key, not broadcast.
     """
+    from pyspark.sql import Window
+
     from docloom.functions.numbers import column_number
-    from docloom.operators.dom import element_text
-    book = nodes.where((F.col("part") == "xl/workbook.xml") & (F.col("tag") == "sheet"))
+    from docloom.session import materialize, wide
+    part, tag, attrs = F.col("part"), F.col("tag"), F.col("attrs")
+    in_sheet, in_strings = part.startswith("xl/worksheets/"), part == "xl/sharedStrings.xml"
+    is_name, is_rel = (part == "xl/workbook.xml") & (tag == "sheet"), (part == "xl/_rels/workbook.xml.rels") & (tag == "Relationship")
+    wanted = is_name | is_rel | (in_strings & ((F.col("kind") == "t") | (tag == "si"))) | (in_sheet & ((F.col("kind") == "t") | (tag == "c")))
+    nodes = materialize(nodes.where(wanted).select("doc_id", "part", "node_id", "kind", "tag", "path", "ancestors", "attrs", "text"))
     rid = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    names = book.select("doc_id", F.col("attrs")["name"].alias("sheet"), F.col("attrs")[rid].alias("rid"))
-    rels = nodes.where((F.col("part") == "xl/_rels/workbook.xml.rels") & (F.col("tag") == "Relationship")).select(
-        "doc_id", F.col("attrs")["Id"].alias("rid"),
-        F.concat(F.lit("xl/"), F.regexp_replace(F.col("attrs")["Target"], "^/?(xl/)?", "")).alias("part"))
-    sheets = names.join(rels, ["doc_id", "rid"]).select("doc_id", "part", "sheet")
-    shared = nodes.where(F.col("part") == "xl/sharedStrings.xml")
-    items = shared.where(F.col("tag") == "si")
-    from pyspark.sql import Window
-    items = items.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")) - 1)
-    texts = element_text(shared, F.col("tag") == "si", keep_blank=True)
-    strings = items.join(texts, ["doc_id", "part", "node_id"], "left").select(
-        "doc_id", F.col("idx").cast("string").alias("raw"), F.coalesce("content", F.lit("")).alias("shared"))
-    ws = nodes.where(F.col("part").startswith("xl/worksheets/"))
-    cell = ws.where(F.col("tag") == "c").select("doc_id", "part", "node_id", F.col("attrs")["r"].alias("coord"),
-                                                F.coalesce(F.col("attrs")["t"], F.lit("n")).alias("type"))
-    leaf = ws.where((F.col("kind") == "e") & F.col("tag").isin("v", "f", "is")).select("doc_id", "part", "node_id", "tag", F.col("parent_id").alias("cell_id"))
-    content = element_text(ws, F.col("tag").isin("v", "f", "is"), keep_blank=True)
-    values = (leaf.join(content, ["doc_id", "part", "node_id"], "left").groupBy("doc_id", "part", F.col("cell_id").alias("node_id"))
-              .agg(F.max(F.when(F.col("tag") != "f", F.col("content"))).alias("raw"), F.max(F.when(F.col("tag") == "f", F.col("content"))).alias("f")))
-    out = (cell.join(values, ["doc_id", "part", "node_id"], "left")
-           .withColumn("_key", F.when(F.col("type") == "s", F.col("raw")))
-           .join(strings.withColumnRenamed("raw", "_key"), ["doc_id", "_key"], "left").join(sheets, ["doc_id", "part"]))
+    names = nodes.where(is_name).select("doc_id", attrs["name"].alias("sheet"), attrs[rid].alias("rid"))
+    rels = nodes.where(is_rel).select("doc_id", attrs["Id"].alias("rid"), F.concat(F.lit("xl/"), F.regexp_replace(attrs["Target"], "^/?(xl/)?", "")).alias("part"))
+    sheets = names.join(wide(rels), ["doc_id", "rid"]).select("doc_id", "part", "sheet")
+    above = F.slice(F.split("path", "/"), 2, F.size("ancestors"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("_t", "text")))), lambda s: s["text"]), "")
+
+    item = F.struct(F.col("node_id").alias("item"))
+    items = F.transform(F.filter(F.arrays_zip(F.col("ancestors").alias("id"), above.alias("tag")), lambda x: x["tag"] == "si"), lambda x: F.struct(x["id"].alias("item")))
+    texts = _texts_below(nodes.where(in_strings), items, F.array(item)).groupBy("doc_id", "part", "item").agg(content.alias("shared"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("item")) - 1
+    strings = texts.select("doc_id", place.cast("string").alias("_key"), "shared")
+
+    none = F.lit(None)
+    cell = F.struct(F.col("node_id").alias("cell"), attrs["r"].alias("coord"), F.coalesce(attrs["t"], F.lit("n")).alias("type"), none.cast("int").alias("leaf"), none.cast("string").alias("leaf_tag"))
+    steps = F.arrays_zip(F.col("ancestors").alias("id"), above.alias("tag"), F.slice("ancestors", 2, F.size("ancestors")).alias("leaf"), F.slice(above, 2, F.size("ancestors")).alias("leaf_tag"))
+    leaves = F.transform(F.filter(steps, lambda x: (x["tag"] == "c") & x["leaf_tag"].isin("v", "f", "is")), lambda x: F.struct(
+        x["id"].alias("cell"), none.cast("string").alias("coord"), none.cast("string").alias("type"), x["leaf"].alias("leaf"), x["leaf_tag"].alias("leaf_tag")))
+    key = ["doc_id", "part", "cell"]
+    per_leaf = _texts_below(nodes.where(in_sheet), leaves, F.array(cell)).groupBy(*key, "leaf", "leaf_tag").agg(F.max("coord").alias("coord"), F.max("type").alias("type"), content.alias("content"))
+    cells = per_leaf.groupBy(*key).agg(F.max("coord").alias("coord"), F.max("type").alias("type"), F.max(F.when(F.col("leaf_tag").isin("v", "is"), F.col("content"))).alias("raw"),
+                                       F.max(F.when(F.col("leaf_tag") == "f", F.col("content"))).alias("f"))
+    cells = cells.withColumn("_key", F.when(F.col("type") == "s", F.col("raw")))
+    out = cells.join(wide(strings), ["doc_id", "_key"], "left").join(wide(sheets), ["doc_id", "part"])
     return out.select(F.col("doc_id").alias("workbook"), "sheet", "coord",
                       F.regexp_extract("coord", "([0-9]+)$", 1).cast("int").alias("row"),
                       column_number(F.regexp_extract("coord", "^([A-Z]+)", 1)).cast("int").alias("col"),

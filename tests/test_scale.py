@@ -7,7 +7,7 @@ from docloom.operators import markdown
 from docloom.operators import packages as pk
 from docloom.plans import streams as plan_streams
 from docloom.plans.base import Tables
-from docloom.sources.markup import html_nodes
+from docloom.sources.markup import cells_from_packages, html_nodes, xml_nodes
 from docloom.streaming import streams as st
 
 
@@ -54,3 +54,17 @@ def test_table_cells_are_never_gathered_on_the_driver(spark):
     cells = markdown.html_tables(html_nodes(spark.range(20).select("id", html.alias("html")), "id"))
     assert "Broadcast" not in plan(cells)
     assert cells.where("row_no = 1 AND content = doc_id").count() == 20
+
+
+def test_workbooks_are_parsed_once_and_never_gathered_on_the_driver(spark):
+    """Eight steps read the nodes of a workbook; each used to tokenise every part again."""
+    sheet = F.concat(F.lit('<worksheet><c r="A1" t="s"><v>1</v></c><c r="B2"><f>A1</f><v>'), F.col("id"), F.lit("</v></c><c r='C3' t='inlineStr'><is><r><t>x</t></r><r><t> y</t></r></is></c><c r='D4'/></worksheet>"))
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {"xl/workbook.xml": F.lit(f'<workbook xmlns:r="{rel}"><sheet name="S" r:id="r1"/></workbook>'), "xl/worksheets/one.xml": sheet,
+             "xl/_rels/workbook.xml.rels": F.lit('<R><Relationship Id="r1" Target="/xl/worksheets/one.xml"/></R>'), "xl/sharedStrings.xml": F.lit("<sst><si/><si><t>a</t><t>b</t></si></sst>")}
+    rows = spark.range(20).select(F.col("id").cast("string").alias("pkg"), F.explode(F.array(*[F.struct(F.lit(p).alias("part"), x.alias("bytes")) for p, x in parts.items()])).alias("x")).select("pkg", "x.*")
+    cells = cells_from_packages(xml_nodes(rows))
+    assert "Broadcast" not in plan(cells) and "MapInArrow" not in plan(cells)
+    assert {tuple(r) for r in cells.where("workbook = '7'").drop("workbook").collect()} == {
+        ("S", "A1", 1, 1, "ab", None), ("S", "B2", 2, 2, "7", "=A1"), ("S", "C3", 3, 3, "x y", None), ("S", "D4", 4, 4, None, None)}
+    assert cells.count() == 80
