@@ -1,8 +1,9 @@
 """Slide-layout operators over ``shapes`` (positions in EMU) and form ``boxes``.
 
 Overlaps are found through grid cells: a rectangle is listed in the cells it covers and a pair is
-reported only from the one cell that holds the top-left corner of its intersection, so no page or
-slide is paired as a whole and no pair comes twice.  Crowded cells are cut again.
+reported only from the one cell that holds the top-left corner of its intersection, so no full page or
+slide is paired as a whole and no pair comes twice.  Crowded cells are cut again.  Pages with few rectangles
+need no grid.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
-from docloom.operators.ordered import anchored, first_n, folded_upwards, join_on, numbered
-from docloom.session import materialize
+from docloom.operators.ordered import anchored, first_n, folded_upwards, numbered
+from docloom.session import materialize, wide
 
 # Tolerances of the checks, in inches, and the slide's text margins.
 SAME_ROW = 0.5
@@ -24,6 +25,7 @@ BEYOND_SLIDE = 0.01
 BEYOND_FRAME = 0.05
 MARGIN_TOP_BOTTOM, MARGIN_SIDES = 0.05, 0.1
 BULLETS = ("•", "●", "○")
+FEW = 128  # rectangles on a page up to which all of them are compared
 CROWD = 2000  # rectangles in a cell above which the cell is cut
 PARTS = 1024  # most cells a side in one cut
 CELL = "struct<ox:double,sx:double,kx:bigint,oy:double,sy:double,ky:bigint,gx:bigint,gy:bigint>"  # origin, side, number and place on each axis
@@ -107,9 +109,9 @@ def reading_order(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) ->
 
 
 def _sides(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-    """Cell sides per page: the root mean square of the widths and heights."""
+    """Cell sides per page: the root mean square of the widths and heights; ``_n`` counts the rectangles."""
     rms = lambda a, b: F.greatest(F.sqrt(F.avg(F.pow((F.col(b) - F.col(a)).cast("double"), 2))), F.lit(1e-6))
-    return df.groupBy(*keys).agg(rms(x0, x1).alias("_cw"), rms(y0, y1).alias("_ch"))
+    return df.groupBy(*keys).agg(rms(x0, x1).alias("_cw"), rms(y0, y1).alias("_ch"), F.count(F.lit(1)).alias("_n"))
 
 
 def _cell(c: Column | str, side: str) -> Column:
@@ -141,11 +143,12 @@ def _levels(df: DataFrame, level: Column, x0: str, y0: str, x1: str, y1: str) ->
     return df.withColumn("_path", path).withColumn("_cells", F.concat("_cells", F.array(cell))).drop("_level", "_gx", "_gy")
 
 
-def _outer_grid(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-    """Rectangles by the cells of their page's grid."""
+def _outer_grid(df: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str, y1: str, sides: DataFrame | None = None) -> DataFrame:
+    """Rectangles by the cells of their page's grid; of the pages in ``sides`` (``_sides`` of all by default)."""
+    sides = _sides(df, keys, x0, y0, x1, y1).drop("_n") if sides is None else sides
     none = F.lit(None).cast("long")
     level = F.struct(F.lit(0.0).alias("ox"), F.col("_cw").alias("sx"), none.alias("kx"), F.lit(0.0).alias("oy"), F.col("_ch").alias("sy"), none.alias("ky"))
-    sized = join_on(df, _sides(df, keys, x0, y0, x1, y1), list(keys))
+    sized = df.join(wide(sides), list(keys))
     sized = sized.withColumn("_path", F.lit(None).cast("string")).withColumn("_cells", F.array().cast(f"array<{CELL}>"))
     return _levels(sized, level, x0, y0, x1, y1).drop("_cw", "_ch")
 
@@ -182,20 +185,30 @@ def _split_crowds(g: DataFrame, keys: Sequence[str], x0: str, y0: str, x1: str,
 
 
 def _pairs(df: DataFrame, keys: Sequence[str], ident: str, x0: str, y0: str, x1: str, y1: str, keep: Sequence[str], crowd: int = CROWD) -> DataFrame:
-    """Pairs a < b (by ``ident``) whose rectangles meet, each once; columns get ``_a``/``_b``.
+    """Pairs a < b (by ``ident``) among which are all whose rectangles meet, each once; columns get ``_a``/``_b``.
 
-    Rectangles meet in the cells both cover; the pair counts in the one that holds the corner of what they share, on
+    On a page with at most ``FEW`` rectangles all are compared: a grid would list each about four times and shuffle it with its
+    cells.  On fuller pages rectangles meet in the cells both cover; the pair counts in the one that holds the corner of what they share, on
     every level of the grid.
     """
     cols = [ident, x0, y0, x1, y1, *keep]
-    g = _split_crowds(_outer_grid(df.select(*keys, *cols), keys, x0, y0, x1, y1), keys, x0, y0, x1, y1, crowd)
+    df = df.select(*keys, *cols).dropna(subset=[*keys, x0, y0, x1, y1])
+    full = materialize(_sides(df, keys, x0, y0, x1, y1).where(F.col("_n") > min(FEW, crowd)).drop("_n"))
+    side = lambda g, end: g.select(*keys, *[F.col(c).alias(f"{c}_{end}") for c in cols])
+    once = F.col(f"{ident}_a") < F.col(f"{ident}_b")
+    if full.isEmpty():
+        few = df.repartition(*keys)  # one shuffle for both sides
+        return side(few, "a").join(wide(side(few, "b")), list(keys)).where(once)
+    few = df.join(wide(full), list(keys), "left_anti")
+    few = side(few, "a").join(wide(side(few, "b")), list(keys)).where(once)
+    g = _split_crowds(_outer_grid(df, keys, x0, y0, x1, y1, full), keys, x0, y0, x1, y1, crowd)
     a = g.select(*keys, "_path", "_cells", *[F.col(c).alias(f"{c}_a") for c in cols])
     # Same columns on both sides, so that one shuffle serves both.
     b = g.select(*keys, "_path", F.col("_cells").alias("_cells_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    j = a.join(b, [*keys, "_path"]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
+    j = a.join(b, [*keys, "_path"]).where(once)
     corner = lambda c: F.greatest(f"{c}_a", f"{c}_b")
     here = F.forall("_cells", lambda c: (_place(corner(x0), c, "x") == c["gx"]) & (_place(corner(y0), c, "y") == c["gy"]))
-    return j.where(here).drop("_path", "_cells", "_cells_b")
+    return few.unionByName(j.where(here).drop("_path", "_cells", "_cells_b"))
 
 
 def shape_overlaps(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) -> DataFrame:

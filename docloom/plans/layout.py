@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import numbers as N
 from docloom.operators import layout as L
 from docloom.plans.base import Registry, Tables
+from docloom.session import materialize
 
 R = Registry()
 
@@ -25,6 +26,11 @@ def two_places(df: DataFrame) -> DataFrame:
     return df
 
 
+def _written(t: Tables) -> DataFrame:
+    """Shapes with their places in inches, which several steps read: made distinct once."""
+    return materialize(two_places(t.sql(SHAPES)).drop("l_partkey", "l_suppkey", "l_linenumber"))
+
+
 @R.query("units", "SELECT p_partkey, CAST(p_partkey % 97 * 5 AS DOUBLE) / 100 AS inches, CAST(p_partkey % 97 * 48 // 10 AS INT) AS pixels, p_size * 4 AS x3 FROM part")
 def units(t: Tables) -> DataFrame:
     df = t.part.select("p_partkey", (F.col("p_partkey") % 97 * 45720).alias("emu"), "p_size")
@@ -92,7 +98,7 @@ p AS (SELECT a.slide, a.shape_no AS shape_id, b.shape_no AS other_id, least(a.x1
   FROM r a JOIN r b ON a.slide = b.slide AND a.shape_no <> b.shape_no)
 SELECT slide, shape_id, other_id, CAST(round_even(CAST(w * h AS DECIMAL(18,4)) / 100, 0) AS BIGINT) AS area100 FROM p WHERE w > 5 AND h > 5""", shapes=SHAPES)
 def shape_overlaps(t: Tables) -> DataFrame:
-    shapes = two_places(t.sql(SHAPES)).withColumnRenamed("shape_no", "shape_id")
+    shapes = _written(t).withColumnRenamed("shape_no", "shape_id")
     return L.shape_overlaps(shapes).select("slide", "shape_id", "other_id", (F.col("area") * 100).cast("long").alias("area100"))
 
 
@@ -102,7 +108,7 @@ p AS (SELECT DISTINCT a.slide, a.shape_no FROM r a JOIN r b ON a.slide = b.slide
 o AS (SELECT slide, shape_no FROM shapes WHERE left_emu + width_emu - slide_w_emu >= 13716 OR top_emu + height_emu - slide_h_emu >= 13716)
 SELECT slide, shape_no FROM p UNION SELECT slide, shape_no FROM o""", shapes=SHAPES)
 def issues_only(t: Tables) -> DataFrame:
-    base = two_places(t.sql(SHAPES)).withColumnRenamed("shape_no", "shape_id")
+    base = _written(t).withColumnRenamed("shape_no", "shape_id")
     counts = L.shape_overlaps(base).groupBy("deck", "slide", "shape_id").agg(F.count(F.lit(1)).alias("n_overlaps"))
     marked = L.slide_overflow(base).join(counts, ["deck", "slide", "shape_id"], "left")
     marked = marked.withColumn("frame_overflow", F.lit(None).cast("double")).withColumn("warning", F.lit(None).cast("string"))

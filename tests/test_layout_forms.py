@@ -230,3 +230,19 @@ def test_crowded_cells_are_cut(spark):
     before = max(r["count"] for r in grid.groupBy("doc", "page", "_path").count().collect())
     sizes = sorted(r["count"] for r in cut.groupBy("doc", "page", "_path").count().collect())
     assert before > 1500 and sum(n > 110 for n in sizes) == 0  # only the piles stay together
+
+
+def test_pages_with_few_rectangles_are_paired_without_a_grid(spark):
+    """Every rectangle used to be listed in about four cells, each with a path and the cell, and shuffled so."""
+    n = F.col("id")
+    boxes = spark.range(600).select((n % 3).alias("doc"), F.when(n % 7 > 0, 1).alias("page"), n.alias("box_no"), (n % 5).alias("field_no"), F.lit("entry").alias("rect_type"),
+                                    (n * 7 % 31).alias("x0"), (n * 5 % 29).alias("y0"), F.when(n % 11 > 0, n * 7 % 31 + 4).alias("x1"), (n * 5 % 29 + 3).alias("y1")).where("doc < 2 OR id < 300")
+    rows = [r for r in boxes.collect() if r["page"] is not None and r["x1"] is not None]
+    want = {(a["box_no"], b["box_no"]) for a in rows for b in rows if a["doc"] == b["doc"] and a["box_no"] < b["box_no"]
+            and a["x0"] < b["x1"] and a["x1"] > b["x0"] and a["y0"] < b["y1"] and a["y1"] > b["y0"]}
+    for part in (boxes, boxes.where("doc = 2")):  # pages of about 160, 160 and 80 boxes; then few only
+        pairs = layout.box_conflicts(part)
+        text = pairs._jdf.queryExecution().executedPlan().toString()
+        assert ("_path" in text) == (part is boxes) and "Broadcast" not in text.split("_path")[0]
+        found = [(p["box_no_a"], p["box_no_b"]) for p in pairs.collect()]
+        assert len(found) == len(set(found)) and set(found) == {x for x in want if part is boxes or x[0] % 3 == 2}
