@@ -227,10 +227,13 @@ def ignorable_findings(nodes: DataFrame) -> DataFrame:
 
 def whitespace_findings(nodes: DataFrame) -> DataFrame:
     """Text runs of the main document with outer white space and no ``xml:space="preserve"``."""
-    runs = nodes.where(F.col("part").rlike(r"(^|/)document\.xml$") & (F.col("tag") == "t") & (F.col("kind") == "e"))
-    texts = nodes.where((F.col("kind") == "t") & F.col("path").endswith("/t/")).groupBy(*DOC, F.col("parent_id").alias("node_id")).agg(F.min_by("text", "node_id").alias("_text"))
-    j = runs.join(wide(texts), [*DOC, "node_id"]).where(F.col("_text").rlike(r"(?U)^\s|^.*\s$") & ~F.coalesce(F.col("attrs")[XML_SPACE] == "preserve", F.lit(False)))
-    return j.select(*_finding("whitespace", T.preview(F.col("_text"))))
+    run = (F.col("kind") == "e") & (F.col("tag") == "t")
+    rows = nodes.where(F.col("part").rlike(r"(^|/)document\.xml$") & (run | ((F.col("kind") == "t") & F.col("path").endswith("/t/"))))
+    at = F.when(run, F.col("node_id")).otherwise(F.col("parent_id"))
+    kept = F.coalesce(F.col("attrs")[XML_SPACE] == "preserve", F.lit(False))
+    rows = rows.select(*DOC, at.alias("_run"), F.when(run, F.col("line")).alias("line"), F.when(run, kept).alias("_kept"), F.when(~run, F.col("node_id")).alias("_t"), "text")
+    runs = rows.groupBy(*DOC, "_run").agg(F.max("line").alias("line"), F.max("_kept").alias("_kept"), F.min_by("text", "_t").alias("_text"))
+    return runs.where(F.col("_text").rlike(r"(?U)^\s|^.*\s$") & ~F.col("_kept")).select(*_finding("whitespace", T.preview(F.col("_text"))))
 
 
 def misplaced_text(nodes: DataFrame) -> DataFrame:

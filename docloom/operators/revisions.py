@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.dom import DOC, drop_subtrees, paragraph_text
+from docloom.session import materialize, wide
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -20,14 +21,24 @@ def _by(tag: str, author: str | None) -> Column:
 
 def _restore_deleted(nodes: DataFrame, author: str | None) -> DataFrame:
     """Take the deletion marks away and keep what they hold: deleted text becomes text again."""
-    w = Window.partitionBy(*DOC).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mine = _by("del", author)
-    inside = F.coalesce(F.max(F.when(mine, F.col("end_id"))).over(w) >= F.col("node_id"), F.lit(False))
-    n = nodes.withColumn("_in", inside).where(~F.coalesce(mine, F.lit(False)))
+    mine = F.coalesce(_by("del", author), F.lit(False))
+    if author is None:  # the path tells, without a window
+        n = nodes.where(~mine).withColumn("_in", F.col("path").contains("/del/"))
+    else:
+        w = Window.partitionBy(*DOC).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = F.coalesce(F.max(F.when(F.col("_mine"), F.col("end_id"))).over(w) >= F.col("node_id"), F.lit(False))
+        n = nodes.withColumn("_mine", mine).withColumn("_in", inside).where("NOT _mine").drop("_mine")
     return (n.withColumn("tag", F.when(F.col("_in") & (F.col("tag") == "delText"), "t").otherwise(F.col("tag")))
             .withColumn("path", F.when(F.col("_in"), F.regexp_replace("path", "/delText/", "/t/")).otherwise(F.col("path"))).drop("_in"))
 
 
+def _runs_and_marks(nodes: DataFrame) -> DataFrame:
+    """The nodes that paragraph texts under tracked changes depend on: texts of runs, insertions and deletions."""
+    run = (F.col("kind") == "t") & (F.col("path").endswith("/t/") | F.col("path").endswith("/delText/"))
+    mark = (F.col("kind") == "e") & F.col("tag").isin("ins", "del")
+    return nodes.where(run | mark).select(*DOC, "node_id", "end_id", "kind", "tag", "path", "ancestors", "attrs", "text")
+
+
 def reject_author_changes(nodes: DataFrame, author: str) -> DataFrame:
     """The document as it was before one author's tracked changes: the author's insertions go with what they
     hold, the author's deletions are undone, other authors' changes stay."""
@@ -37,10 +48,11 @@ def reject_author_changes(nodes: DataFrame, author: str) -> DataFrame:
 def change_view(nodes: DataFrame, mode: str) -> DataFrame:
     """Paragraph texts under ``accept`` (changes carried out), ``reject`` (changes undone) or ``all``
     (both texts in place)."""
+    nodes = _runs_and_marks(nodes)
     if mode == "accept":
-        return paragraph_text(drop_subtrees(nodes, _by("del", None)))
+        return paragraph_text(drop_subtrees(nodes, _by("del", None)), dealt=True)
     if mode == "reject":
-        return paragraph_text(_restore_deleted(drop_subtrees(nodes, _by("ins", None)), None))
+        return paragraph_text(_restore_deleted(drop_subtrees(nodes, _by("ins", None)), None), dealt=True)
     if mode == "all":
         return paragraph_text(_restore_deleted(nodes, None))
     raise ValueError(f"unknown mode {mode!r}")
@@ -53,10 +65,11 @@ def _main(nodes: DataFrame) -> DataFrame:
 def untracked_edits(before: DataFrame, after: DataFrame, author: str) -> DataFrame:
     """Paragraphs that differ once the author's tracked changes are taken out of both versions:
     ``(doc_id, no, before, after)``.  Documents without a change by the author are skipped."""
-    touched = _main(after).where(_by("ins", author) | _by("del", author)).select("doc_id").distinct()
-    text = lambda n: paragraph_text(reject_author_changes(_main(n).join(touched, "doc_id", "left_semi"), author))
-    a = text(before).select("doc_id", "no", F.col("content").alias("before"))
-    b = text(after).select("doc_id", "no", F.col("content").alias("after"))
+    slim = materialize(_runs_and_marks(_main(after)))  # read twice: for the documents touched and for their texts
+    touched = wide(slim.where(_by("ins", author) | _by("del", author)).select("doc_id").distinct())
+    text = lambda n: paragraph_text(reject_author_changes(n.join(touched, "doc_id", "left_semi"), author), dealt=True)
+    a = text(_runs_and_marks(_main(before))).select("doc_id", "no", F.col("content").alias("before"))
+    b = text(slim).select("doc_id", "no", F.col("content").alias("after"))
     return a.join(b, ["doc_id", "no"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
@@ -88,8 +101,9 @@ def word_diff(pairs: DataFrame, level: str = "char") -> DataFrame:
     differing = pairs.where(~F.col("before").eqNullSafe(F.col("after")))
     if level == "char":
         return differing.select("doc_id", "no", "before", "after").mapInPandas(_ops, "doc_id string, no int, ord int, op string, removed string, added string")
-    bag = lambda c, sign: differing.select("doc_id", "no", F.explode(F.split(F.coalesce(c, F.lit("")), r"\s+")).alias("word"), F.lit(sign).alias("_s")).where("word <> ''")
-    both = bag("before", -1).unionByName(bag("after", 1)).groupBy("doc_id", "no", "word").agg(F.sum("_s").alias("change"))
+    bag = lambda c, sign: F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: F.struct(x.alias("word"), F.lit(sign).alias("_s")))
+    words = differing.select("doc_id", "no", F.explode(F.concat(bag("before", -1), bag("after", 1))).alias("_w")).select("doc_id", "no", "_w.*").where("word <> ''")
+    both = words.groupBy("doc_id", "no", "word").agg(F.sum("_s").alias("change"))
     return both.where("change <> 0")
 
 

@@ -6,7 +6,7 @@ import io
 import uuid
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +36,21 @@ def read_html_bytes(t: Tables) -> DataFrame:
     return out.select(F.col("path").cast("long").alias("page_id"), "charset", F.md5(F.regexp_replace("html", r"(?s)^.*\|", "")).alias("h"))
 
 
+_PACKAGE = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+
+def _zipped(names: list[str], bodies: list[str]) -> bytes:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, b in zip(names, bodies):
+            z.writestr(n, b)
+    return buf.getvalue()
+
+
 def _zip(batches):
-    """Pack (pkg, names, bodies) rows into one zip each."""
-    for pdf in batches:
-        out = []
-        for pkg, names, bodies in zip(pdf["path"], pdf["names"], pdf["bodies"]):
-            buf = io.BytesIO()
-            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                for n, b in zip(names, bodies):
-                    z.writestr(n, b)
-            out.append((pkg, buf.getvalue()))
-        yield pd.DataFrame(out, columns=["path", "content"])
+    """Pack (path, names, bodies) rows into one zip each."""
+    cells = ([c[at].as_py() for c in batch.columns] for batch in batches for at in range(batch.num_rows))
+    return mk.by_weight(((path, _zipped(names, bodies)) for path, names, bodies in cells), _PACKAGE, lambda row: len(row[1]))
 
 
 @R.query("read_packages", """
@@ -54,8 +58,8 @@ SELECT doc_id, 'word/document.xml' AS part, md5(text) AS h FROM documents UNION
 UNION ALL SELECT doc_id, 'word/_rels/document.xml.rels', md5(source) FROM documents""")
 def read_packages(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("word/document.xml", "[Content_Types].xml", "word/_rels/document.xml.rels", "media/a.png")])
-    rows = t.documents.select(F.col("doc_id").cast("string").alias("path"), names.alias("names"), F.array("text", "lang", "source", F.lit("png")).alias("bodies"))
-    zips = rows.mapInPandas(_zip, "path string, content binary")
+    rows = mk.spread(t.documents).select(F.col("doc_id").cast("string").alias("path"), names.alias("names"), F.array("text", "lang", "source", F.lit("png")).alias("bodies"))
+    zips = rows.mapInArrow(_zip, "path string, content binary")
     members = mk.markup_parts(mk.packages(zips))
     return members.select(F.col("pkg").cast("long").alias("doc_id"), "part", F.md5("bytes").alias("h"))
 

@@ -1,12 +1,19 @@
 """Steps that must stay right and small when tables are folders, keys are many, or lookups are large."""
 
+import io
+import zipfile
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import markdown
 from docloom.operators import packages as pk
+from docloom.operators import revisions as rv
+from docloom.plans import files as plan_files
 from docloom.plans import streams as plan_streams
 from docloom.plans.base import Tables
+from docloom.sources import markup as mk
 from docloom.sources.markup import cells_from_packages, html_nodes, xml_nodes
 from docloom.streaming import streams as st
 
@@ -68,3 +75,57 @@ def test_workbooks_are_parsed_once_and_never_gathered_on_the_driver(spark):
     assert {tuple(r) for r in cells.where("workbook = '7'").drop("workbook").collect()} == {
         ("S", "A1", 1, 1, "ab", None), ("S", "B2", 2, 2, "7", "=A1"), ("S", "C3", 3, 3, "x y", None), ("S", "D4", 4, 4, None, None)}
     assert cells.count() == 80
+
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+TRACKED = (f'<w:document xmlns:w="{W}"><w:p><w:ins w:author="A"><w:r><w:t>a</w:t></w:r><w:del w:author="B"><w:r><w:delText>b</w:delText></w:r></w:del></w:ins>'
+           '<w:del w:author="A"><w:r><w:delText>c</w:delText></w:r></w:del><w:r><w:t>d </w:t></w:r></w:p><w:p><w:r><w:t>e</w:t></w:r></w:p></w:document>')
+
+
+def tracked(spark, xml=TRACKED):
+    return xml_nodes(spark.range(9).select(F.col("id").alias("pkg"), F.lit("word/document.xml").alias("part"), F.lit(xml).alias("bytes")))
+
+
+def contents(df):
+    return [r["content"] for r in df.where("doc_id = '4'").orderBy("no").collect()]
+
+
+def test_views_of_all_changes_shuffle_once(spark):
+    """Whole nodes used to be sorted by a window, then grouped, then numbered, each with a shuffle of its own."""
+    view = rv.change_view(tracked(spark), "all")
+    assert plan(view).count("Exchange ") == 1
+    assert contents(view) == ["abcd ", "e"]
+    assert contents(rv.change_view(tracked(spark), "accept")) == ["ad ", "e"] and contents(rv.change_view(tracked(spark), "reject")) == ["cd ", "e"]
+    undone = rv.reject_author_changes(tracked(spark), "A")
+    assert [contents(rv.change_view(undone, m)) for m in ("all", "accept", "reject")] == [["cd ", "e"]] * 3
+
+
+def test_compared_versions_are_tokenised_once(spark):
+    """The later version was tokenised for its texts and again for the documents touched; a word diff doubled it all."""
+    edits = rv.untracked_edits(tracked(spark, TRACKED.replace("d </w:t>", "f </w:t>")), tracked(spark), "A")
+    assert plan(edits).count("MapInArrow") == 1  # the version before; the one after is written
+    assert {tuple(r) for r in edits.where("doc_id = '4'").collect()} == {("4", 1, "cf ", "cd ")}
+    words = rv.word_diff(edits, "word")
+    assert plan(words).count("MapInArrow") == 1
+    assert {tuple(r) for r in words.where("doc_id = '4'").collect()} == {("4", 1, "cf", -1), ("4", 1, "cd", 1)}
+
+
+def test_runs_are_tokenised_once(spark):
+    found = pk.whitespace_findings(tracked(spark))
+    assert plan(found).count("MapInArrow") == 1
+    assert {(r["doc"], r["message"]) for r in found.collect()} == {(str(i), "d ") for i in range(9)}
+
+
+def test_workers_hand_packages_on_by_weight():
+    """A worker used to hold all members of a batch of 10,000 packages, and all packages of a batch it wrote."""
+    def zipped(n):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("a.xml", bytes(n))
+        return buf.getvalue()
+
+    big = mk.WEIGHT // 2 + 1
+    files = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(7)], "content": [zipped(big)] * 6 + [b"none"]})
+    assert [b.num_rows for b in mk._members(iter([files]))] == [2, 2, 2, 1]
+    bodies = pa.RecordBatch.from_pydict({"path": list("abc"), "names": [["x"]] * 3, "bodies": [["y"]] * 3})
+    assert [b.num_rows for b in plan_files._zip(iter([bodies]))] == [3]
