@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.dom import DOC, drop_subtrees
-from docloom.session import wide
+from docloom.session import materialize, wide
 
 # Namespaces, id rules and declaration rules of the package format.
 REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -32,6 +32,7 @@ UNIQUE_IDS: Mapping[str, tuple[str, str]] = {  # element -> (attribute, scope),
     "pic": ("id", "file"), "grpsp": ("id", "file")}
 SLIDE_REL_TYPES = {"sldid": "slide", "sldmasterid": "slidemaster", "notesmasterid": "notesmaster",
                    "sldlayoutid": "slidelayout", "themeid": "theme", "tablestyleid": "tablestyles"}
+ID_TAGS = (*UNIQUE_IDS, "alternatecontent")  # the elements that :func:`duplicate_ids` looks at
 DECLARED_ROOTS = ("sld", "sldLayout", "sldMaster", "presentation", "document", "workbook", "worksheet", "theme")
 MEDIA = ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "wmf", "emf")
 
@@ -145,14 +146,16 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
     File scope compares inside one part by element; global scope compares the bare value over the whole
     package, so a master and a layout can clash.  Alternate-content subtrees do not count.
     """
-    clean = drop_subtrees(nodes, (F.col("tag") == "AlternateContent") & (F.col("ns") == MC))
     low = F.lower("tag")
+    aside = (F.col("tag") == "AlternateContent") & (F.col("ns") == MC)
     attr = reduce(lambda c, kv: c.when(low == kv[0], kv[1][0]), UNIQUE_IDS.items(), F.when(F.lit(False), F.lit("")))
     scope = reduce(lambda c, kv: c.when(low == kv[0], kv[1][1]), UNIQUE_IDS.items(), F.when(F.lit(False), F.lit("")))
-    rows = clean.where((F.col("kind") == "e") & low.isin(*UNIQUE_IDS)).withColumn("_attr", attr).withColumn("_scope", scope)
+    # Only the elements with ids and the subtrees left out are sorted and written, without their attributes.
+    some = nodes.where(((F.col("kind") == "e") & low.isin(*UNIQUE_IDS)) | aside).withColumn("_attr", attr).withColumn("_scope", scope)
     hit = F.filter(F.map_entries("attrs"), lambda e: _local(e["key"]) == F.col("_attr"))
-    rows = rows.withColumn("_value", F.get(hit, F.lit(0))["value"]).where("_value IS NOT NULL").withColumn("_low", low)
-    rows = rows.select(*DOC, "node_id", "line", "_low", "_attr", "_scope", "_value")
+    some = some.withColumn("_value", F.get(hit, F.lit(0))["value"]).select(*DOC, "node_id", "end_id", "line", "tag", "ns", low.alias("_low"), "_attr", "_scope", "_value")
+    rows = drop_subtrees(some.where(F.col("_value").isNotNull() | aside), aside)
+    rows = materialize(rows.where("_value IS NOT NULL").select(*DOC, "node_id", "line", "_low", "_attr", "_scope", "_value"))
     in_file = _repeats(rows.where("_scope = 'file'"), ["doc_id", "part", "_low", "_attr", "_value"], ["node_id", "line"])
     text = F.concat(F.lit("Duplicate "), "_attr", F.lit("="), "_value", F.lit(" in <"), "_low", F.lit("> (first at line "), F.col("_first.line").cast("string"), F.lit(")"))
     over_all = _repeats(rows.where("_scope = 'global'"), ["doc_id", "_value"], ["part", "node_id", "line", "_low"])

@@ -152,8 +152,7 @@ def duplicate_rids(t: Tables) -> DataFrame:
 d AS (SELECT *, row_number() OVER (PARTITION BY doc, v ORDER BY o) AS rn FROM ids)
 SELECT doc, part, count(*) AS n FROM (SELECT doc, part FROM d WHERE rn > 1 UNION ALL SELECT doc, 'ppt/presentation.xml' FROM c) z GROUP BY 1, 2"""))
 def duplicate_ids(t: Tables) -> DataFrame:
-    _, n = _nodes(t)
-    return pk.duplicate_ids(n).groupBy("doc", "part").agg(F.count(F.lit(1)).alias("n"))
+    return pk.duplicate_ids(xml_nodes(markup_parts(parts(t)), tags=pk.ID_TAGS)).groupBy("doc", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("content_type_findings", _both("""

@@ -16,7 +16,7 @@ import codecs
 import io
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -154,14 +154,16 @@ def _to_batches(rows: list, size: int = HELD) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
-def _parse(make):
+def _parse(make, tags: frozenset[str] | None = None):
+    """``tags`` (lower case) hands on their elements only, numbered as ever: other rows need not be turned into columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             for at in range(batch.num_rows):  # one text at a time: a batch of long texts is not held twice
                 doc, part, text = (c[at].as_py() for c in batch.columns)
                 if text is not None:
-                    held.extend(make(doc, part, text))
+                    rows = make(doc, part, text)
+                    held.extend(rows if tags is None else (r for r in rows if r[7].lower() in tags))
                 if len(held) >= HELD:
                     yield from _to_batches(held)
                     held = []
@@ -184,11 +186,12 @@ def html_nodes(df: DataFrame, doc: Column | str, html: str = "html", part: Colum
     return df.select(d.cast("string").alias("doc_id"), p.alias("part"), F.col(html)).mapInArrow(_parse(_html_rows), NODES)
 
 
-def xml_nodes(df: DataFrame, doc: Column | str = "pkg", part: Column | str = "part", xml: str = "bytes") -> DataFrame:
-    """XML text or bytes -> nodes.  A part that is not well-formed gives one row of kind 'x' with the error."""
+def xml_nodes(df: DataFrame, doc: Column | str = "pkg", part: Column | str = "part", xml: str = "bytes", tags: Iterable[str] | None = None) -> DataFrame:
+    """XML text or bytes -> nodes.  A part that is not well-formed gives one row of kind 'x' with the error.  With ``tags``
+    (lower case) only the elements of these names come out, for a caller that needs no other nodes."""
     d = F.col(doc) if isinstance(doc, str) else doc
     p = F.col(part) if isinstance(part, str) else part
-    return df.select(d.cast("string").alias("doc_id"), p.alias("part"), F.col(xml)).mapInArrow(_parse(_xml_rows), NODES)
+    return df.select(d.cast("string").alias("doc_id"), p.alias("part"), F.col(xml)).mapInArrow(_parse(_xml_rows, None if tags is None else frozenset(tags)), NODES)
 
 
 # --- bytes and packages ---------------------------------------------------------------------------

@@ -129,3 +129,17 @@ def test_workers_hand_packages_on_by_weight():
     assert [b.num_rows for b in mk._members(iter([files]))] == [2, 2, 2, 1]
     bodies = pa.RecordBatch.from_pydict({"path": list("abc"), "names": [["x"]] * 3, "bodies": [["y"]] * 3})
     assert [b.num_rows for b in plan_files._zip(iter([bodies]))] == [3]
+
+
+def test_repeated_ids_are_found_in_slim_rows(spark):
+    """Whole nodes of all parts were written, sorted with their attributes, and read twice."""
+    xml = ('<p xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><sp id="1"/><a><sp ID="1"/></a><pic id="1"/><sldMasterId id="8"/><sldLayoutId id="8"/>'
+           '<mc:AlternateContent><sp id="1"/></mc:AlternateContent><AlternateContent><pic id="1"/></AlternateContent></p>')
+    rows = spark.range(3).select(F.col("id").cast("string").alias("pkg"), F.lit("a.xml").alias("part"), F.lit(xml).alias("bytes"))
+    slim = xml_nodes(rows, tags=pk.ID_TAGS)
+    assert slim.where("doc_id = '1'").count() == 9 and xml_nodes(rows).where("doc_id = '1'").count() == 11
+    for nodes in (slim, xml_nodes(rows)):
+        found = pk.duplicate_ids(nodes)
+        assert "MapInArrow" not in plan(found) and "attrs" not in plan(found)
+        assert sorted(r["message"].split(" (")[0].split(" already")[0] for r in found.where("doc = '1'").collect()) == [
+            "Duplicate id=1 in <pic>", "Duplicate id=1 in <sp>", "Global ID 8 in <sldlayoutid>"]
