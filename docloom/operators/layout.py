@@ -103,7 +103,7 @@ def reading_order(shapes: DataFrame, keys: Sequence[str] = ("deck", "slide")) ->
     hundredths = shapes.withColumn("_y", (F.col("top_2") * 100).cast("long"))
     rows = anchored(hundredths, list(keys), "_y", int(SAME_ROW * 100), "_row", chunk_reaches=1000)  # 500 inches
     order = ["_row", "left_2", "_y", "shape_no"]
-    out = numbered(rows, list(keys), order, "_n")
+    out = numbered(rows, list(keys), order, "_n", sizes=shapes)
     return out.withColumn("row_top", (F.col("_row") / 100).cast("decimal(18,2)")).withColumn(
         "shape_id", F.concat(F.lit("shape-"), (F.col("_n") - 1).cast("string"))).drop("_y", "_row", "_n")
 

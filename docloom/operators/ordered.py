@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import materialize
+from docloom.session import materialize, wide
 
 BLOCK = 1 << 17  # rows per chunk where a dense sequence number orders the key
 CHUNK_REACHES = 32  # length of a chunk of anchored groups, in reaches
@@ -66,12 +66,21 @@ def _inside(cols: Sequence[Column]):
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rn",
-             chunk: Column | None = None) -> DataFrame:
+             chunk: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``row_number()`` over (keys, order), starting at 1, for keys of any size.
 
-    ``order`` must be unique within the key for a repeatable result, as with ``row_number`` itself.
+    ``order`` must be unique within the key for a repeatable result, as with ``row_number`` itself.  ``sizes``, a frame with
+    as many rows of each key that is cheap to read, spares keys of at most ``BLOCK`` rows the chunks: a window numbers them.
     """
     cols = _cols(order)
+    if sizes is not None and keys:
+        full = sizes.groupBy(F.struct(*keys).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+        full = materialize(full.select("_k"))  # one row for each ``BLOCK`` rows at most
+        by_window = lambda d: d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*cols)).cast("long"))
+        if full.isEmpty():
+            return by_window(df)
+        keyed = df.withColumn("_k", F.struct(*keys))
+        return by_window(keyed.join(full, "_k", "left_anti").drop("_k")).unionByName(numbered(keyed.join(full, "_k", "left_semi").drop("_k"), keys, order, name))
     placed = _with_offsets(_chunked(df, keys, cols, chunk), F.lit(1))
     out = placed.withColumn(name, (F.row_number().over(_inside(cols)) + F.col("_off")).cast("long"))
     return out.select(*df.columns, name)
@@ -187,7 +196,8 @@ def anchored(df: DataFrame, keys: Sequence[str], pos: str, reach: int, name: str
     Positions are cut into chunks of ``chunk_reaches * reach``.  A chunk holds its distinct positions, which its span
     bounds however many rows there are, and tells by itself, for every group that could be open before it, which group
     is open behind it: a step function.  One task runs through the functions of a key, a row per chunk; then every chunk
-    is grouped by itself, so that no task walks the positions of a whole key.  Null positions get a null.
+    is grouped by itself, so that no task walks the positions of a whole key.  Keys of one chunk need no functions.  Null
+    positions get a null.
     """
     keys = list(keys)
     width = max(1, chunk_reaches * reach)
@@ -195,10 +205,15 @@ def anchored(df: DataFrame, keys: Sequence[str], pos: str, reach: int, name: str
     chunks = placed.where("_pos IS NOT NULL").groupBy("_k", (F.col("_pos") - F.pmod("_pos", F.lit(width))).alias("_from"))
     ticks = materialize(chunks.agg(F.sort_array(F.collect_set("_pos")).alias("_ticks")))
     kind = dict(ticks.dtypes)["_k"]
-    steps = ticks.mapInArrow(_exits(reach), f"_k {kind}, _from bigint, _upto array<bigint>, _exits array<bigint>")
-    chain = steps.repartition("_k").sortWithinPartitions("_k", "_from").mapInArrow(_chain(reach), f"_k {kind}, _from bigint, _before bigint")
-    groups = ticks.join(chain, ["_k", "_from"]).select("_k", "_from", "_ticks", "_before").mapInArrow(_starts(reach, name), f"_k {kind}, _pos bigint, `{name}` bigint")
-    return placed.join(groups, ["_k", "_pos"], "left").select(*df.columns, name)
+    many = materialize(ticks.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
+    if many.isEmpty():
+        opened = ticks.withColumn("_before", F.lit(None).cast("long"))
+    else:
+        steps = ticks.join(wide(many), "_k", "left_semi").mapInArrow(_exits(reach), f"_k {kind}, _from bigint, _upto array<bigint>, _exits array<bigint>")
+        chain = steps.repartition("_k").sortWithinPartitions("_k", "_from").mapInArrow(_chain(reach), f"_k {kind}, _from bigint, _before bigint")
+        opened = ticks.join(chain, ["_k", "_from"], "left")
+    groups = opened.select("_k", "_from", "_ticks", "_before").mapInArrow(_starts(reach, name), f"_k {kind}, _pos bigint, `{name}` bigint")
+    return placed.join(wide(groups), ["_k", "_pos"], "left").select(*df.columns, name)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rn") -> DataFrame:

@@ -87,7 +87,7 @@ walk AS (SELECT slide, y, n, y AS anchor FROM steps WHERE n = 1
 SELECT s.slide, s.shape_no, w.anchor AS row100, 'shape-' || (row_number() OVER (PARTITION BY s.slide ORDER BY w.anchor, s.left_emu, s.top_emu, s.shape_no) - 1) AS shape_id
 FROM shapes s JOIN walk w ON w.slide = s.slide AND w.y = (s.l_suppkey % 53) * 5""", shapes=SHAPES)
 def reading_order(t: Tables) -> DataFrame:
-    return L.reading_order(two_places(t.sql(SHAPES))).select("slide", "shape_no", (F.col("row_top") * 100).cast("long").alias("row100"), "shape_id")
+    return L.reading_order(_written(t)).select("slide", "shape_no", (F.col("row_top") * 100).cast("long").alias("row100"), "shape_id")
 
 
 _RECTS = """r AS (SELECT slide, shape_no, (l_partkey % 97) * 5 AS x0, (l_suppkey % 53) * 5 AS y0, (l_partkey % 97) * 5 + (1 + l_partkey % 61) * 5 AS x1, (l_suppkey % 53) * 5 + (1 + l_suppkey % 47) * 5 AS y1 FROM shapes)"""

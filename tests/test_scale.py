@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import markdown
+from docloom.operators import layout, markdown, ordered
 from docloom.operators import packages as pk
 from docloom.operators import revisions as rv
 from docloom.plans import files as plan_files
@@ -143,3 +143,31 @@ def test_repeated_ids_are_found_in_slim_rows(spark):
         assert "MapInArrow" not in plan(found) and "attrs" not in plan(found)
         assert sorted(r["message"].split(" (")[0].split(" already")[0] for r in found.where("doc = '1'").collect()) == [
             "Duplicate id=1 in <pic>", "Duplicate id=1 in <sp>", "Global ID 8 in <sldlayoutid>"]
+
+
+def test_small_keys_are_numbered_by_a_window(spark, monkeypatch):
+    """Every slide used to be range-partitioned, which computes the rows twice, and written down, whatever its size."""
+    written = []
+    keep = ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, *a: written.append(df.columns) or keep(df, *a))
+    shapes = spark.range(400).select(F.lit("d").alias("deck"), F.when(F.col("id") % 4 > 0, F.least(F.col("id") % 40, F.lit(9))).alias("slide"), F.col("id").alias("shape_no"),
+                                     (F.col("id") * 7 % 300 / 100).cast("decimal(9,2)").alias("left_2"), (F.col("id") * 13 % 200 / 100).cast("decimal(9,2)").alias("top_2"))
+    small = {tuple(r) for r in layout.reading_order(shapes).select("slide", "shape_no", "row_top", "shape_id").collect()}
+    assert not any("shape_no" in columns for columns in written)
+    monkeypatch.setattr(ordered, "BLOCK", 60)  # the slide 9 and the one without a number are above it
+    assert small == {tuple(r) for r in layout.reading_order(shapes).select("slide", "shape_no", "row_top", "shape_id").collect()}
+    assert any("shape_no" in columns for columns in written) and len(small) == 400
+    plain = ordered.numbered(shapes, ["deck", "slide"], ["top_2", "shape_no"], "n")
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in ordered.numbered(shapes, ["deck", "slide"], ["top_2", "shape_no"], "n", sizes=shapes).collect()}
+
+
+def test_keys_of_one_chunk_need_no_chain(spark):
+    """Two more passes of Python and a shuffle were spent on every key, for nothing to carry."""
+    df = spark.range(90).select((F.col("id") % 5).alias("k"), (F.col("id") * 3).alias("pos"))
+    short = ordered.anchored(df, ["k"], "pos", 10)
+    assert plan(short).count("MapInArrow") == 1 and "Broadcast" not in plan(short)
+    long = ordered.anchored(df.withColumn("pos", F.when(F.col("k") == 3, F.col("pos") * 9).otherwise(F.col("pos"))), ["k"], "pos", 10)
+    assert plan(long).count("MapInArrow") == 3  # one key has two chunks or more
+    same = lambda d: {tuple(r) for r in d.where("k <> 3").collect()}
+    assert same(short) == same(long) == {(k, p, p - (p - 3 * k) % 15) for k in range(5) if k != 3 for p in range(3 * k, 270, 15)}
+    assert {tuple(r) for r in long.where("k = 3").collect()} == {(3, p, p) for p in range(81, 2430, 135)}
