@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.operators.ordered import first_n, folded_upwards, running_total
-from docloom.session import materialize
+from docloom.session import materialize, wide
 
 # Error texts in the order in which they are looked for.
 ERRORS = ("#VALUE!", "#DIV/0!", "#REF!", "#NAME?", "#NULL!", "#NUM!", "#N/A")
@@ -218,10 +218,11 @@ def circular(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle: ``edges(src, dst)`` -> ``(node)``; a node between two cycles is not on one.
 
     Loose ends go, and every chain becomes one edge by pointer doubling, so long chains take the logarithm of their
-    length in rounds.  The strongly connected parts of what is left are found by colours; a chain that was cut short
+    length in rounds.  Nodes with an edge to themselves are found at once.  The strongly connected parts of what is left are found by colours; a chain that was cut short
     is on a cycle when both its ends are in one part.
     """
-    left = materialize(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    edges = materialize(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    own, left = edges.where("src = dst").select(F.col("src").alias("node")), edges.where("src <> dst")
     cut: list[tuple[DataFrame, DataFrame]] = []
     n = left.count()
     while n:
@@ -242,10 +243,7 @@ def circular(edges: DataFrame) -> DataFrame:
         at = lambda name: found.select(F.col("node").alias(name), F.col("ring").alias(f"_{name}"))  # noqa: B023, E731
         back = members.join(at("entry"), "entry").join(at("exit"), "exit").where("_entry = _exit").select("node", F.col("_entry").alias("ring"))
         found = materialize(found.unionByName(back).unionByName(rings))
-    return found.select("node").distinct()
-
-
-LEVELS = 21  # row blocks of 1, 2, 4 ... rows; a sheet has at most 2**20 rows
+    return found.select("node").unionByName(own).distinct()
 
 
 def _blocks(first: Column, last: Column) -> Column:
@@ -260,34 +258,54 @@ def _blocks(first: Column, last: Column) -> Column:
         next_low, next_high = F.when(left, low + 1).otherwise(low), F.when(right, high - 1).otherwise(high)
         return F.struct(F.floor(next_low / 2).cast("int").alias("low"), F.floor(F.greatest(next_high, next_low) / 2).cast("int").alias("high"), taken.alias("out"))
 
-    start = F.struct(F.least(first, last).cast("int").alias("low"), (F.greatest(first, last) + 1).cast("int").alias("high"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, level, lambda s: s["out"])
+    low, high = F.least(first, last).cast("int"), (F.greatest(first, last) + 1).cast("int")
+    start = F.struct(low.alias("low"), high.alias("high"), none.alias("out"))
+    sizes = F.length(F.bin((high - low).cast("long")))  # every level at least halves what is left
+    return F.aggregate(F.sequence(F.lit(0), sizes - 1), start, level, lambda s: s["out"])
+
+
+def _range_edges(refs: DataFrame, formulas: DataFrame, name: Callable[[str, str], Column]) -> DataFrame:
+    """``(src, dst)`` from formulas over the blocks of their ranges to the formulas inside.
+
+    Blocks of one row are their cell.  Other blocks are nodes; they lie inside each other or apart, so a cell hangs below the
+    smallest block that some range asks for, and every asked block below the next larger one.  Blocks nobody asks for are not made.
+    """
+    column = ["workbook", "to_sheet", "col"]
+    block = lambda k, at: F.to_json(F.struct(F.col("workbook").alias("w"), F.col("to_sheet").alias("s"), F.col("col").alias("col"), k.alias("k"), at.alias("at")))
+    spans = refs.where("col_to IS NOT NULL").withColumn("col", F.explode(F.sequence(F.col("col_from").cast("long"), F.col("col_to").cast("long"))))
+    met = materialize(spans.withColumn("b", F.explode(_blocks(F.col("row_from"), F.col("row_to")))).select(name("sheet", "coord").alias("src"), *column, "b.k", "b.at"))
+    cell = formulas.withColumn("col", F.col("col").cast("long"))
+    single = met.where("k = 0").withColumnRenamed("at", "row").join(wide(cell), [*column, "row"]).select("src", name("to_sheet", "to_coord").alias("dst"))
+    large = met.where("k > 0")
+    asked = large.select(*column, "k", "at").distinct()
+    sizes = asked.groupBy(*column).agg(F.collect_set("k").alias("ks"))
+    at = lambda k: F.call_function("shiftright", F.col("row"), k)
+    inside = cell.join(sizes, column).withColumn("k", F.explode("ks")).withColumn("at", at(F.col("k"))).join(wide(asked), [*column, "k", "at"], "left_semi")
+    held = inside.groupBy(*column, "to_coord", "row").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    steps = held.withColumn("b", F.explode(F.transform("ks", lambda k, i: F.struct(k.alias("k"), F.get("ks", i - 1).alias("below")))))
+    below = F.when(F.col("b.below").isNull(), name("to_sheet", "to_coord")).otherwise(block(F.col("b.below"), at(F.col("b.below"))))
+    return single.unionByName(large.select("src", block(F.col("k"), F.col("at")).alias("dst"))).unionByName(
+        steps.select(block(F.col("b.k"), at(F.col("b.k"))).alias("src"), below.alias("dst")))
 
 
 def formula_ref_findings(cells: DataFrame) -> DataFrame:
     """References to cells that do not exist, divisors that are empty or zero, and circular formulas:
-    ``(workbook, sheet, coord, rule, target)``."""
-    refs = formula_references(cells)
-    single = refs.where("col_to IS NULL")
-    known = cells.select("workbook", F.col("sheet").alias("to_sheet"), F.col("coord").alias("to_coord"), F.col("value").alias("_v"), F.lit(True).alias("_known"))
-    looked = single.join(known, ["workbook", "to_sheet", "to_coord"], "left")
-    target = F.concat("to_sheet", F.lit("!"), "to_coord").alias("target")
-    missing = looked.where("_known IS NULL").select("workbook", "sheet", "coord", F.lit("missing_reference").alias("rule"), target)
-    zero = F.col("_known") & F.coalesce((F.col("_v") == "") | (F.col("_v").try_cast("double") == 0), F.lit(True))
-    divisor = looked.where(F.col("divides") & zero).select("workbook", "sheet", "coord", F.lit("zero_divisor").alias("rule"), target)
+    ``(workbook, sheet, coord, rule, target)``.  Formulas are searched once, and single references looked up once."""
+    refs = materialize(formula_references(cells))
+    formula = F.coalesce(F.col("formula").startswith("="), F.lit(False))
+    known = cells.select("workbook", F.col("sheet").alias("to_sheet"), F.col("coord").alias("to_coord"), F.col("value").alias("_v"), formula.alias("_formula"), F.lit(True).alias("_known"))
+    zero = F.coalesce((F.col("_v") == "") | (F.col("_v").try_cast("double") == 0), F.lit(True))
+    looked = refs.where("col_to IS NULL").join(wide(known), ["workbook", "to_sheet", "to_coord"], "left").select(
+        "workbook", "sheet", "coord", "to_sheet", "to_coord", F.col("_known").isNull().alias("missing"),
+        (F.col("_known").isNotNull() & F.col("divides") & zero).alias("divisor"), F.coalesce("_formula", F.lit(False)).alias("linked"))
+    looked = materialize(looked.where("missing OR divisor OR linked"))
+    finding = lambda flag, rule: looked.where(flag).select(
+        "workbook", "sheet", "coord", F.lit(rule).alias("rule"), F.concat("to_sheet", F.lit("!"), "to_coord").alias("target"))
     name = lambda s, c: F.to_json(F.struct(F.col("workbook").alias("w"), F.col(s).alias("s"), F.col(c).alias("c")))
-    formulas = cells.where(F.col("formula").startswith("=")).select("workbook", F.col("sheet").alias("to_sheet"), F.col("coord").alias("to_coord"), "row", "col")
-    direct = single.join(formulas, ["workbook", "to_sheet", "to_coord"], "left_semi").select(name("sheet", "coord").alias("src"), name("to_sheet", "to_coord").alias("dst"))
-    block = lambda k, at: F.to_json(F.struct(F.col("workbook").alias("w"), F.col("to_sheet").alias("s"), F.col("col").alias("col"), k.alias("k"), at.alias("at")))
-    spans = refs.where("col_to IS NOT NULL").withColumn("col", F.explode(F.sequence(F.col("col_from").cast("long"), F.col("col_to").cast("long"))))
-    met = spans.withColumn("b", F.explode(_blocks(F.col("row_from"), F.col("row_to")))).select(name("sheet", "coord").alias("src"), block(F.col("b.k"), F.col("b.at")).alias("dst"))
-    asked = spans.select("workbook", "to_sheet", "col").distinct()
-    cell = formulas.withColumn("col", F.col("col").cast("long")).join(asked, ["workbook", "to_sheet", "col"], "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    at = lambda k: F.expr(f"shiftright(row, {k})").cast("int")
-    inner = cell.where("k > 0").select(block(F.col("k"), at("k")).alias("src"), block(F.col("k") - 1, at("k - 1")).alias("dst"))
-    leaf = cell.where("k = 0").select(block(F.col("k"), at("0")).alias("src"), name("to_sheet", "to_coord").alias("dst"))
-    ranged = met.unionByName(inner).unionByName(leaf)
-    looped = circular(direct.unionByName(ranged))  # blocks on a cycle are no cells and find no formula below
-    named = cells.where(F.col("formula").startswith("=")).withColumn("node", name("sheet", "coord"))
-    loops = named.join(looped, "node", "left_semi").select("workbook", "sheet", "coord", F.lit("circular_reference").alias("rule"), F.lit("").alias("target"))
-    return missing.unionByName(divisor).unionByName(loops).distinct()
+    formulas = cells.where(formula).select("workbook", F.col("sheet").alias("to_sheet"), F.col("coord").alias("to_coord"), "row", "col")
+    direct = looked.where("linked").select(name("sheet", "coord").alias("src"), name("to_sheet", "to_coord").alias("dst"))
+    looped = circular(direct.unionByName(_range_edges(refs, formulas, name)))
+    kinds = dict(cells.dtypes)
+    parsed = looped.select(F.from_json("node", f"w {kinds['workbook']}, s {kinds['sheet']}, c {kinds['coord']}").alias("n"))  # a node with an edge out is a formula or a block
+    loops = parsed.where("n.c IS NOT NULL").select(F.col("n.w").alias("workbook"), F.col("n.s").alias("sheet"), F.col("n.c").alias("coord"), F.lit("circular_reference").alias("rule"), F.lit("").alias("target"))
+    return finding("missing", "missing_reference").unionByName(finding("divisor", "zero_divisor")).unionByName(loops).distinct()

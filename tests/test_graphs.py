@@ -66,6 +66,39 @@ def test_formula_circles_through_ranges(spark):
     assert got == set(on_cycles(edges))
 
 
+CELL = "workbook string, sheet string, coord string, row int, col int, value string, formula string"
+
+
+def test_ranges_link_only_blocks_asked_for(spark, monkeypatch):
+    """Every formula in a column with a range used to hang below a block of each of 21 sizes, whatever the ranges asked for."""
+    seen = []
+    keep = cells.circular
+    monkeypatch.setattr(cells, "circular", lambda edges: seen.append(edges.distinct().count()) or keep(edges))
+    rows = [("w", "s", f"A{r}", r, 1, "1", "=SUM(A8:A15)" if r == 9 else f"=SUM(A{r}:A{r})" if r == 500 else "=LOG10(3)") for r in range(1, 501)]
+    got = cells.formula_ref_findings(spark.createDataFrame(rows, CELL))
+    assert {tuple(r) for r in got.collect()} == {("w", "s", f"A{r}", "circular_reference", "") for r in (9, 500)}
+    assert seen == [1 + 8 + 1]  # A9 over its block to eight cells, A500 to itself
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_formula_circles_through_random_ranges(spark, seed):
+    r = random.Random(seed)
+    rows, edges = [], []
+    for book in ("u", "v"):
+        have = {(c, i) for c in "ABC" for i in range(1, 41) if r.random() < 0.7}
+        for c, i in sorted(have):
+            if r.random() < 0.6:
+                first, low = r.choice("ABC"), r.randrange(1, 41)
+                high, last = (low + r.choice([0, 1, 3, 12]), chr(min(ord("C"), ord(first) + r.randrange(2)))) if r.random() < 0.4 else (low, None)
+                formula = f"={first}{low}" if last is None else f"=SUM({first}{low}:{last}{high})"
+                edges += [((book, c, i), (book, x, k)) for x in "ABC" if first <= x <= (last or first) for k in range(low, high + 1) if (x, k) in have]
+            else:
+                formula = None
+            rows.append((book, "s", f"{c}{i}", i, ord(c) - 64, "1", formula))
+    got = cells.formula_ref_findings(spark.createDataFrame(rows, CELL)).where("rule = 'circular_reference'").collect()
+    assert sorted((x.workbook, x.coord[0], int(x.coord[1:])) for x in got) == on_cycles(edges) != []
+
+
 def test_positions_and_circles_of_groups(spark):
     shapes = spark.createDataFrame([("d", 1, 1, None, 5, 6), ("d", 1, 2, 1, 10, 20), ("d", 1, 3, 2, 100, 200), ("d", 1, 4, 9, 1, 1), ("d", 2, 1, 2, 1, 1), ("d", 2, 2, 1, 1, 1), ("d", 2, 3, 1, 1, 1)],
                                    "deck string, slide int, shape_no int, parent_no int, left_emu long, top_emu long")
