@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.units import LibraryTokenizer, worker_state
+from docloom.llm.units import MEMORY, LibraryTokenizer, worker_state
 from docloom.session import checkpoint_dir
 
 MAGIC = b"IDPLANE1"
@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder:
                     out = store.open_output_stream(temporary)
                     writer = ShardWriter(out, kind, block)
                 writer.add(doc_id, tokenizer(value.as_py() or "") + end)
-        tokenizer.forget()
+        tokenizer.forget(MEMORY)
         if writer is not None:
             total = writer.close()
             out.close()

@@ -154,21 +154,24 @@ class LibraryTokenizer:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def later_unit(self, word: str) -> bytes:
-        """A unit behind a blank.  Words of printable Latin-1 with closing marks need neither normalizer nor search."""
+        """A unit behind a blank.  Words of printable Latin-1 with closing marks need neither normalizer nor search;
+        the word before the marks is mostly remembered."""
+        if self.latin and word.isascii() and word.isalpha():
+            return self.merged(self.before + (word.lower() if self.lowers else word))
         if self.latin and LATIN(word):
             if self.lowers:
                 word = word.lower()
             core = word.rstrip(MARKS)
             if core.isalpha():
                 if len(core) < len(word):
-                    return self.pieces.get(self.blank + core) + self.pieces.get(word[len(core) :])
-                return self.merged(self.before + core) if core.isascii() else self.piece(self.blank + core)
+                    return self.units.later.get(core) + self.pieces.get(word[len(core) :])
+                return self.piece(self.blank + core)
         return self.unit(" " + word)
 
-    def forget(self) -> None:
+    def forget(self, kept: int = KEPT) -> None:
         """Drops most of what was remembered, at the end of a task: reused workers hold little beside the vocabulary."""
         self.pieces.forget()
-        self.units.later.forget()
+        self.units.later.forget(kept)
 
     def unit(self, text: str) -> bytes:
         if self.normalizer is not None:

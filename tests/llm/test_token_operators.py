@@ -228,3 +228,18 @@ def test_texts_of_odd_blanks_equal_the_library(name):
     library = Tokenizer.from_file(P.path(name))
     ours = units.LibraryTokenizer(P.path(name), P.PATTERN, added=True)
     assert [np.frombuffer(ours(t), dtype="<u4").tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_before_marks_are_merged_once(file):
+    """A word with closing marks was merged again for each run of marks, and forgotten with the task."""
+    tokenizer, library = units.LibraryTokenizer(P.path(file), P.PATTERN, added=True), Tokenizer.from_file(P.path(file))
+    merged, seen = tokenizer.merged, []
+    tokenizer.merged = lambda shown: seen.append(shown) or merged(shown)
+    same = lambda text: list(memoryview(tokenizer(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
+    assert same("a haus haus, haus. haus; café) café")
+    assert seen.count(tokenizer.before + "haus") == 1
+    tokenizer.forget(units.MEMORY)
+    assert same("a haus. haus) café,")
+    assert seen.count(tokenizer.before + "haus") == 1
+    assert same("a Haus, HAUSß, b  c \n haus.\nhaus, (haus) don't can't. 12.5, 日本 日本, été, Ångström!")
