@@ -1,8 +1,10 @@
 """Fits that must read everything they are given."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from docloom.llm import quality_rules
+from docloom.llm import jaccard, quality_rules
 
 
 def test_rules_are_learned_from_every_labelled_document(spark, monkeypatch):
@@ -13,3 +15,36 @@ def test_rules_are_learned_from_every_labelled_document(spark, monkeypatch):
     sample = quality_rules.labelled_sample(docs, labels, "doc_id", "text", "quality")
     assert sample.groupBy("y").count().orderBy("y").collect() == [(0, 200), (1, 200)]
     assert quality_rules.fit(docs, labels) == quality_rules.fit(docs, labels, bound=200) != quality_rules.fit(docs, labels, bound=10)
+
+
+def test_runs_of_frequent_words_make_no_regions(spark, monkeypatch):
+    """Runs of frequent words that meet by chance, too seldom for the sample to know them, would put every set in regions with strangers."""
+    r = random.Random(3)
+    words = lambda i: [f"own{i}x{k}" for k in range(60)] + [r.choice("abcdefgh") for _ in range(200)]
+    rows = [(i, " ".join(words(i))) for i in range(200)]
+    rows.append((200, rows[7][1] + " more"))
+    seen, real = [], jaccard.regions
+    monkeypatch.setattr(jaccard, "SAMPLE", 40)
+    monkeypatch.setattr(jaccard, "regions", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(200)}, 200: 7}
+    assert {r["x"] for r in seen[0].select("x").collect()} == {7, 200}
+
+
+def test_regions_inside_others_go(spark):
+    """Only the regions (p, w) whose members all meet around a smaller pivot of the same window."""
+    regions = {(1, 4): [1, 2, 3, 4], (2, 4): [2, 3, 4], (3, 4): [3, 4], (2, 5): [2, 3], (4, 4): [4, 9], (6, 4): [6, 7], (0, 5): [0, 2]}
+    rows = [(x, p, w) for (p, w), xs in regions.items() for x in xs]
+    left = jaccard.without_parts(spark.createDataFrame(rows, "x bigint, p bigint, w int"))
+    assert left.columns == ["x", "p", "w"]
+    assert sorted({(r["p"], r["w"]) for r in left.collect()}) == [(0, 5), (1, 4), (2, 5), (4, 4), (6, 4)] and left.count() == 12
+
+
+def test_texts_of_regions_joined_at_every_size(spark, monkeypatch):
+    """Texts come to regions by a broadcast of few members, by a join of rows for every text, and by one without their ids."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, None), (None, "d"), (9, "e")], "doc_id bigint, text string")
+    alive = spark.createDataFrame([(1, 0, "", 1), (1, 0, "", 2), (2, 0, "/1", 2), (2, 0, "/1", 3)], "p bigint, w int, path string, x bigint")
+    for bound in (jaccard.BROADCAST_ROWS, 30, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
+        got = [tuple(r) for r in jaccard._full_texts(docs, "doc_id", "text", alive).collect()]
+        assert sorted(got, key=str) == [(1, 0, "", 1, "a"), (1, 0, "", 2, "b"), (1, 0, "", 2, "c"), (2, 0, "/1", 2, "b"), (2, 0, "/1", 2, "c"), (2, 0, "/1", 3, None)]
