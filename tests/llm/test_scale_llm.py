@@ -1,10 +1,16 @@
 """Fits that must read everything they are given."""
 
+import math
 import random
+import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, quality_rules
+from docloom.llm.queries import R
+from docloom.plans.base import Tables
 
 
 def test_rules_are_learned_from_every_labelled_document(spark, monkeypatch):
@@ -48,3 +54,41 @@ def test_texts_of_regions_joined_at_every_size(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
         got = [tuple(r) for r in jaccard._full_texts(docs, "doc_id", "text", alive).collect()]
         assert sorted(got, key=str) == [(1, 0, "", 1, "a"), (1, 0, "", 2, "b"), (1, 0, "", 2, "c"), (2, 0, "/1", 2, "b"), (2, 0, "/1", 2, "c"), (2, 0, "/1", 3, None)]
+
+
+def test_rules_of_the_query_read_every_character(spark, tmp_path):
+    """Counts, ratios and scores of op11 against plain Python; the documents differ in the first characters of their words alone."""
+    r = random.Random(5)
+    word = lambda good: r.choice(["pre", "pré"] if good else ["zq#", "z😀"]) + "".join(r.choice("abcd") for _ in range(r.randint(0, 4))) + "end"
+    rows = [(i, " ".join(word(i % 2 == 0) for _ in range(80)) + "  a\nbc ") for i in range(120)]
+    rows += [(120, "pré😀" * 50 + " " + "x" * 200), (121, None), (122, ""), (123, "x" * 200_000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id bigint, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    n = quality_rules.BUCKETS
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        found = [w[k:k + 3] for w in words for k in range(max(len(w) - 2, 1))]
+        hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in found]
+        return [(h - (1 << 64) if h >> 63 else h) % n for h in hashes]
+
+    raw = Counter(b for _, t in rows for b in grams(t))
+    sample = quality_rules.labelled_sample(docs, labels, "doc_id", "text", "quality").collect()
+    trusted = Counter(b for s in sample if s["y"] == 1 and s["part"] == 0 for b in grams(s["text"]))
+    shift = math.log((sum(raw.values()) + n) / (sum(trusted.values()) + n))
+    ratios = [round(1e6 * (math.log((trusted[b] + 1) / (raw[b] + 1)) + shift)) for b in range(n)]
+    assert quality_rules.fit(docs, labels, every=True).ratios == ratios
+    got = {r["doc_id"]: (r["score"], r["kept"]) for r in R.queries["op11_quality_rules"](Tables(spark, str(tmp_path))).collect()}
+    assert {i: s for i, (s, _) in got.items()} == {i: sum(ratios[b] for b in grams(t)) / (1e6 * max(1, len(grams(t)))) for i, t in rows}
+    assert all(got[i][1] == (i % 2 == 0) for i in range(120))
+
+
+def test_rules_of_every_character_part_labelled_documents(spark):
+    """On sf0.1, since all runs of three need more trusted documents than sf0.01 has: the half that set neither counts nor cut."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, marks.where("doc_id % 2 = 0"), every=True)
+    judged = quality_rules.judge(docs, rules).join(marks.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed")
+    rate = {r["quality"]: r["kept"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rate[1] > 0.97 and rate[0] < 0.05
