@@ -171,3 +171,16 @@ def test_keys_of_one_chunk_need_no_chain(spark):
     same = lambda d: {tuple(r) for r in d.where("k <> 3").collect()}
     assert same(short) == same(long) == {(k, p, p - (p - 3 * k) % 15) for k in range(5) if k != 3 for p in range(3 * k, 270, 15)}
     assert {tuple(r) for r in long.where("k = 3").collect()} == {(3, p, p) for p in range(81, 2430, 135)}
+
+
+def test_table_nodes_are_not_copied_for_every_ancestor(spark):
+    """A node goes to its cells and tables alone, however deep it lies, and the key of a cell is no text to be parsed again."""
+    deep = "<div>" * 12 + "<a/b>x</a>" + "</div>" * 12
+    html = f"<main/x><table><tr><td>{deep}<table><tr><th>in</th></tr></table></td><td>b</td></tr></table></main>"
+    cells = markdown.html_tables(html_nodes(spark.createDataFrame([(1, html), (2, "<td>no table</td>")], "id int, html string"), "id"))
+    text = plan(cells)
+    assert "explode(ancestors" not in text and "to_json" not in text and "from_json" not in text
+    got = sorted((r["table_id"], r["row_no"], r["col_no"], r["content"]) for r in cells.collect())
+    outer, inner = sorted({r[0] for r in got})
+    assert [(r[0] == outer, *r[1:]) for r in got if r[0] == outer and r[2] == 1] == [(True, 0, 1, "b")]
+    assert [r[1:] for r in got if r[0] == inner] == [(0, 0, "in")] and [r[3] for r in got if r[0] == outer][0].startswith("x")
